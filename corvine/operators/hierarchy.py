@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.common import HOT_LEAST, cut, hot_keys, norm_id, salted_lookup
@@ -28,12 +28,13 @@ def parent_pointers(edges: DataFrame) -> DataFrame:
     return ends.select("e.node", "e.parent").where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _jump(walk: DataFrame, key_paths: bool, salt: bool) -> tuple[DataFrame, DataFrame]:
+def _jump(walk: DataFrame, key_paths: bool, salt: bool, asked: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Let every open row of (node, cur, dist, done[, path]) jump on until its pointer is done.
 
     Pointers double each round, so the rounds are the logarithm of the longest walk. Returns the finished rows and those
     that never finish: with f the pointer map, the sets of open targets of f^1, f^2, f^4... are nested, so once their
     size stays the same the rest turns around on cycles, and ``cur`` of the rest is exactly the nodes on those cycles.
+    asked: which rows can be asked for their pointer at all.
     """
     finished, last = walk.where("done"), None
     active = walk.where("not done")
@@ -43,7 +44,8 @@ def _jump(walk: DataFrame, key_paths: bool, salt: bool) -> tuple[DataFrame, Data
             return finished, active
         last = n
         cols = [F.col("node").alias("_n"), F.col("cur").alias("_cur"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), *([F.col("path").alias("_path")] if key_paths else [])]
-        table = finished.unionByName(active).select(*cols).withColumnRenamed("_n", "_key")
+        table = finished.unionByName(active)
+        table = (table if asked is None else table.where(asked)).select(*cols).withColumnRenamed("_n", "_key")
         step = active.withColumnRenamed("cur", "_key")
         step = salted_lookup(step, table, "_key", "inner") if salt and rows > HOT_LEAST else step.join(table, "_key")
         step = cut(step.select(
@@ -86,7 +88,7 @@ def hierarchy(edges: DataFrame, paths: bool = False, split_every: int = SPLIT_EV
         (F.col("splitter") | F.col("below_splitter")).alias("done"),
         *keep(F.when(F.col("splitter"), F.array().cast("array<string>")).otherwise(F.array("parent"))),
     )
-    walked, looping = _jump(start, paths, salt=False)
+    walked, looping = _jump(start, paths, salt=False, asked=~chosen("node"))
 
     # Reduced graph: splitter -> splitter above the parent; roots are its ends.
     roots = seed.where("parent is null")
