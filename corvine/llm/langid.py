@@ -121,21 +121,21 @@ def fit(texts: list[str], langs: list[str]) -> np.ndarray:
     """
     y = np.array([LANGS.index(x) for x in langs])
     keep = np.ones(len(texts), dtype=bool)
-    x = presence(texts)
     v = np.zeros((1 << BITS, len(LANGS)), dtype=np.float32)
+    blocks = lambda m: np.concatenate([score(texts[i : i + 200], m) for i in range(0, len(texts), 200)])
     for _ in range(2):
         marks = np.concatenate([np.flatnonzero(keep & (y == k))[: LANDMARKS // len(LANGS)] for k in range(len(LANGS))])
-        lm = x[marks]
+        lm = presence([texts[i] for i in marks])
         values, vectors = np.linalg.eigh((lm @ lm.T).astype(np.float64) + 1e-6 * np.eye(len(marks)))
         root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        phi = (x[keep] @ lm.T).astype(np.float64) @ root
+        phi = blocks(np.ascontiguousarray(lm.T))[keep] @ root
         yy = y[keep]
         share = np.bincount(yy, minlength=len(LANGS))
         w = (1.0 / np.maximum(share, 1))[yy] * len(yy) / len(LANGS)
         goal = np.where(yy[:, None] == np.arange(len(LANGS)), 1.0, -1.0)
         beta = np.linalg.solve((phi * w[:, None]).T @ phi + RIDGE * len(yy) / 100 * np.eye(len(marks)), (phi * w[:, None]).T @ goal)
-        v = (lm.T.astype(np.float64) @ root @ beta).astype(np.float32)
-        keep = keep & ((x @ v).argmax(1) == y)
+        v = (lm.T @ (root @ beta).astype(np.float32)).astype(np.float32)
+        keep = keep & (blocks(v).argmax(1) == y)
     return v
 
 
@@ -145,7 +145,7 @@ def score(texts: list[str], v: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), v.shape[1]), dtype=np.float64)
     if len(row):
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(v[col].astype(np.float64), first, axis=0)
+        out[row[first]] = np.add.reduceat(v[col], first, axis=0)
         out[row[first]] /= np.sqrt(np.diff(np.r_[first, len(row)]))[:, None]
     return out
 
