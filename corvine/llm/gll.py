@@ -144,12 +144,17 @@ class Grammar:
         got = self.memo.get(key)
         if got is None:
             listed = self.lists.get(name)
-            got = bool(listed) and len(content) > 3 and self._pieces(listed, content, groups) or self._gll(name, content, groups)
+            if listed and len(content) > 3:
+                got = self._pieces(name, listed, content, groups) or (listed[1] == "," and self._gll(name, content, groups))
+            else:
+                got = self._gll(name, content, groups)
             self.memo[key] = got
         return got
 
-    def _pieces(self, listed: tuple[str, str], content: tuple, groups: Groups) -> bool:
-        """Each piece alone derives the element: then the sequence derives the list. A no here means nothing yet."""
+    def _pieces(self, name: str, listed: tuple[str, str], content: tuple, groups: Groups) -> bool:
+        """Whether the content derives the list: pieces that alone derive the element need no more; around a piece that
+        doesn't, pieces are joined, and at last the content is parsed as it is from two whole elements before that piece
+        on. Of comma lists a no means nothing yet."""
         element, sep = listed
         if sep == ",":
             pieces, at = set(), 0
@@ -160,7 +165,21 @@ class Grammar:
             if at < len(content):
                 pieces.add(content[at:])
             return all(p and self.derives(element, p, groups) for p in pieces)
-        return all(self.derives(element, p, groups) for p in set(statements(content, groups)))
+        cuts = statements(content, groups)
+        if all(self.derives(element, p, groups) for p in set(cuts)):
+            return True
+        i, n = 0, len(cuts)
+        while i < n:
+            if self.derives(element, cuts[i], groups):
+                i += 1
+                continue
+            for k in range(2, 6):  # a cut inside a statement: pieces that make one together
+                if i + k <= n and self.derives(element, sum(cuts[i : i + k], ()), groups):
+                    i += k
+                    break
+            else:
+                return self._gll(name, sum(cuts[max(0, i - 2) :], ()), groups)
+        return True
 
     def _gll(self, name: str, toks: tuple, groups: Groups) -> bool:
         n = len(toks)
@@ -239,7 +258,8 @@ def statements(content: tuple, groups: Groups) -> list[tuple]:
         elif t == ";" or t == "NL":
             if t == ";" and content[at] in _HEADS and not (content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{") and any(x.__class__ is int and groups.of[x][0] == "{" for x in content[i + 1 : i + 40]) and content[at + 1].__class__ is not int:
                 continue
-            out.append(content[at : i + 1])
+            block = t == "NL" and i > at and content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{"
+            out.append(content[at : i if block else i + 1])  # a line end behind a block ends nothing
             at = i + 1
     if at < n:
         out.append(content[at:])

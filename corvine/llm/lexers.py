@@ -16,11 +16,12 @@ _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _TPL = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`'\"]|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|\{[^{}`]*\})*\})*`"
 
-JAVA = re.compile(rf'(?:\s+|{_COMMENT})|("""[ \t\f\r]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_DQ}|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)\'|{_NUM}[lLfFdD]?(?![\w$])|0[0-7_]+[lL]?(?![\w$])|(?:[^\W\d]|\$)[\w$]*|->|::|\.\.\.|\+\+|--|&&|\|\||[=!<+\-*/&|^%]=|<<=|<<|@|[()\[\]{{}};,.=<>!~?:+\-*/&|^%]|[\s\S])')
-JS = re.compile(rf"(?:{_WS}|//[^\n]*)|(/\*[\s\S]*?\*/|\n|{_DQ}|{_SQ}|{_TPL}|(?:(?<=[=(,:;!&|?{{}}\[+\-*%<>~^\n])|(?<=return)|(?<=typeof)|(?<=[=(,:;!&|?{{}}\[+\-*%<>~^\n] )|(?<=return )|(?<=^))[ \t]*{_REGEX}|{_NUM}n?(?![\w$])|#?(?:[^\W\d]|\$)[\w$]*|>>>=|>>=|\.\.\.|=>|\?\.(?!\d)|\?\?=|\?\?|\*\*=|\*\*|&&=|\|\|=|&&|\|\||===|!==|==|!=|<<=|<<|<=|>=|\+\+|--|[+\-*/%&|^]=|[()\[\]{{}};,.=<>!~?:+\-*/&|^%@]|[\s\S])")
-GO = re.compile(rf"(?:[ \t\r]+)|(//[^\n]*|/\*[\s\S]*?\*/|\n|`[^`]*`|{_DQ}|'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[0-7]{{3}}|[abfnrtv\\'\"]))'|{_NUM}i?(?![\w])|0[0-7_]+i?(?![\w])|{_NAME}|\.\.\.|:=|<-|\+\+|--|&&|\|\||&\^=|&\^|<<=|>>=|<<|>>|[=!<>+\-*/&|^%]=|[()\[\]{{}};,.=<>!:+\-*/&|^%~]|[\s\S])")
+_SKIP = rf"(?:\s+|{_COMMENT})*"
+JAVA = re.compile(rf'{_SKIP}("""[ \t\f\r]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_DQ}|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)\'|{_NUM}[lLfFdD]?(?![\w$])|0[0-7_]+[lL]?(?![\w$])|(?:[^\W\d]|\$)[\w$]*|->|::|\.\.\.|\+\+|--|&&|\|\||[=!<+\-*/&|^%]=|<<=|<<|@|[()\[\]{{}};,.=<>!~?:+\-*/&|^%]|\S)')
+JS = re.compile(rf"(?:{_WS})?(?://[^\n]*)?(/\*[\s\S]*?\*/|\n|{_DQ}|{_SQ}|{_TPL}|(?:(?<=[=(,:;!&|?{{}}\[+\-*%<>~^\n])|(?<=return)|(?<=typeof)|(?<=[=(,:;!&|?{{}}\[+\-*%<>~^\n] )|(?<=return )|(?<=\n    )|(?<=\n        )|(?<=^)){_REGEX}|{_NUM}n?(?![\w$])|#?(?:[^\W\d]|\$)[\w$]*|>>>=|>>=|\.\.\.|=>|\?\.(?!\d)|\?\?=|\?\?|\*\*=|\*\*|&&=|\|\|=|&&|\|\||===|!==|==|!=|<<=|<<|<=|>=|\+\+|--|[+\-*/%&|^]=|[()\[\]{{}};,.=<>!~?:+\-*/&|^%@]|\S)")
+GO = re.compile(rf"[ \t\r]*(?://[^\n]*)?(/\*[\s\S]*?\*/|\n|`[^`]*`|{_DQ}|'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[0-7]{{3}}|[abfnrtv\\'\"]))'|{_NUM}i?(?![\w])|0[0-7_]+i?(?![\w])|{_NAME}|\.\.\.|:=|<-|\+\+|--|&&|\|\||&\^=|&\^|<<=|>>=|<<|>>|[=!<>+\-*/&|^%]=|[()\[\]{{}};,.=<>!:+\-*/&|^%~]|\S)")
 _PS = r"(?:[rRbBuU]|[rR][bB]|[bB][rR]|[fF]|[rR][fF]|[fF][rR])?"
-PY = re.compile(rf"(?:[ \t\f\r]+|\\\r?\n|#[^\n]*)|(\n|{_PS}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')|(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:(?:[1-9][0-9_]*|0[0_]*(?![0-9]))(?:\.[0-9_]*)?|[0-9][0-9_]*\.[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[jJ]?)(?![\w])|{_NAME}|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[=!<>+\-*/%&|^@]=|[()\[\]{{}};,.=<>~:+\-*/%&|^@]|[\s\S])")
+PY = re.compile(rf"(?:[ \t\f]|\\\n)*(?:#[^\n]*)?(\n[ \t\f]*|{_PS}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:(?:[1-9][0-9_]*|0[0_]*(?![0-9]))(?:\.[0-9_]*)?|[0-9][0-9_]*\.[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[jJ]?)(?![\w])|{_NAME}|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[=!<>+\-*/%&|^@]=|[()\[\]{{}};,.=<>~:+\-*/%&|^@]|\S)")
 
 #: Reserved words of each language (kinds of their own), and words reserved only in some places.
 WORDS = {
@@ -43,7 +44,9 @@ class _Kinds(dict):
 
     def __missing__(self, t: str) -> str:
         c = t[0]
-        if c.isalpha() or c in "_$" or ord(c) > 127:
+        if c == "\n" or (t[:2] == "/*" and len(t) > 3):
+            k = "\n" if "\n" in t else "SKIP"
+        elif c.isalpha() or c in "_$" or ord(c) > 127:
             if t[-1] in "\"'" and len(t) > 1 and self.language == "py":
                 k = "FSTR" if "f" in t[:2].lower() else "STR"
             elif t.isidentifier() or (self.language in ("js", "java") and t.replace("$", "a").isidentifier()):
@@ -53,12 +56,12 @@ class _Kinds(dict):
         elif c.isdigit() or (c == "." and len(t) > 1 and t[1].isdigit()):
             k = _ERR if "__" in t or t.endswith("_") or (t.isdigit() and len(t) > 1 and c == "0" and self.language not in ("java", "go") and t.strip("0")) or (len(t) == 1 and not c.isascii()) else "NUM"
         elif c in "\"'`":
-            k = "STR" if len(t) > 1 and t[-1] == c else _ERR
+            k = ("TPL" if c == "`" and self.language == "js" else "STR") if len(t) > 1 and t[-1] == c else _ERR
         elif self.language == "js" and (t.lstrip(" \t")[:1] == "/" and len(t.strip()) > 2):
             k = "REGEX"
         elif self.language == "js" and c == "#" and len(t) > 1:
             k = "PRIV"
-        elif c in "()[]{};,.=<>!~?:+-*/&|^%@" or t == "\n":
+        elif c in "()[]{};,.=<>!~?:+-*/&|^%@":
             k = t
         else:
             k = _ERR
@@ -74,67 +77,76 @@ _TEMPLATE = regex.compile(r"(?P<t>`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?P<e>(?:[^{
 _SIMPLE_FIELD = re.compile(r"\s*[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\Z")
 
 
-def group(kinds: list, groups: Groups, clean=None) -> tuple | None:
-    """Nest bracket groups; None when brackets don't match or a token is none of the language. clean: of each content."""
+_BRACKETS = frozenset("()[]{}")
+_LINES_TOO = frozenset("()[]{}\n")
+
+
+def group(kinds: list, groups: Groups) -> tuple | None:
+    """Nest bracket groups; None when brackets don't match."""
     stack: list = []
     out: list = []
-    for k in kinds:
+    at = 0
+    for i in [i for i, k in enumerate(kinds) if k in _BRACKETS]:
+        out += kinds[at:i]
+        at = i + 1
+        k = kinds[i]
         if k in _OPENERS:
             stack.append((k, out))
             out = []
-        elif k in _CLOSE:
+        else:
             if not stack:
                 return None
             opener, outer = stack.pop()
             if opener != _CLOSE[k]:
                 return None
-            outer.append(groups.intern(opener, tuple(clean(out, opener, groups) if clean else out)))
+            outer.append(groups.intern(opener, tuple(out)))
             out = outer
-        else:
-            out.append(k)
-    return None if stack else tuple(clean(out, "", groups) if clean else out)
+    return None if stack else (*out, *kinds[at:])
+
+
+def _kinds_of(language: str, toks: list) -> list | None:
+    kinds = list(map(_KINDS[language].__getitem__, toks))
+    if _ERR in kinds:
+        return None
+    return [k for k in kinds if k != "SKIP"] if "SKIP" in kinds else kinds
 
 
 def java(code: str, groups: Groups) -> tuple | None:
-    kinds = list(map(_KINDS["java"].__getitem__, filter(None, JAVA.findall(code.rstrip("\x1a")))))
-    return None if _ERR in kinds else group(kinds, groups)
+    toks = JAVA.findall(code.rstrip("\x1a") + "\n\x00")  # an end mark, so that the last comment is skipped whole
+    if toks.pop() != "\x00":
+        return None
+    kinds = _kinds_of("java", toks)
+    return None if kinds is None else group(kinds, groups)
 
 
 _GO_END = frozenset("NAME NUM STR break continue fallthrough return ++ -- ) ] }".split())
 
 
 def go(code: str, groups: Groups) -> tuple | None:
-    kind, out, prev = _KINDS["go"].__getitem__, [], "\n"
-    if code[:1] == "﻿":
-        code = code[1:]
-    for t in GO.findall(code + "\n"):
-        if not t:
-            continue
-        if t == "\n" or t[:2] == "//" or (t[:2] == "/*" and "\n" in t):
-            if prev in _GO_END and (t == "\n" or t[:2] == "/*"):
-                out.append(";")
-                prev = ";"
-            continue
-        if t[:2] == "/*":
-            continue
-        prev = kind(t)
-        out.append(prev)
-    return None if _ERR in out else group(out, groups, _go_clean)
-
-
-def _go_clean(out: list, opener: str, groups: Groups) -> list:
-    return out
+    """A line end behind the end of an operand is a semicolon."""
+    kinds = _kinds_of("go", GO.findall((code[1:] if code[:1] == "\ufeff" else code) + "\n"))
+    if kinds is None:
+        return None
+    out: list = []
+    at = 0
+    for i in [i for i, k in enumerate(kinds) if k == "\n"]:
+        if i > at:
+            out += kinds[at:i]
+        if out and out[-1] in _GO_END:
+            out.append(";")
+        at = i + 1
+    return group(out, groups)
 
 
-_JS_OPEN = frozenset("; , . ?. = + - * / % & | ^ < ? : == === != !== && || ?? => ! ~ ... typeof void delete new in of instanceof += -= *= /= %= ?? ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= extends case else do import const let var function @ as implements".split())
-_JS_CONT = frozenset("; , . ?. = + - * / % & | ^ < > ? : == === != !== && || ?? => += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= ) ] } in instanceof else catch finally ( [ extends implements satisfies".split())
+_JS_OPEN = frozenset("; , . ?. = + - * / % & | ^ < ? : == === != !== && || ?? => ! ~ ... ( [ { typeof void delete new in of instanceof += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= extends case else do import const let var function @ as implements".split())
+_JS_CONT = frozenset("; , . ?. = + - * / % & | ^ < > ? : == === != !== && || ?? => += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= ) ] } in instanceof else catch finally ( [ extends implements satisfies TPL".split())
 
 
 def js(code: str, groups: Groups, grammar=None) -> tuple | None:
     """Line ends stay as NL only where a statement may end: neither behind a token that wants more nor before one that goes on."""
     if code[:2] == "#!":
         code = code[code.find("\n") :] if "\n" in code else ""
-    kind = _KINDS["js"].__getitem__
+    code += "\n"
     toks = JS.findall(code)
     if "`" in toks:  # nested templates: take them out one by one
         if code.count("`") % 2 == 0:
@@ -142,29 +154,25 @@ def js(code: str, groups: Groups, grammar=None) -> tuple | None:
             toks = JS.findall(code)
         if "`" in toks:
             return None
-    out: list = []
-    prev, pending = ";", False
+    kinds = _kinds_of("js", toks)
+    if kinds is None:
+        return None
     for t in toks:
-        if not t:
-            continue
-        if t == "\n":
-            pending = True
-            continue
-        if t[:2] == "/*":
-            pending = pending or "\n" in t
-            continue
-        k = kind(t)
-        if k == "STR" and t[0] == "`":
-            k = "TPL"
-            if "${" in t and not _fields_ok(t, groups, grammar):
-                return None
-        if pending:
-            pending = False
-            if prev not in _JS_OPEN and prev not in _OPENERS and k not in _JS_CONT and not (k == "TPL") and not (k == "{" and prev != "}"):
+        if t[0] == "`" and "${" in t and not _fields_ok(t, groups, grammar):
+            return None
+    out: list = []
+    at, prev = 0, ";"
+    ends = [i for i, k in enumerate(kinds) if k == "\n"]
+    ends.append(len(kinds))
+    for i in ends:
+        if i > at:
+            k = kinds[at]
+            if at and prev not in _JS_OPEN and k not in _JS_CONT and not (k == "{" and prev != "}"):
                 out.append("NL")
-        out.append(k)
-        prev = k
-    return None if _ERR in out else group(out, groups)
+            out += kinds[at:i]
+            prev = out[-1]
+        at = i + 1
+    return group(out, groups)
 
 
 def _fields_ok(template: str, groups: Groups, grammar) -> bool:
@@ -187,53 +195,62 @@ def _fields_ok(template: str, groups: Groups, grammar) -> bool:
     return True
 
 
-_INDENT = re.compile(r"[ \t\f]*")
+_WIDTHS: dict[str, int] = {}
+
+
+def _width(line_end: str) -> int:
+    if line_end not in _WIDTHS:
+        width = 0
+        for ch in line_end[1:]:
+            width = (width // 8 + 1) * 8 if ch == "\t" else 0 if ch == "\f" else width + 1
+        _WIDTHS[line_end] = width
+    return _WIDTHS[line_end]
 
 
 def python(code: str, groups: Groups) -> list | None:
-    """Logical lines as (indentation, tokens); None when brackets or indentation can't be right."""
-    if code[:1] == "﻿":
+    """Logical lines as (indentation, tokens with nested groups); None when brackets can't be right."""
+    if code[:1] == "\ufeff":
         code = code[1:]
     if "\r" in code:
         code = code.replace("\r\n", "\n").replace("\r", "\n")
     if "\x00" in code:
         return None
-    kind = _KINDS["py"].__getitem__
-    lines, out, depth, start, stack = [], [], 0, True, []
-    indent = 0
-    for m in PY.finditer(code + "\n"):
-        t = m.group(1)
-        if not t:
-            continue
-        if t == "\n":
-            if depth == 0 and out:
-                lines.append((indent, out))
-                out = []
-            continue
-        k = kind(t)
-        if k == _ERR:
-            return None
-        if k == "FSTR":
-            if "{" in t and not _fstring_ok(t):
+    toks = PY.findall("\n" + code + "\n")
+    kinds = list(map(_KINDS["py"].__getitem__, toks))
+    if _ERR in kinds:
+        return None
+    if "FSTR" in kinds:
+        for i in [i for i, k in enumerate(kinds) if k == "FSTR"]:
+            if "{" in toks[i] and not _fstring_ok(toks[i]):
                 return None
-            k = "STR"
-        if not out and depth == 0:
-            at = m.start(1)
-            lead = code[code.rfind("\n", 0, at) + 1 : at]
-            if lead.strip(" \t\f"):
-                lead = _INDENT.match(lead).group(0)
-            width = 0
-            for ch in lead:
-                width = (width // 8 + 1) * 8 if ch == "\t" else 0 if ch == "\f" else width + 1
-            indent = width
-        if k in _OPENERS:
-            depth += 1
-        elif k in _CLOSE:
-            depth -= 1
-            if depth < 0:
+            kinds[i] = "STR"
+    lines: list = []
+    out: list = []
+    stack: list = []
+    at = indent = 0
+    for i in [i for i, k in enumerate(kinds) if k in _LINES_TOO]:
+        if i > at:
+            out += kinds[at:i]
+        at = i + 1
+        k = kinds[i]
+        if k == "\n":
+            if not stack:
+                if out:
+                    lines.append((indent, tuple(out)))
+                    out = []
+                indent = _width(toks[i])
+        elif k in _OPENERS:
+            stack.append((k, out))
+            out = []
+        else:
+            if not stack:
                 return None
-        out.append(k)
-    return None if depth or out else lines
+            opener, outer = stack.pop()
+            if opener != _CLOSE[k]:
+                return None
+            outer.append(groups.intern(opener, tuple(out)))
+            out = outer
+    return None if stack or out else lines
 
 
 def _fstring_ok(t: str) -> bool:

@@ -60,9 +60,8 @@ def _python(code: str) -> bool:
         return False
     levels, outs = [0], [[]]
     opened = True  # whether a deeper line may follow
-    for n, (indent, kinds) in enumerate(lines):
-        toks = lexers.group(kinds, _GROUPS)
-        kind = toks and _line_kind(toks, g)
+    for n, (indent, toks) in enumerate(lines):
+        kind = _line_kind(toks, g)
         if not kind:
             return False
         if indent > levels[-1]:
