@@ -62,7 +62,7 @@ def iso_ts(col: Column | str) -> Column:
     Null, empty and malformed texts give null; the session's time zone has no influence.
     """
     c = F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(" \t\r\n"))
-    zoned = F.when(c.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$") & (F.length(c) > 10), c).otherwise(F.concat(c, F.lit("Z")))
+    zoned = F.when(c.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$") & (F.length(c) > 10), c).otherwise(F.concat(c, F.when(F.length(c) == 10, "T00:00:00Z").otherwise("Z")))
     return F.when(F.length(c) >= 10, zoned.try_cast("timestamp"))
 
 

@@ -125,7 +125,8 @@ def units(files: DataFrame) -> DataFrame:
                 stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 for u in python_units(code, stem) if lang == "python" else brace_units(code, stem, lang):
                     rows.append({"file_path": path, "namespace": ns, "language": lang, "parameters": [], "decorators": [], "calls": [], "imports": [], **u})
-            yield pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names).astype(object)
+            yield out.where(out.notna(), None)
 
     lang = language_of(F.col("file_path"))
     rows = files.select("file_path", "namespace", lang.alias("language"), "code").where(F.col("language").isin("python", *_DECLARES) & (F.length("code") > 0))

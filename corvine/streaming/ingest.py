@@ -12,7 +12,8 @@ from corvine.sources.store import upsert, write
 
 def file_stream(spark: SparkSession, folder: str, namespace: str) -> DataFrame:
     """New files of a folder as (file_path, code, language, namespace, modified)."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     return files.select(F.col("path").alias("file_path"), decode("content").alias("code"), language_of(F.col("path")).alias("language"), F.lit(namespace).alias("namespace"), F.col("modificationTime").alias("modified"))
 
 
