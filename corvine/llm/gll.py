@@ -258,6 +258,8 @@ def statements(content: tuple, groups: Groups) -> list[tuple]:
         elif t == ";" or t == "NL":
             if t == ";" and content[at] in _HEADS and not (content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{") and any(x.__class__ is int and groups.of[x][0] == "{" for x in content[i + 1 : i + 40]) and content[at + 1].__class__ is not int:
                 continue
+            if t == "NL" and i < last and content[i + 1] in ("else", "catch", "finally"):
+                continue
             block = t == "NL" and i > at and content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{"
             out.append(content[at : i if block else i + 1])  # a line end behind a block ends nothing
             at = i + 1

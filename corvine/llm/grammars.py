@@ -123,7 +123,7 @@ ExportSpec = (Word | STR) ('as' (Word | STR))?
 Declaration = VarDecl Semi | Func | Class
 Block = Stmt*
 Stmt = C:Block | VarDecl Semi | Expr Semi | If | For | 'while' P:Expr NL? Stmt | 'do' Stmt NL? 'while' P:Expr Semi? | 'continue' Id? Semi | 'break' Id? Semi | 'return' Expr? Semi | 'throw' Expr Semi | 'switch' P:Expr C:Cases | Try | 'debugger' Semi | Func | Class | Id ':' Stmt | ';' | NL
-If = 'if' P:Expr NL? Stmt ('else' NL? Stmt)?
+If = 'if' P:Expr NL? Stmt (NL? 'else' NL? Stmt)?
 For = 'for' 'await'? P:ForHead NL? Stmt
 ForHead = (VarDecl | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const') Binding ('of' Assign | 'in' Expr) | Member ('of' Assign | 'in' Expr)
 Try = 'try' C:Block NL? ('catch' P:CatchParam? C:Block NL? ('finally' C:Block)? | 'finally' C:Block)

@@ -139,7 +139,7 @@ def go(code: str, groups: Groups) -> tuple | None:
 
 
 _JS_OPEN = frozenset("; , . ?. = + - * / % & | ^ < ? : == === != !== && || ?? => ! ~ ... ( [ { typeof void delete new in of instanceof += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= extends case else do import const let var function @ as implements".split())
-_JS_CONT = frozenset("; , . ?. = + - * / % & | ^ < > ? : == === != !== && || ?? => += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= ) ] } in instanceof else catch finally ( [ extends implements satisfies TPL".split())
+_JS_CONT = frozenset("; , . ?. = + - * / % & | ^ < > ? : == === != !== && || ?? => += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= ) ] } in instanceof ( [ extends implements satisfies TPL".split())
 
 
 def js(code: str, groups: Groups, grammar=None) -> tuple | None:
