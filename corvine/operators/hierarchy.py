@@ -76,7 +76,6 @@ def hierarchy(edges: DataFrame, paths: bool = False, split_every: int = SPLIT_EV
             (F.coalesce(chosen("parent"), F.lit(False)) | F.col("_hot_parent").isNotNull()).alias("below_splitter"),
         )
     )
-    seed = cut(seed)
 
     # Walks. A splitter stands at itself; any other node takes its first step to its parent. A parent that is a splitter
     # by its hash or its many children is known as one without a lookup, so no walk ever looks up a hot id.
