@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table in few files over the session's cores, before work that costs far more than a shuffle.
+
+    A table that already comes in as many partitions as there are cores (any large one) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def norm_id(col: Column | str) -> Column:
     """Ids and types are the same when equal after trimming and lower-casing; a null stays null."""
     c = F.col(col) if isinstance(col, str) else col

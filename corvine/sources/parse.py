@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import spread
 from corvine.model import unit_id
 from corvine.sources.files import language_of
 
@@ -130,4 +131,4 @@ def units(files: DataFrame) -> DataFrame:
 
     lang = language_of(F.col("file_path"))
     rows = files.select("file_path", "namespace", lang.alias("language"), "code").where(F.col("language").isin("python", *_DECLARES) & (F.length("code") > 0))
-    return rows.mapInPandas(run, SCHEMA).withColumn("id", unit_id(F.col("file_path"), F.col("line_start"), F.col("name")))
+    return spread(rows).mapInPandas(run, SCHEMA).withColumn("id", unit_id(F.col("file_path"), F.col("line_start"), F.col("name")))
