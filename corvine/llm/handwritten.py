@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import spread
 from corvine.llm.syntax import LANGUAGES, extension, parses
 
 #: Notices in comments that say a file was written by a tool or taken over, in small letters.
@@ -121,11 +122,11 @@ def body_key(ext: str, code: str, end: int) -> bytes | None:
     return hashlib.blake2b(f"{ext}\n{body}".encode(), digest_size=16).digest() if body else None
 
 
-def not_handwritten(files: DataFrame, key: str = "file_id", spread: int = 3) -> DataFrame:
+def not_handwritten(files: DataFrame, key: str = "file_id", least: int = 3) -> DataFrame:
     """(key, reason) of source files not written by hand for their service; reason: notice, place, made or copied.
 
     notice: a comment at the head or foot says so (multi-pattern automaton); place: path, file name or namespace; made:
-    compressed or data; copied: the same body lies under ``spread`` or more namespaces (null namespaces aren't counted).
+    compressed or data; copied: the same body lies under ``least`` or more namespaces (null namespaces aren't counted).
     The first that holds is given. Empty files and files of blank space or comments alone are hand-written unless by
     notice or place; a file that doesn't parse is a case by notice or place only. Null paths and codes give nothing.
 
@@ -152,8 +153,8 @@ def not_handwritten(files: DataFrame, key: str = "file_id", spread: int = 3) ->
             yield pd.DataFrame({"_k": b["_k"][good], "reason": "copied"})
 
     rows = files.select(F.col(key).alias("_k"), extension().alias("ext"), "file_path", "namespace", "code").where(F.col("ext").isin(*LANGUAGES) & F.col("code").isNotNull())
-    judged = rows.mapInPandas(judge, f"_k {kind}, namespace string, reason string, body binary")
-    wide = judged.where("body is not null and namespace is not null").select("body", "namespace").distinct().groupBy("body").agg(F.count("*").alias("_n")).where(F.col("_n") >= spread).select("body")
+    judged = spread(rows).mapInPandas(judge, f"_k {kind}, namespace string, reason string, body binary")
+    wide = judged.where("body is not null and namespace is not null").select("body", "namespace").distinct().groupBy("body").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("body")
     copied = judged.where("reason is null and body is not null").join(wide, "body", "left_semi").select("_k")
     copied = rows.join(copied, "_k", "left_semi").select("_k", "ext", "code").mapInPandas(still_parse, f"_k {kind}, reason string")
     return judged.where("reason is not null").select("_k", "reason").unionByName(copied).withColumnRenamed("_k", key)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import spread
+
 #: The languages told apart, and the spellings of labels (small letters, up to the first - or _).
 LANGS = ["en", "de", "fr", "es", "pt", "it", "nl"]
 LABELS = {
@@ -219,7 +221,7 @@ def language_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 at += len(x)
             yield pd.DataFrame(rows, columns=[key, "start", "end", "language", "confidence", "label_lang"])
 
-    return docs.select(key, text, lang).where(F.length(F.trim(text)) > 0).mapInPandas(classify, schema)
+    return spread(docs.select(key, text, lang).where(F.length(F.trim(text)) > 0)).mapInPandas(classify, schema)
 
 
 def wrong_labels(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import spread
 from corvine.llm import lexers
 from corvine.llm.gll import MEMO_LIMIT, Groups
 from corvine.llm.grammars import grammars
@@ -134,7 +135,7 @@ def syntax_errors(files: DataFrame, key: str = "file_id") -> DataFrame:
             yield b.loc[bad, [key]]
 
     rows = files.select(F.col(key), extension().alias("ext"), "code").where(F.col("ext").isin(*LANGUAGES) & (F.length("code") > 0))
-    return rows.mapInPandas(judge, f"`{key}` {kind}")
+    return spread(rows).mapInPandas(judge, f"`{key}` {kind}")
 
 
 def repository(namespace: str = "namespace") -> Column:
@@ -153,7 +154,7 @@ def syntax_error_rates(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"repository": b["repository"], "ext": b["ext"], "bad": [not parses(e, c) for e, c in zip(b["ext"], b["code"], strict=True)]})
 
     rows = files.select(repository().alias("repository"), extension().alias("ext"), "code").where(F.col("ext").isin(*LANGUAGES))
-    judged = rows.mapInPandas(judge, "repository string, ext string, bad boolean")
+    judged = spread(rows).mapInPandas(judge, "repository string, ext string, bad boolean")
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.col("ext")]
     return judged.groupBy("repository", language.alias("language")).agg(
         F.count("*").alias("files"), F.count_if("bad").alias("invalid_files"), F.round(F.count_if("bad") / F.count("*"), 6).alias("invalid_rate")

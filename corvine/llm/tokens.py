@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.common import salted_lookup
+from corvine.common import salted_lookup, spread
 
 #: Where the vocabulary files of public tokenizers lie; a parameter of every operator here.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -149,7 +149,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
         return parts.map(lambda p: join_chunks([(c["chunk"], c["ids"].tolist() if hasattr(c["ids"], "tolist") else c["ids"], c["sure"], c["n_sure"]) for c in p], enc) if p is not None and len(p) else [])
 
     rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    placed = rows.select("_key", "_row", F.posexplode_outer(cut_up("_text")).alias("_seq", "chunk"))
+    placed = spread(rows).select("_key", "_row", F.posexplode_outer(cut_up("_text")).alias("_seq", "chunk"))
     known = placed.where("chunk is not null").select("chunk").distinct().select("chunk", encode("chunk").alias("_e"))
     joined = salted_lookup(placed, known, "chunk")
     one = F.when(F.col("chunk").isNotNull(), F.struct("_seq", "chunk", "_e.ids", "_e.sure", "_e.n_sure"))
