@@ -24,9 +24,9 @@ LABELS = {
     "it": "it ita italian italiano italienisch italien italiaans",
     "nl": "nl nld dut dutch nederlands niederländisch niederlaendisch néerlandais neerlandais neerlandés holandés holandês olandese flemish vlaams hollands",
 }
-#: The classifier is fitted on at most so many labelled documents (those with the smallest hash), at most so many of
-#: their sentences per language, with so many landmark sentences.
-SAMPLE_DOCS, SAMPLE_SENTENCES, LANDMARKS = 4000, 700, 420
+#: The classifier is fitted on at most so many labelled documents of at most so many characters (those with the smallest
+#: hash), at most so many of their sentences per language, with so many landmark sentences.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES, LANDMARKS = 4000, 20_000, 700, 420
 #: Presence kernel over blended spectra: n-grams of these lengths, hashed to 2^BITS places; ridge of the regression.
 NGRAMS, BITS, RIDGE = (2, 3, 4), 16, 0.05
 #: A sentence is of another language than its text's main one if its score leads by so much.
@@ -34,7 +34,7 @@ MIX = 0.3
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[\s\S]*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M)
 _TICKS = re.compile(r"(`+)[^`\n]*?\1|``")
-_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]*_]*(?:\s+|\Z)")
+_END = re.compile(r"(?<=[.!?…])(?:[\"'”’»)\]*_]*(?:\s+|\Z)|[^\w\s.!?…,;:/\\-]|[^A-Za-zÀ-ÿ]*\Z)")
 _BULLET = re.compile(r"^[ \t]*(?:>[ \t]*)*(?:[-*+•][ \t]+|\d+[.)][ \t]+)?(?:\[[ xX]\][ \t]+)?")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
@@ -156,13 +156,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """The classifier fitted on the bounded sample; None when no document has both a usable label and a sentence."""
     first = F.lower(F.trim(F.regexp_extract(F.trim(lang), r"^[^-_ (]+", 0)))
     pairs = F.create_map(*[F.lit(x) for k, names in LABELS.items() for n in names.split() for x in (n, k)])
-    usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), pairs[first].alias("l")).where("l is not null and length(t) > 40")
+    usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), pairs[first].alias("l")).where(F.col("l").isNotNull() & F.length("t").between(41, SAMPLE_CHARS))
     rows = usable.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS).select("t", "l").collect()
     texts: list[str] = []
     langs: list[str] = []
     count = dict.fromkeys(LANGS, 0)
     for r in rows:
-        for _, s in sentences(r["t"][:20000])[:8]:
+        found = sentences(r["t"])
+        for _, s in found[:: max(1, len(found) // 8)]:
             p = plain(s)
             if count[r["l"]] < SAMPLE_SENTENCES and len(p) > 20:
                 count[r["l"]] += 1
