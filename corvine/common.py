@@ -6,7 +6,7 @@ import os
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than total / (HOT_SHARE * partitions) rows counts as hot; so there are at most HOT_SHARE * partitions hot keys.
@@ -99,5 +99,27 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left"
     return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
+def part_of_hot(df: DataFrame, key: str, member: str) -> DataFrame:
+    """Add ``part``: 0, and for rows of a hot key one of SALTS parts by the hash of ``member``; so groups by key and part
+    stay small enough to be collected."""
+    hot = hot_keys(df, key).select(F.col(key).alias("_hot"))
+    part = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+    return df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("part", part).drop("_hot")
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:
+    """Number the rows of each key in a total order, without gathering a hot key in one task.
+
+    Rows are range-partitioned by key and order, numbered within (key, partition), and shifted by the sizes of the key's
+    earlier partitions. The partitioned rows are checkpointed, so that both passes see the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, F.col(key), *order).withColumn("_at", F.spark_partition_id()))
+    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_at").orderBy(*order)))
+    sizes = placed.groupBy(key, "_at").agg(F.count("*").alias("_size"))
+    shift = sizes.select(key, "_at", (F.sum("_size").over(Window.partitionBy(key).orderBy("_at")) - F.col("_size")).alias("_shift"))
+    return local.join(shift, [key, "_at"]).withColumn(name, F.col("_n") + F.col("_shift")).drop("_at", "_n", "_shift")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

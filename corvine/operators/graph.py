@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import numbered, part_of_hot
 from corvine.model import service
 from corvine.operators import expand
 
@@ -35,9 +36,9 @@ def class_hierarchy(n: DataFrame, e: DataFrame, depth: int = 6) -> DataFrame:
 
 
 def module_dependencies(n: DataFrame, e: DataFrame) -> DataFrame:
-    """Per importing node the sorted imported names and kinds of import."""
-    i = ends(n, e, "IMPORTS")
-    return i.groupBy("src_id").agg(F.first("src_name").alias("module"), F.count("*").alias("n_imports"), F.array_join(F.array_sort(F.collect_set("dst_name")), ",").alias("imports"), F.array_join(F.array_sort(F.collect_set("import_type")), ",").alias("import_types")).withColumnRenamed("src_id", "module_id")
+    """Per importing node the sorted imported names and kinds of import; the lists of a hot node come in parts."""
+    i = part_of_hot(ends(n, e, "IMPORTS"), "src_id", "dst_id")
+    return i.groupBy("src_id", "part").agg(F.first("src_name").alias("module"), F.count("*").alias("n_imports"), F.array_join(F.array_sort(F.collect_set("dst_name")), ",").alias("imports"), F.array_join(F.array_sort(F.collect_set("import_type")), ",").alias("import_types")).withColumnRenamed("src_id", "module_id")
 
 
 def function_context(n: DataFrame, e: DataFrame) -> DataFrame:
@@ -53,10 +54,11 @@ def function_context(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def grouped_neighbours(n: DataFrame, e: DataFrame, kind: str, direction: str = "out") -> DataFrame:
-    """Per node the sorted distinct names at the other end of a type."""
+    """Per node the sorted distinct names at the other end of a type. The list of a hot node comes in
+    several parts, a row each."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    x = ends(n, e, kind)
-    return x.groupBy(F.col(f"{a}_id").alias("id"), F.col(f"{a}_name").alias("name")).agg(F.count_distinct(f"{b}_id").alias("n"), F.array_join(F.array_sort(F.collect_set(f"{b}_name")), ",").alias("others"))
+    x = part_of_hot(ends(n, e, kind), f"{a}_id", f"{b}_id")
+    return x.groupBy(F.col(f"{a}_id").alias("id"), F.col(f"{a}_name").alias("name"), "part").agg(F.count_distinct(f"{b}_id").alias("n"), F.array_join(F.array_sort(F.collect_set(f"{b}_name")), ",").alias("others"))
 
 
 def without_edge(n: DataFrame, e: DataFrame, kind: str, label: tuple[str, ...], out: bool = True, into: bool = False) -> DataFrame:
@@ -72,9 +74,9 @@ def without_edge(n: DataFrame, e: DataFrame, kind: str, label: tuple[str, ...],
 
 def ordered_children(n: DataFrame, e: DataFrame, kind: str) -> DataFrame:
     """Children of a type in their stored order, numbered."""
-    x = ends(n, e, kind)
-    w = Window.partitionBy("src_id").orderBy(F.col("order_no").asc_nulls_last(), "dst_id")
-    return x.select(F.col("src_id").alias("parent_id"), F.row_number().over(w).alias("place"), F.col("dst_id").alias("child_id"), F.col("dst_name").alias("child"))
+    x = ends(n, e, kind).select("src_id", "order_no", "dst_id", "dst_name")
+    x = numbered(x, "src_id", [F.col("order_no").asc_nulls_last(), F.col("dst_id").asc()])
+    return x.select(F.col("src_id").alias("parent_id"), "place", F.col("dst_id").alias("child_id"), F.col("dst_name").alias("child"))
 
 
 def search_by_name(n: DataFrame, namespace: str, term: str, limit: int) -> DataFrame:

@@ -216,3 +216,17 @@ def test_stream(spark, tmp_path):
     (src / "b.go").write_text("package b")
     ingest.keep_table(ingest.file_stream(spark, str(src), "n"), out, ["namespace", "file_path"], str(tmp_path / "cp")).awaitTermination()
     assert {r.language for r in spark.read.parquet(out).collect()} == {"python", "go"}
+
+
+def test_hot_keys_are_numbered_and_split(spark, monkeypatch):
+    import corvine.common as common
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (10,))
+    rows = [("hot", i % 50, f"m{i:03}") for i in range(300)] + [("a", None, "x"), ("a", 1, "y"), ("b", 1, "z")]
+    df = spark.createDataFrame(rows, "k string, o int, m string")
+    got = {(r.k, r.m): r.place for r in common.numbered(df, "k", [F.col("o").asc_nulls_last(), F.col("m").asc()]).collect()}
+    assert [m for _, m in sorted((p, m) for (k, m), p in got.items() if k == "hot")] == [m for _, _, m in sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[1], r[2]))]
+    assert (got["a", "y"], got["a", "x"], got["b", "z"]) == (1, 2, 1)
+    parts = common.part_of_hot(df, "k", "m")
+    assert parts.where("k = 'hot'").select("part").distinct().count() > 8 and parts.where("k <> 'hot'").select("part").distinct().collect()[0].part == 0
+    assert parts.count() == len(rows)
