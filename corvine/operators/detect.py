@@ -82,3 +82,17 @@ def flows(n: DataFrame, e: DataFrame, starts: DataFrame, depth: int) -> DataFram
     """(start, node_count, max_depth) of the functions that each entry reaches over calls, all entries at once."""
     r = expand.reach(e.where("type = 'CALLS'"), starts, depth)
     return r.groupBy("start").agg(F.count("*").alias("node_count"), F.max("depth").alias("max_depth"))
+
+
+def handler_chain(code: Column, path: str) -> Column:
+    """Decoder, endpoint and encoder of a Go route, in the order of the call; null without the route."""
+    quoted = path.replace("\\", "\\\\").replace(".", "\\.")
+    p = rf'Path\("{quoted}"\)\.Handler\([^)]*\((?:e\.(\w+)Endpoint)\),\s*(\w+),\s*(\w+)'
+    part = lambda k: F.nullif(F.regexp_extract(code, p, k), F.lit(""))
+    return F.when(part(1).isNotNull(), F.array(part(2), part(1), part(3)))
+
+
+def outline(reached: DataFrame, n: DataFrame) -> DataFrame:
+    """(start, depth, line) of reached functions, indented by their depth."""
+    names = n.select(F.col("id").alias("node"), "name")
+    return reached.join(names, "node").select("start", "node", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("name")).alias("line"))

@@ -230,3 +230,9 @@ def test_hot_keys_are_numbered_and_split(spark, monkeypatch):
     parts = common.part_of_hot(df, "k", "m")
     assert parts.where("k = 'hot'").select("part").distinct().count() > 8 and parts.where("k <> 'hot'").select("part").distinct().collect()[0].part == 0
     assert parts.count() == len(rows)
+
+
+def test_handler_chain(spark):
+    code = 'r.Methods("POST").Path("/pay").Handler(http.NewServer(mw(e.AuthoriseEndpoint), decodeReq, encodeRes))'
+    assert one(spark, detect.handler_chain(F.col("c"), "/pay"), c=code) == ["decodeReq", "Authorise", "encodeRes"]
+    assert one(spark, detect.handler_chain(F.col("c"), "/x"), c=code) is None
