@@ -16,7 +16,7 @@ import re
 _SYMBOL = re.compile(r"\s*(?:('(?:[^'])+')|([PBC]):(\w+)|(\w+)|(\$)|([()|*+?]))")
 _OPEN = {"P": "(", "B": "[", "C": "{"}
 #: Remembered shapes and groups per Python worker; at this number the tables start anew.
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 250_000
 
 
 class Groups:

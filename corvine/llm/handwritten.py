@@ -39,8 +39,6 @@ FOREIGN_NAMESPACES = re.compile(r"(?:^|[:/])(?:third[-_]party|thirdparty|3rdpart
 _AUTOMATON: dict = {}
 _LEAD = {"py": re.compile(r"(?:\s+|#[^\n]*)*")}
 _LEAD_C = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|#![^\n]*)*")
-_TAIL = {"py": re.compile(r"(?:^[ \t]*(?:#[^\n]*)?\n?)+\Z", re.M)}
-_TAIL_C = re.compile(r"(?:^[ \t]*(?://[^\n]*)?\n?|^[ \t]*/\*(?:(?!\*/)[\s\S])*\*/[ \t]*\n?)+\Z", re.M)
 _STRINGS = re.compile(r"""\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`""")
 _COMMENTS = {"py": re.compile(r"#[^\n]*")}
 _COMMENTS_C = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")

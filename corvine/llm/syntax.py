@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ from corvine.llm.grammars import grammars
 
 #: Extension -> language of the supported source files.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java"}
+#: Frames of the parser's own recursion, a few for each level of brackets.
+DEEPEST = 20_000
 _GROUPS = Groups()
 _LEX = {"java": lexers.java, "go": lexers.go}
 _HEADS = {"if": ("HIf", "IF"), "elif": ("HElif", "ELIF"), "else": ("HElse", "ELSE"), "while": ("HWhile", "WHILE"), "for": ("HFor", "FOR"), "try": ("HTry", "TRY"), "except": ("HExcept", "EXCEPT"), "finally": ("HFinally", "FINALLY"), "with": ("HWith", "WITH"), "def": ("HDef", "DEF"), "class": ("HClass", "CLASS")}
@@ -93,7 +96,8 @@ def _brackets(ext: str, code: str, g) -> bool:
 
 
 def parses(ext: str, code: str | None) -> bool:
-    """Whether any dialect grammar of the extension accepts the text. Null and empty texts and other extensions do.
+    """Whether any dialect grammar of the extension accepts the text. Null and empty texts and other extensions do; a text
+    nested deeper than some thousand brackets does not.
 
     A Python file that every grammar rejects is a case only if the reference parser of this Python rejects it too.
     """
@@ -106,9 +110,14 @@ def parses(ext: str, code: str | None) -> bool:
         for e in LANGUAGES:
             for g in grammars(e):
                 g.memo.clear()
-    if ext == "py":
-        return _python(code) or _reference(code)
-    return any(_brackets(ext, code, g) for g in grammars(ext))
+    if sys.getrecursionlimit() < DEEPEST:
+        sys.setrecursionlimit(DEEPEST)
+    try:
+        if ext == "py":
+            return _python(code) or _reference(code)
+        return any(_brackets(ext, code, g) for g in grammars(ext))
+    except RecursionError:
+        return False
 
 
 def _reference(code: str) -> bool:

@@ -44,3 +44,9 @@ def test_frames(spark):
     rates = {(r.repository, r.language): (r.files, r.invalid_files, r.invalid_rate) for r in syntax.syntax_error_rates(df).collect()}
     assert rates == {("r", "python"): (2, 1, 0.5), ("r", "go"): (1, 0, 0.0), (None, "java"): (1, 0, 0.0)}
     assert syntax.syntax_errors(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_ends():
+    for ext, a, b in (("js", "x = " + "[" * 900, "]" * 900), ("java", "class A { int x = " + "(" * 900 + "1", ")" * 900 + "; }"), ("go", "package a\nvar x = " + "(" * 60_000 + "1", ")" * 60_000), ("py", "x = " + "(" * 60_000, ")" * 60_000)):
+        assert syntax.parses(ext, a + b) in (True, False)
+    assert syntax.parses("js", "x = " + "[" * 900 + "]" * 900)
