@@ -46,8 +46,9 @@ _LITERALS = re.compile(r"""(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_.]*(?:[eE]
 _LOGIC = re.compile(r"\b(?:def|lambda|function|func|return|if|for|while|switch|try|throw|raise|import\s+\(|=>|->)\b|=>|->")
 #: A line longer than this without its texts, and code with fewer blanks per character than this, is compressed.
 LONG_LINE, FEW_BLANKS = 240, 0.06
-#: This share of literals in the code without comments, and so many literals at least, make data.
-DATA_SHARE, DATA_LEAST = 0.6, 24
+#: This share of literals in the code without comments, and so many literals at least, make data; so do texts without
+#: blanks of so many characters under hardly any name.
+DATA_SHARE, DATA_LEAST, DATA_TEXT = 0.6, 24, 400
 
 
 def notice(text: str) -> bool:
@@ -100,6 +101,11 @@ def looks_made(ext: str, code: str) -> bool:
     longest = max(map(len, solid.split("\n")))
     if longest > LONG_LINE and ext != "go" and sum(c.isspace() for c in solid) < FEW_BLANKS * len(solid):
         return True
+    logic = _LOGIC.search(solid)
+    if not logic and len(re.findall(r"[A-Za-z_$][\w$]*", solid)) <= 6:
+        texts = "".join(m.group() for m in _STRINGS.finditer(code))
+        if len(texts) >= max(DATA_TEXT, DATA_SHARE * len(code)) and sum(c.isspace() for c in texts) < 0.05 * len(texts):
+            return True
     n = 0
 
     def count(m: re.Match) -> str:
@@ -108,7 +114,7 @@ def looks_made(ext: str, code: str) -> bool:
         return ""
 
     rest = re.sub(r"[\s,\[\]{}();:]+", "", _LITERALS.sub(count, solid))
-    if n < DATA_LEAST or _LOGIC.search(solid):
+    if n < DATA_LEAST or logic:
         return False
     whole = re.sub(r"\s+", "", solid)
     return len(rest) <= (1 - DATA_SHARE) * len(whole) or n >= 6 * len(re.findall(r"[A-Za-z_$][\w$]*(?!\s*:|[\w$])", solid))
