@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str]) -> in
     """Replace rows of equal key and add the others; returns the rows written. Only partitions of the namespaces
     that ``new`` touches are written again; rows must be unique by key, of repeated ones any one stays."""
     fresh = new.dropDuplicates(key)
-    names = fresh.select("namespace").distinct()
-    old = spark.read.parquet(path).join(names, "namespace", "left_semi").join(fresh.select(*key), key, "left_anti")
-    merged = old.unionByName(fresh, allowMissingColumns=True)
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])  # noqa: E731 - null keys are keys
+    old, names = spark.read.parquet(path), fresh.select("namespace").distinct()
+    kept = old.join(names, same(old, names, ["namespace"]), "left_semi").alias("o")
+    asked = fresh.select(*[F.col(c).alias(f"_{c}") for c in key])
+    kept = kept.join(asked, reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"_{c}")) for c in key]), "left_anti")
+    merged = kept.unionByName(fresh, allowMissingColumns=True)
     staged = f"{path}.staged"
     merged.write.mode("overwrite").parquet(staged)  # the table can't be read while its partitions are replaced
     out = spark.read.parquet(staged)

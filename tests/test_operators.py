@@ -194,6 +194,11 @@ def test_sources_and_store(spark, tmp_path):
     store.write(spark.createDataFrame([("n", "a", 1), ("m", "a", 1)], "namespace string, id string, v int"), t)
     store.upsert(spark, t, spark.createDataFrame([("n", "a", 2), ("n", "b", 3)], "namespace string, id string, v int"), ["namespace", "id"])
     assert {(r.namespace, r.id, r.v) for r in spark.read.parquet(t).collect()} == {("n", "a", 2), ("n", "b", 3), ("m", "a", 1)}
+    store.upsert(spark, t, spark.createDataFrame([(None, "a", 7), (None, "c", 8)], "namespace string, id string, v int"), ["namespace", "id"])
+    store.upsert(spark, t, spark.createDataFrame([(None, "a", 9)], "namespace string, id string, v int"), ["namespace", "id"])
+    assert {(r.id, r.v) for r in spark.read.parquet(t).where("namespace is null").collect()} == {("a", 9), ("c", 8)}
+    spark.read.parquet(t).where("namespace is not null").write.mode("overwrite").partitionBy("namespace").parquet(t + "2")
+    t += "2"
     store.delete_namespace(spark, t, "n")
     assert {(r.namespace, r.v) for r in spark.read.parquet(t).collect()} == {("m", 1)}
 

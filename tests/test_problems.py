@@ -90,3 +90,12 @@ def test_hot_parent_is_salted(spark, monkeypatch):
     links = [(f"k{i}", "hub") for i in range(200)] + [("hub", "top"), ("x", "k7")]
     got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.hierarchy(edges_of(spark, links)).collect()}
     assert got == brute(links) | {"lonely": ("lonely", 0)}
+
+
+def test_hot_reference_is_salted(spark, monkeypatch):
+    import corvine.common as common
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (10,))
+    edges = [(i, "a", "Hot " if i % 3 else f"n{i}", "USES", "2024-01-01T00:00:00", None) for i in range(300)] + [(900, "a", "gone", "USES", None, None)] * 40
+    got = references.orphan_links(*tables(spark, edges, [("hot", "f", "n", None, "2025-01-01", None)], [], [], [("gone", "g", "n")])).collect()
+    assert sum(r.orphan_kind == "late" for r in got) == 200 and sum(r.orphan_kind == "missing" for r in got) == 100 and sum(r.orphan_kind == "deleted" for r in got) == 40
