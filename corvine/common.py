@@ -79,8 +79,8 @@ def hot_keys(df: DataFrame, key: str, least: int = HOT_LEAST) -> DataFrame:
     """Keys that hold more than their share of the rows. At most HOT_SHARE * shuffle partitions rows come out."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.where(F.col("_n") > least).join(F.broadcast(total), F.col("_n") * (HOT_SHARE * parts) > F.col("_total")).select(key)
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") > least) & (F.col("_n") * (HOT_SHARE * parts) > total)).select(key)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
