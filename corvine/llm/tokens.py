@@ -130,28 +130,41 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
     """(key, ids): the ids of every row's text by byte_bpe_50k, without special tokens.
 
     Null and empty texts give an empty list. A row comes out for each row that goes in, repeated keys included. The text
-    of special tokens is plain text. Chunks are made unique before they are encoded; a chunk that stands in very many
-    documents is salted when the ids are joined back; a document is put together from its own chunks only.
+    of special tokens is plain text. Chunks are made unique, by 128 bits of their SHA-256, before they are encoded; a
+    chunk that stands in very many documents is salted when its ids (two bytes each) are joined back; a document is put
+    together from its own chunks, with its text sent along once.
     """
 
     @F.pandas_udf("array<string>")
     def cut_up(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks(t) if t else [])
 
-    @F.pandas_udf("ids array<int>, sure int, n_sure int")
+    @F.pandas_udf("ids binary, sure int, n_sure int")
     def encode(texts: pd.Series) -> pd.DataFrame:
         enc = encoder(folder)
-        return pd.DataFrame([encode_chunk(t, enc) for t in texts], columns=["ids", "sure", "n_sure"])
+        rows = [encode_chunk(t, enc) for t in texts]
+        return pd.DataFrame([(np.array(ids, dtype=np.uint16).tobytes(), sure, n) for ids, sure, n in rows], columns=["ids", "sure", "n_sure"])
 
     @F.pandas_udf("array<int>")
-    def put_together(parts: pd.Series) -> pd.Series:
-        enc = encoder(folder)
-        return parts.map(lambda p: join_chunks([(c["chunk"], c["ids"].tolist() if hasattr(c["ids"], "tolist") else c["ids"], c["sure"], c["n_sure"]) for c in p], enc) if p is not None and len(p) else [])
-
-    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    placed = spread(rows).select("_key", "_row", F.posexplode_outer(cut_up("_text")).alias("_seq", "chunk"))
-    known = placed.where("chunk is not null").select("chunk").distinct().select("chunk", encode("chunk").alias("_e"))
-    joined = salted_lookup(placed, known, "chunk")
-    one = F.when(F.col("chunk").isNotNull(), F.struct("_seq", "chunk", "_e.ids", "_e.sure", "_e.n_sure"))
-    whole = joined.groupBy("_row", "_key").agg(F.array_sort(F.collect_list(one)).alias("_parts"))
-    return whole.select(F.col("_key").alias(key), put_together("_parts").alias("ids"))
+    def put_together(whole: pd.Series, parts: pd.Series) -> pd.Series:
+        enc, out = encoder(folder), []
+        for text, found in zip(whole, parts, strict=True):
+            if not text:
+                out.append([])
+                continue
+            own, at = [], 0
+            for c in found:
+                own.append((text[at : at + c["n"]], np.frombuffer(c["ids"], dtype=np.uint16).tolist(), c["sure"], c["n_sure"]))
+                at += c["n"]
+            out.append(join_chunks(own, enc))
+        return pd.Series(out)
+
+    rows = spread(docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")))
+    placed = rows.select("_row", F.posexplode(cut_up("_text")).alias("_seq", "chunk")).withColumn("_hash", F.substring(F.unhex(F.sha2("chunk", 256)), 1, 16))
+    known = placed.groupBy("_hash").agg(F.first("chunk").alias("chunk")).select("_hash", encode("chunk").alias("_e")).select("_hash", "_e.*")
+    joined = salted_lookup(placed.select("_row", "_seq", "_hash", F.char_length("chunk").alias("n")), known, "_hash")
+    parts = joined.select("_row", F.struct("_seq", "n", "ids", "sure", "n_sure").alias("_part"))
+    none = [F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"), F.lit(None).cast("string").alias("_text")]
+    both = parts.select("_row", *none, "_part").unionByName(rows.select("_row", "_key", "_text", F.lit(None).cast(parts.schema["_part"].dataType).alias("_part")))
+    whole = both.groupBy("_row").agg(F.max("_key").alias("_key"), F.max("_text").alias("_text"), F.array_sort(F.collect_list("_part")).alias("_parts"))
+    return whole.select(F.col("_key").alias(key), put_together("_text", "_parts").alias("ids"))
