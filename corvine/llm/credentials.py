@@ -32,6 +32,7 @@ KNOWN = re.compile(
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)((?:(?!-----END|-----BEGIN)[\s\S]){8,}?)(?=-----END|[\"'`]|\Z)")
+_MARK = re.compile(r"-----(?:BEGIN|END [A-Z0-9 ]*-----|END)")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://([^\s/:@\"'`<>]*):([^\s/@\"'`]+)@[\w\[${]")
 _QUERY = re.compile(r"[?&;](?:password|passwd|pwd|pass|token|access_token|api_?key|secret|sig|signature|auth)=([^&\s\"'`<>#;]+)", re.I)
 _SCHEME = re.compile(r"^\s*(basic|bearer|token|digest|apikey)\s+(\S+)\s*$", re.I)
@@ -41,7 +42,7 @@ _PLACEHOLDER = re.compile(
     |.*-(?:here|goes-here|placeholder)|(?:vault|env|file|ssm|secretsmanager|aws-sm|gcp-sm|sm|op|kms|keyring|k8s|kv|ref|arn|projects|secret|secrets|akv|bao|doppler|consul|sops|enc)[:/].*|(?:/|\./|~/).*|file:.*|.*\.(?:pem|crt|cer|key|txt|json|ya?ml|env|jks|p12))$""",
     re.I | re.X,
 )
-_PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\(\?[=!:<]|\\[dwsb]|\{\d+,?\d*\}|^\^.*\$$|[)\]][+*]")
+_PATTERN = re.compile(r"\(\?[=!:<]|\\[dwsb]|\{\d+(?:,\d*)?\}|^\^.*\$$|[)\]][+*]")
 _ALPHABET = re.compile(r"abcdefgh|ABCDEFGH|0123456789")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]{12,}={0,2}$")
 
@@ -55,6 +56,11 @@ def _decoded(v: str) -> str | None:
         return None
 
 
+def _patterned(v: str) -> bool:
+    """Whether a value holds parts of a regular expression; a range in brackets is looked for without backtracking."""
+    return bool(_PATTERN.search(v)) or any("-" in x[x.find("[") + 1 :] for x in v.split("]")[:-1] if "[" in x)
+
+
 def secret_shape(v: str, loose: bool = True) -> bool:
     """Whether a value under a sensitive name is one that lets someone in, and no placeholder, reference, label or pattern."""
     v = v.strip()
@@ -64,7 +70,7 @@ def secret_shape(v: str, loose: bool = True) -> bool:
         return False
     if re.search(r"\$\{|\{\{|process\.env|os\.environ|getenv", v) or "://" in v:
         return False
-    if _PATTERN.search(v) and not re.search(r"[!~^?]\w", v[1:]) or re.fullmatch(r"\^.*\$|.*\{\d+,\d*\}.*", v):
+    if _patterned(v) and not re.search(r"[!~^?]\w", v[1:]) or re.fullmatch(r"\^.*\$|.*\{\d+,\d*\}.*", v):
         return False
     digit, lower, upper, sign = (re.search(p, v) for p in (r"\d", r"[a-z]", r"[A-Z]", r"[^\w\s.\-/:]"))
     if re.fullmatch(r"[\d.,:_-]+", v):
@@ -82,10 +88,15 @@ def sensitive(name: str) -> bool:
 
 
 def _inside(v: str) -> list[tuple[int, int]]:
-    """Spans of credentials that a text holds whatever its name: keys, known shapes, addresses with a password."""
-    if (m := PRIVATE.search(v)) is not None:
-        return [] if MASK in v else [(m.start(), len(v))]
-    found = [m.span() for m in KNOWN.finditer(v)]
+    """Spans of all credentials that a text holds whatever its name, in order and apart: keys, known shapes, addresses with
+    a password. A key goes up to its end mark, without one up to the next mark or the end."""
+    found = []
+    for m in PRIVATE.finditer(v):
+        to = _MARK.search(v, m.end())
+        end = len(v) if to is None else to.end() if to.group().startswith("-----END") else to.start()
+        if MASK not in v[m.end() : end]:
+            found.append((m.start(), end))
+    found += [m.span() for m in KNOWN.finditer(v)]
     if "://" in v:
         for m in _URL.finditer(v):
             if _user_secret(m.group(2)):
@@ -97,9 +108,18 @@ def _inside(v: str) -> list[tuple[int, int]]:
         text = _decoded(d) if m.group(1).lower() == "basic" else None
         if (text and ":" in text and not _PLACEHOLDER.match(text.split(":", 1)[1])) or (m.group(1).lower() != "basic" and secret_shape(d)):
             found.append(m.span(2))
-    elif len(v) >= 24 and (text := _decoded(v.strip())) and (PRIVATE.search(text) or ((u := _URL.search(text)) and _user_secret(u.group(2)))):
+    elif not found and len(v) >= 24 and (text := _decoded(v.strip())) and (PRIVATE.search(text) or ((u := _URL.search(text)) and _user_secret(u.group(2)))):
         found.append((0, len(v)))
-    return sorted(found)[:1] if found else []
+    return _apart(found)
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, without those that begin inside an earlier one."""
+    out: list = []
+    for x in sorted(spans):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
 
 
 def _user_secret(p: str) -> bool:
@@ -112,6 +132,7 @@ _TOKENS = {
 }
 _WORTH = re.compile(r"[^a-z \n.,'-]")
 _KEYED = re.compile(r"""(?:["'`]([\w.$ -]{1,60})["'`]\]?|([A-Za-z_$][\w$.-]{0,80})["'\]]?\??(?:\s*:\s*[A-Za-z_][\w<>\[\], .|]{0,40}?)?)\s*(?::=|=>|==?=?|!==?|:|,|\(|\|\||\?\?|\bor\b)\s*(?:[rRbBuUfF]{0,2})\(?\s*\Z""")
+_LEAD = re.compile(r"(?:\\\n|\s)*")
 _LEFT = re.compile(r"""^[ \t]*(?:(?:export|const|let|var|final|static|private|public|protected|readonly|Object|String|char\[\]|val|self\.|this\.|#define)\s*)*["']?([A-Za-z_$][\w$.-]*)["']?\s*(?::\s*[\w<>\[\], |]+?)?\s*(?::=|=(?!=)|:)""")
 _LOGIN = re.compile(r"(?:connect|open|session|login|log_in|signin|sign_in|authenticate|auth|dial|credentials?|client|basicauth|basic_auth)\w*\s*\(\s*(?:[^()]*,\s*)?\Z", re.I)
 _NOTE = [
@@ -122,19 +143,81 @@ _NOTE = [
 ]
 
 
+_BREAK = re.compile(r"\n|\\(?:r\\n|[\s\S])")
+_PAIR = re.compile(r"""(?:^|(?<=[\s"'(,;{\[#*]))([A-Za-z_][\w.$-]*)["']?\s*(?:=>|:=|[:=])\s*(?:"([^"]+)"|'([^']+)'|([^\s"',;{}]+))""")
+_CALL = re.compile(r"[A-Za-z_][\w.]*[(\[]")
+
+
+def _notes(text: str) -> list[tuple[int, int]]:
+    """Spans of the values that prose or a command line names as secret, by the first of the patterns in each line."""
+    spans: list = []
+    for p in _NOTE:
+        new = []
+        for m in p.finditer(text):
+            v = m.group(1).rstrip(".)")
+            if secret_shape(v, loose=False) and re.search(r"\d|[!~^*+?$]", v) and not re.fullmatch(r"[\d.]+", v) and not _same_line(text, m.start(1), spans):
+                new.append((m.start(1), m.start(1) + len(v)))
+        spans += new
+    return spans
+
+
+def _same_line(text: str, at: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a span begins in the line of an offset or goes over it."""
+    first = text.rfind("\n", 0, at) + 1
+    end = text.find("\n", at)
+    return any(a <= at < b or first <= a < (end if end >= 0 else len(text)) for a, b in spans)
+
+
 def _comment(text: str, at: int, out: list) -> None:
-    spans = [(a, b) for a, b in _inside_all(text)]
-    if not spans:
-        for p in _NOTE:
-            for m in p.finditer(text):
-                v = m.group(1).rstrip(".)")
-                if secret_shape(v, loose=False) and re.search(r"\d|[!~^*+?$]", v) and not re.fullmatch(r"[\d.]+", v):
-                    spans.append((m.start(1), m.start(1) + len(v)))
-            if spans:
-                break
+    spans = _inside_all(text)
+    for a, b in _notes(text):
+        if not _same_line(text, a, spans):
+            spans.append((a, b))
+    if "\n" in text:  # a match over the end of a line may hide one in the next
+        start = 0
+        for line in text.split("\n"):
+            spans += [(start + a, start + b) for a, b in _notes(line) if not _same_line(text, start + a, spans)]
+            start += len(line) + 1
     out += [(at + a, at + b, []) for a, b in spans]
 
 
+def _pieces(v: str) -> Iterator[tuple[int, int]]:
+    """Spans of the lines of a text, cut at line feeds and at their escapes in literals."""
+    at = 0
+    for m in _BREAK.finditer(v):
+        if m.group() == "\n" or m.group()[1] in "nr\n":
+            yield at, m.start()
+            at = m.end()
+    yield at, len(v)
+
+
+def _by_line(v: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of credentials that the lines of a text name, as in embedded configuration; lines with a span taken are left."""
+    out: list = []
+    for start, end in _pieces(v):
+        line = v[start:end]
+        if not _WORTH.search(line) or any(a < end and b > start for a, b in taken):
+            continue
+        judged = []
+        for m in _PAIR.finditer(line) if ":" in line or "=" in line else ():
+            k = next(k for k in (2, 3, 4) if m.group(k) is not None)
+            value, name = m.group(k), m.group(1)
+            if k == 4 and name.lower() in ("authorization", "proxy-authorization", "x-authorization"):
+                value = line[m.start(4) :].rstrip(" \t\r\"',;")
+            inner = _inside(value)
+            if inner:
+                out.append((start + m.start(k) + inner[0][0], start + m.start(k) + inner[0][1]))
+            elif sensitive(name) and secret_shape(value) and not (k == 4 and _CALL.match(value)):
+                out.append((start + m.start(k), start + m.start(k) + len(value)))
+            else:
+                judged += [m.span()] if SENSITIVE.search(name) else []
+                continue
+            break
+        else:
+            out += [(start + a, start + b) for a, b in _notes(line)[:1] if not _CALL.match(line, a) and not any(x <= a < y for x, y in judged)]
+    return out
+
+
 def _inside_all(v: str) -> list[tuple[int, int]]:
     found = [m.span() for m in KNOWN.finditer(v)]
     found += [m.span(2) for m in _PEM.finditer(v)]
@@ -150,6 +233,15 @@ def in_source(ext: str, code: str) -> list[tuple[int, int, list]]:
     run: list = []  # texts that are joined to one value: (start, end of the content)
     prev_end, run_key, args = -1, 0, []
 
+    def placed(x: int, y: int) -> list[tuple[int, int]]:
+        """The spans in the code of a span of the value, one for each part that it touches."""
+        got, at = [], 0
+        for a, b in run:
+            if max(x, at) < min(y, at + b - a):
+                got.append((a + max(x, at) - at, a + min(y, at + b - a) - at))
+            at += b - a
+        return got
+
     def close() -> None:
         if not run:
             return
@@ -162,14 +254,17 @@ def in_source(ext: str, code: str) -> list[tuple[int, int, list]]:
         if value.startswith("data:"):
             return
         inner = _inside(value)
+        if "\n" in value or "\\n" in value:
+            inner = _apart(inner + _by_line(value, inner))
         if inner:
-            x, y = inner[0]
-            if len(run) > 1 and x < b - a:
-                out.append((a + x, b, run[1:]))
-            elif len(run) == 1:
-                out.append((a + x, a + y, []))
+            for x, y in inner:
+                first, *more = placed(x, y)
+                out.append((*first, more))
             return
-        if len(value) > 4000 or "\n" in value:
+        lead = _LEAD.match(value).end()
+        whole = placed(lead, len(value.rstrip())) if "\n" in value else list(run)
+        value = value[lead:] if "\n" in value else value
+        if "\n" in value.strip() or not whole:
             return
         first = code.rfind("\n", 0, run_key) + 1
         if first and not code[first:run_key].strip():  # the key stands on the line before
@@ -186,9 +281,9 @@ def in_source(ext: str, code: str) -> list[tuple[int, int, list]]:
             if left and SENSITIVE.search(left.group(1)):
                 name, harmless = left.group(1), HARMLESS.search(left.group(1))
         if name and SENSITIVE.search(name) and not harmless and secret_shape(value):
-            out.append((a, b, run[1:]))
+            out.append((*whole[0], whole[1:]))
         elif len(args) >= 2 and _LOGIN.search(line) and secret_shape(value, loose=False) and re.search(r"[!~^*+?$#%]|\d", value) and not re.search(r"\.(?:invalid|com|net|org|io|local|internal)\b", value):
-            out.append((a, b, run[1:]))
+            out.append((*whole[0], whole[1:]))
 
     for t in _TOKENS[lang].finditer(code):
         s = t.group()
@@ -301,7 +396,7 @@ def in_configuration(ext: str, code: str) -> list[tuple[int, int, list]]:
             continue
         inner = _inside(value)
         if inner:
-            out.append((a + inner[0][0], a + inner[0][1], []))
+            out += [(a + x, a + y, []) for x, y in inner]
             continue
         if (d := re.fullmatch(r"\$\{\w+:?[-=]([^}]+)\}", value)) is not None:
             a, value = a + d.start(1), d.group(1)
@@ -329,7 +424,7 @@ def find(ext: str, code: str) -> list[tuple[int, int, list]]:
     found.sort(key=lambda x: (x[0], x[1]))
     out: list = []
     for x in found:
-        if not out or "\n" in code[out[-1][0] : x[0]]:
+        if not out or "\n" in code[out[-1][0] : x[0]] and x[0] >= out[-1][1]:
             out.append(x)
     return out
 
