@@ -30,6 +30,7 @@ HARMLESS = re.compile(
 KNOWN = re.compile(
     r"(?<![\w])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[\w-]{30,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{16,}|(?:[a-z]{1,4}k|rk|pk)_(?:live|test|prod)_[A-Za-z0-9]{12,}|msh\.[\w-]{12,}\.[\w-]{12,}|[a-z]{2,5}-[0-9a-f]{32,64}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{6,}\.[\w-]{8,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{40,}|ya29\.[\w-]{20,})(?![\w])"
 )
+_GLUE = re.compile(r"\\n|\n[ \t]*|")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)((?:(?!-----END|-----BEGIN)[\s\S]){8,}?)(?=-----END|[\"'`]|\Z)")
 _MARK = re.compile(r"-----(?:BEGIN|END [A-Z0-9 ]*-----|END)")
@@ -315,17 +316,46 @@ _LINE = re.compile(r"[^\n]*\n?")
 _KV = re.compile(r"""^(\s*)(?:export\s+|set\s+|-\s+)?["']?([\w.$\- ]*?[\w\]])["']?\s*(=>|[:=])\s*(.*?)\s*,?\s*\Z""", re.S)
 
 
+#: Names that say nothing of their value, and names whose value is the name of a sibling's value.
+_GENERIC = re.compile(r"(?:default|string|plain|raw)?[_.-]?(?:value|val|default|data|content|contents|text|string|literal|plaintext)$", re.I)
+_NAMING = re.compile(r"(?:name|key|variable|var|property|param|parameter|id)$", re.I)
+_BLOCK = re.compile(r"[|>][+-]?\d?[+-]?(?:\s+#.*)?")
+_FLOW = re.compile(r"""["']?([A-Za-z_][\w.-]*)["']?\s*[:=]\s*(?:"((?:[^"\\]|\\.)*)"|'([^']*)'|([^\s"',;{}\[\]][^,;{}\[\]]*?))\s*(?=[,;}\n]|\Z)""")
+
+
 def key_paths(ext: str, code: str) -> list[tuple[tuple, int, int]]:
-    """(key path, start, end) of the values of a configuration file, by its format's sections, nesting and quotes.
+    """(key path, start, end) of the values of a configuration file, see entries."""
+    return [x[:3] for x in entries(ext, code)]
+
+
+def _block(code: str, at: int, indent: int) -> tuple[int, int] | None:
+    """The span of the lines from an offset on that are indented deeper, without the first one's indentation."""
+    first = end = None
+    for m in _LINE.finditer(code, at):
+        line = m.group()
+        if line.strip():
+            if len(line) - len(line.lstrip(" ")) <= indent:
+                break
+            first, end = m.start() + len(line) - len(line.lstrip()) if first is None else first, m.start() + len(line.rstrip())
+        elif not line:
+            break
+    return None if first is None else (first, end)
+
+
+def entries(ext: str, code: str) -> list[tuple[tuple, int, int, object]]:
+    """(key path, start, end, group) of the values of a configuration file, by its format's sections, nesting and quotes.
 
     Formats: .env and .sh assignments, .ini, .properties and .toml with sections, .yml and .yaml by indentation, .json and
-    .tf by braces. Offsets are of the bare value, without quotes and comments at the line's end.
+    .tf by braces. Offsets are of the bare value, without quotes and comments at the line's end, and from the first to the
+    last line of a block scalar, whose lines are also read as they stand. Values of one item, section or pair of braces
+    have the same group.
     """
     if ext == "json":
         return _json_paths(code)
     out: list = []
     path: list = []  # (indentation or brace depth, key)
-    at = 0
+    group = at = 0
+    items: list = []  # (indentation of an item's keys, group) of YAML
     for m in _LINE.finditer(code):
         line = m.group()
         if not line:
@@ -336,40 +366,66 @@ def key_paths(ext: str, code: str) -> list[tuple[tuple, int, int]]:
             continue
         if ext in ("ini", "toml", "properties", "cfg", "conf") and bare[0] == "[" and bare[-1] == "]":
             path = [(0, bare.strip("[] \"'"))]
+            group = start
             continue
         kv = _KV.match(line.rstrip("\r\n"))
         if kv is None:
             if bare[0] in "}])" and path and ext == "tf":
                 path.pop()
+                group = start
             elif ext == "tf" and bare.endswith("{"):
                 path.append((0, bare[:-1].strip()))
+                group = start
+            elif ext in ("tf", "yml", "yaml") and "{" in bare:
+                head = bare[: bare.index("{")].strip(" -=:\"'")
+                _flow((*(p[1] for p in path), *[head][: bool(head)]), code, code.index("{", start), m.end(), out)
             continue
         indent, key, value = len(kv.group(1)), kv.group(2), kv.group(4)
         if ext in ("yml", "yaml"):
             while path and path[-1][0] >= indent:
                 path.pop()
+            keys_at = indent + len(line[indent:]) - len(line[indent:].lstrip("- "))
+            while items and (items[-1][0] > keys_at or keys_at > indent and items[-1][0] == keys_at):
+                items.pop()
+            if not items or items[-1][0] < keys_at:
+                items.append((keys_at, start))
+            group = items[-1][1]
         names = (*(p[1] for p in path), key)
-        if not value or value in ("{", "[", "|", ">", "|-", ">-"):
+        if not value or value in ("{", "[") or ext == "tf" and value[-1] in "{[(" or ext in ("yml", "yaml") and _BLOCK.fullmatch(value):
             if ext in ("yml", "yaml", "tf"):
                 path.append((indent, key))
+                if ext == "tf":
+                    group = start
+                elif value and value[0] in "|>" and (span := _block(code, at, indent)) is not None:
+                    out.append((names, *span, group))
             continue
+        if value[0] == "{" and ext in ("tf", "yml", "yaml", "toml"):
+            _flow(names, code, start + kv.start(4), m.end(), out)
         a = start + kv.start(4)
         b = a + len(value)
         if value[0] in "\"'" and (close := value.find(value[0], 1)) > 0:
             a, b = a + 1, a + close
         elif ext in ("yml", "yaml", "toml", "env", "sh", "tf", "ini") and (hash_at := re.search(r"\s[#;]", value)):
             b = a + hash_at.start()
-        out.append((names, a, b))
+        out.append((names, a, b, group))
     return out
 
 
+def _flow(names: tuple, code: str, at: int, end: int, out: list) -> None:
+    """Add the pairs in braces within one line, each pair of braces a group."""
+    for m in _FLOW.finditer(code, at, end):
+        k = next(k for k in (2, 3, 4) if m.group(k) is not None)
+        out.append(((*names, m.group(1)), *m.span(k), (code.rfind("{", at, m.start()),)))
+
+
 _JSON = re.compile(r'"((?:[^"\\\n]|\\.)*)"|[{}\[\]:,]')
 
 
-def _json_paths(code: str) -> list[tuple[tuple, int, int]]:
-    """(key path, start, end) of every text in JSON, of broken JSON as far as it can be read."""
+def _json_paths(code: str) -> list[tuple[tuple, int, int, object]]:
+    """(key path, start, end, start of the braces) of every text in JSON, of broken JSON as far as it can be read."""
     out: list = []
     path: list = [None]
+    opened: list = [0]
     last = None
     for m in _JSON.finditer(code):
         t = m.group()
@@ -378,32 +434,53 @@ def _json_paths(code: str) -> list[tuple[tuple, int, int]]:
             if path[-1] is not None and code[: m.start()].rstrip()[-1:] in (":", "[", ","):
                 after = code[m.end() : m.end() + 80].lstrip()[:1]
                 if after != ":":
-                    out.append((tuple(p for p in path if p), m.start(1), m.end(1)))
+                    out.append((tuple(p for p in path if p), m.start(1), m.end(1), opened[-1]))
         elif t == ":" and last is not None:
             path[-1] = last.group(1)
         elif t in "{[":
             path.append(path[-1] if t == "[" else None)
+            opened.append(m.start())
         elif t in "}]" and len(path) > 1:
             path.pop()
+            opened.pop()
     return out
 
 
+def _secret_name(path: tuple, sibling: str | None, bare: bool) -> bool:
+    """Whether the last key is a secret's; a key that says nothing goes by its sibling's name or the nearest key above that
+    says something. bare: the value may be an expression or anchor, so that its own key must say it."""
+    last = path[-1].replace(" ", "_")
+    if sensitive(last) or bare or not _GENERIC.match(last):
+        return sensitive(last)
+    if sibling is not None and (HARMLESS.search(sibling) or SENSITIVE.search(sibling)):
+        return sensitive(sibling)
+    above = next((p for p in reversed(path[:-1]) if not _GENERIC.match(p)), "")
+    return sensitive(re.split(r"[\s\"']+", above.strip(" \"'"))[-1])
+
+
 def in_configuration(ext: str, code: str) -> list[tuple[int, int, list]]:
     out: list = []
-    for path, a, b in key_paths(ext, code):
+    blocks: list = []
+    got = entries(ext, code)
+    siblings = {g: code[a:b] for path, a, b, g in got if _NAMING.match(path[-1]) and b - a < 80}
+    for path, a, b, g in got:
         value = code[a:b]
         if len(value) < 4 or value.startswith("data:"):
             continue
         inner = _inside(value)
+        if "\n" in value:
+            blocks += [(a + x, a + y, []) for x, y in _apart(inner + _by_line(value, inner))]
+            continue
         if inner:
             out += [(a + x, a + y, []) for x, y in inner]
             continue
         if (d := re.fullmatch(r"\$\{\w+:?[-=]([^}]+)\}", value)) is not None:
             a, value = a + d.start(1), d.group(1)
             b = a + len(value)
-        last = path[-1].replace(" ", "_")
-        if SENSITIVE.search(last) and not HARMLESS.search(last) and secret_shape(value):
+        if _secret_name(path, siblings.get(g), ext == "tf" and code[a - 1 : a] not in ("\"", "'") or value[0] in "*&!") and secret_shape(value):
             out.append((a, b, []))
+    blocks = [x for x in blocks if not _same_line(code, x[0], [y[:2] for y in out])]
+    out += blocks
     covered = [(a, b) for a, b, _ in out]
     at = 0
     for line in code.split("\n"):
@@ -438,7 +515,7 @@ def redact(code: str, found: list[tuple[int, int, list]]) -> str:
             continue
         if (m := PRIVATE.match(code, a)) is not None:  # keep the marks of a key, mask its body
             end = code.find("-----END", a, b)
-            glue = "\\n" if code[m.end() : m.end() + 2] == "\\n" else "\n" if code[m.end() : m.end() + 1] == "\n" else ""
+            glue = _GLUE.match(code, m.end()).group()
             text = m.group() + glue + MASK + (glue + code[end:b] if end >= 0 else "")
         out += [code[at:a], text]
         at = b
