@@ -11,6 +11,7 @@ from corvine import model
 from corvine.common import norm_id, table
 from corvine.functions import text
 from corvine.operators import context, detect, expand, flow, graph, intent, vector
+from corvine.sources.files import language_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,7 +230,7 @@ unit_query("http_methods_loose", lambda u: u.groupBy(detect.http_method_loose(F.
 unit_query("http_verb_usage", lambda u: u.groupBy("namespace").agg(*[F.count_if(F.contains(F.lower("code"), F.lit(v))).alias(v) for v in ("get", "post", "put", "delete")]), f"WITH {U} SELECT namespace, " + ", ".join(f"count(*) FILTER (contains(lower(code), '{v}')) AS \"{v}\"" for v in ("get", "post", "put", "delete")) + " FROM U GROUP BY 1")
 unit_query("expected_calls", lambda u: u.select("id", F.explode(F.regexp_extract_all("code", F.lit(r"s\.(\w+)\("), 1)).alias("call"), "calls").select("id", "call", F.coalesce(F.exists("calls", lambda c: F.split_part(c, F.lit("."), F.lit(-1)) == F.col("call")), F.lit(False)).alias("listed")).groupBy("listed").agg(F.count("*").alias("mentions")), f"WITH {U}, C AS (SELECT id, unnest(regexp_extract_all(code, 's\\.([a-zA-Z0-9_]+)\\(', 1)) AS call, calls FROM U) SELECT coalesce(len(list_filter(calls, lambda c: split_part(c, '.', -1) = call)) > 0, false) AS listed, count(*) AS mentions FROM C GROUP BY 1")
 unit_query("formatted_code", lambda u: u.select("id", F.md5(context.format_code()).alias("content_md5")), None)
-q("http_endpoints", None)(lambda s, d: detect.http_endpoints(table(s, d, "source_file").select("file_id", "language", "code"), "file_id"))
+q("http_endpoints", None)(lambda s, d: detect.http_endpoints(table(s, d, "source_file").select("file_id", language_of(F.col("file_path")).alias("language"), "code"), "file_id"))
 q("line_counts", "SELECT file_id, len(string_split(code, chr(10))) AS total_lines, len(list_filter(string_split(code, chr(10)), lambda x: trim(x, E' \\t\\r\\f\\x0b') <> '' AND NOT regexp_matches(trim(x, E' \\t\\r\\f\\x0b'), '^(#|//|/\\*|\\*)'))) AS code_lines FROM source_file")(lambda s, d: table(s, d, "source_file").select("file_id", text.line_counts(F.col("code"))[0].alias("total_lines"), text.line_counts(F.col("code"))[1].alias("code_lines")))
 
 

@@ -241,3 +241,11 @@ def test_handler_chain(spark):
     code = 'r.Methods("POST").Path("/pay").Handler(http.NewServer(mw(e.AuthoriseEndpoint), decodeReq, encodeRes))'
     assert one(spark, detect.handler_chain(F.col("c"), "/pay"), c=code) == ["decodeReq", "Authorise", "encodeRes"]
     assert one(spark, detect.handler_chain(F.col("c"), "/x"), c=code) is None
+
+
+def test_endpoints_go_by_extension(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "a/x.go", None, 'r.Methods("POST").Path("/pay").Handler(x)'), (2, "x.go", "golang", 'r.Methods("GET").Path("/go").Handler(x)'), (3, "b/y.JS", "js", "app.get('/a', f)"), (4, "K.java", "jvm", '@GetMapping("/c")'), (5, "z.py", "javascript", "app.get('/no', f)"), (6, None, "go", 'r.Methods("GET").Path("/no").Handler(x)')]
+    spark.createDataFrame(rows, "file_id long, file_path string, language string, code string").write.parquet(str(tmp_path / "source_file.parquet"))
+    assert {tuple(r) for r in entry.queries()["http_endpoints"](spark, str(tmp_path)).collect()} == {(1, "POST", "/pay"), (2, "GET", "/go"), (3, "GET", "/a"), (4, "GET", "/c")}
