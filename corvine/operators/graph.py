@@ -41,12 +41,41 @@ def module_dependencies(n: DataFrame, e: DataFrame) -> DataFrame:
     return i.groupBy("src_id", "part").agg(F.first("src_name").alias("module"), F.count("*").alias("n_imports"), F.array_join(F.array_sort(F.collect_set("dst_name")), ",").alias("imports"), F.array_join(F.array_sort(F.collect_set("import_type")), ",").alias("import_types")).withColumnRenamed("src_id", "module_id")
 
 
+def named_lists(n: DataFrame, e: DataFrame, of: dict[str, tuple[str, str, str | None]]) -> DataFrame:
+    """(id, part, and for each list its sorted distinct names and ``n_`` its number of nodes) of the nodes that have any.
+
+    of: a list's name to (type, direction, label at the other end or None). All lists of a node hot in any come in parts,
+    a row each, and a neighbour is in one part only, so that numbers add up over the parts.
+    """
+    x = e.where(F.col("type").isin(sorted({t for t, _, _ in of.values()}))).select("src", "dst", "type")
+    x = x.join(n.select(F.col("id").alias("src"), F.col("name").alias("src_name"), F.col("label").alias("src_label")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"), F.col("label").alias("dst_label")), "dst")
+    rows = []
+    for k, (t, direction, label) in of.items():
+        a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+        hit = (F.col("type") == t) & (F.col(f"{b}_label") == label if label else F.lit(True))
+        rows.append(F.when(hit, F.struct(F.col(a).alias("id"), F.lit(k).alias("list"), F.col(b).alias("other"), F.col(f"{b}_name").alias("other_name"))))
+    x = x.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+    x = part_of_hot(x, "id", "other")
+    cols = []
+    for k in of:
+        here = F.col("list") == k
+        cols += [F.array_join(F.array_sort(F.collect_set(F.when(here, F.col("other_name")))), ",").alias(k), F.count_distinct(F.when(here, F.col("other"))).alias(f"n_{k}")]
+    return x.groupBy("id", "part").agg(*cols)
+
+
+def function_lists(n: DataFrame, e: DataFrame) -> DataFrame:
+    """Per function its distinct callee and caller names and parent classes; a hot function has a row for each part."""
+    lists = named_lists(n, e, {"callees": ("CALLS", "out", None), "callers": ("CALLS", "in", None), "parents": ("CONTAINS", "in", "Class")})
+    out = n.where(F.col("label").isin(*CODE)).select("id", "name").join(lists, "id", "left")
+    return out.select("id", "name", F.coalesce("part", F.lit(0)).alias("part"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("callees", "callers", "parents")], F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
+
+
 def function_context(n: DataFrame, e: DataFrame) -> DataFrame:
-    """Per function its distinct callee and caller names and parent classes; sides are reduced before they meet."""
+    """G4 with callers counted: per function its distinct callee names and parent classes and its number of callers, in one
+    row; function_lists names the callers and bounds the lists."""
     calls = ends(n, e, "CALLS")
     names = lambda side, other, out: calls.groupBy(F.col(side).alias("id")).agg(F.array_join(F.array_sort(F.collect_set(other)), ",").alias(out))
     parent = ends(n, e, "CONTAINS").where("src_label = 'Class'").groupBy(F.col("dst_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("src_name")), ",").alias("parents"))
-    # Callers are counted, not listed: one function may have a third of all callers.
     callers = calls.groupBy(F.col("dst_id").alias("id")).agg(F.count_distinct("src_id").alias("n_callers"))
     base = n.where(F.col("label").isin(*CODE)).select("id", "name")
     out = base.join(names("src_id", "dst_name", "callees"), "id", "left").join(callers, "id", "left").join(parent, "id", "left")

@@ -17,7 +17,7 @@ def by_vector(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def function_with_context(n: DataFrame, e: DataFrame, hits: DataFrame) -> DataFrame:
     """R2: hits that are functions, with callees, callers and parents; kinds are compared in any case."""
-    return hits.join(graph.function_context(n, e), "id")
+    return hits.join(graph.function_lists(n, e), "id")
 
 
 def class_with_ancestors(n: DataFrame, e: DataFrame, hits: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def class_with_ancestors(n: DataFrame, e: DataFrame, hits: DataFrame) -> DataFra
     return hits.join(n.where(F.lower("label") == "class").select("id", "name"), "id").join(up, "id", "left")
 
 
-def usage(n: DataFrame, e: DataFrame, namespace: str, term: str) -> DataFrame:
-    """Functions whose name holds the term, with their context; graph only."""
+def usage(n: DataFrame, e: DataFrame, namespace: str, term: str, context: Callable[[DataFrame, DataFrame], DataFrame] = graph.function_lists) -> DataFrame:
+    """Functions whose name holds the term, with who calls them and their context; graph only."""
     found = graph.search_by_name(n, namespace, term, 5).select("id")
-    return found.join(graph.function_context(n, e), "id")
+    return found.join(context(n, e), "id")
 
 
 def trace(n: DataFrame, e: DataFrame, namespace: str, term: str, depth: int, k: int) -> DataFrame:

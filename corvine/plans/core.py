@@ -63,6 +63,12 @@ simple("function_context", graph.function_context, G + f"""SELECT N.id, N.name,
   LEFT JOIN (SELECT dst_id AS id, count(DISTINCT src_id) AS n_callers FROM X WHERE type = 'CALLS' GROUP BY dst_id) b ON b.id = N.id
   LEFT JOIN (SELECT dst_id AS id, array_to_string(list_sort(list(DISTINCT src_name)), ',') AS parents FROM X WHERE type = 'CONTAINS' AND src_label = 'Class' GROUP BY dst_id) c ON c.id = N.id WHERE N.label IN {CODE}""")
 
+LISTS = f"""FC AS (SELECT N.id, N.name, 0 AS part, coalesce(a.c, '') AS callees, coalesce(b.c, '') AS callers, coalesce(p.c, '') AS parents, coalesce(b.k, 0) AS n_callers FROM N
+  LEFT JOIN (SELECT src_id AS id, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS c FROM X WHERE type = 'CALLS' GROUP BY 1) a ON a.id = N.id
+  LEFT JOIN (SELECT dst_id AS id, array_to_string(list_sort(list(DISTINCT src_name)), ',') AS c, count(DISTINCT src_id) AS k FROM X WHERE type = 'CALLS' GROUP BY 1) b ON b.id = N.id
+  LEFT JOIN (SELECT dst_id AS id, array_to_string(list_sort(list(DISTINCT src_name)), ',') AS c FROM X WHERE type = 'CONTAINS' AND src_label = 'Class' GROUP BY 1) p ON p.id = N.id WHERE N.label IN {CODE})"""
+simple("function_lists", graph.function_lists, G + f", {LISTS} SELECT * FROM FC")
+
 
 def _grouped(kind: str, direction: str) -> str:
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")

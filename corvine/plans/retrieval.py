@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine import model
 from corvine.common import table
 from corvine.operators import graph, retrieve, vector
-from corvine.plans.core import CODE, G, GR, NS
+from corvine.plans.core import CODE, G, GR, LISTS, NS
 
 QUERIES = {}
 SQL = {}
@@ -21,11 +21,12 @@ def _add(name: str, f, sql: str | None) -> None:
 
 
 _ne = lambda s, d: (model.nodes(s, d), model.edges(s, d))
-_add("retrieve_usage", lambda s, d: retrieve.usage(*_ne(s, d), NS, "poll"), G + f""", F AS (SELECT id FROM N WHERE namespace = '{NS}' AND contains(lower(name), 'poll') ORDER BY name, id LIMIT 5)
+_add("retrieve_usage", lambda s, d: retrieve.usage(*_ne(s, d), NS, "poll", graph.function_context), G + f""", F AS (SELECT id FROM N WHERE namespace = '{NS}' AND contains(lower(name), 'poll') ORDER BY name, id LIMIT 5)
   SELECT N.id, N.name, coalesce(a.c, '') AS callees, coalesce(b.c, 0) AS n_callers, coalesce(p.c, '') AS parents FROM N JOIN F ON F.id = N.id
   LEFT JOIN (SELECT src_id AS id, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS c FROM X WHERE type = 'CALLS' GROUP BY 1) a ON a.id = N.id
   LEFT JOIN (SELECT dst_id AS id, count(DISTINCT src_id) AS c FROM X WHERE type = 'CALLS' GROUP BY 1) b ON b.id = N.id
   LEFT JOIN (SELECT dst_id AS id, array_to_string(list_sort(list(DISTINCT src_name)), ',') AS c FROM X WHERE type = 'CONTAINS' AND src_label = 'Class' GROUP BY 1) p ON p.id = N.id WHERE N.label IN {CODE}""")
+_add("retrieve_callers", lambda s, d: retrieve.usage(*_ne(s, d), NS, "poll"), G + f", F AS (SELECT id FROM N WHERE namespace = '{NS}' AND contains(lower(name), 'poll') ORDER BY name, id LIMIT 5), {LISTS} SELECT * FROM FC WHERE id IN (FROM F)")
 _add("retrieve_trace", lambda s, d: retrieve.trace(*_ne(s, d), NS, "poll", 3, 20), GR + f""", ST AS (SELECT id AS start FROM N WHERE label IN {CODE} AND namespace = '{NS}' AND contains(lower(name), 'poll') ORDER BY name, id LIMIT 1),
   T AS (SELECT start, E.dst AS node, 1 AS depth, start || '/' || E.dst AS path, [E.src || E.dst] AS trail FROM ST JOIN E ON E.src = ST.start AND E.type = 'CALLS'
   UNION ALL SELECT T.start, E.dst, T.depth + 1, T.path || '/' || E.dst, list_append(T.trail, E.src || E.dst) FROM T JOIN E ON E.src = T.node AND E.type = 'CALLS' WHERE T.depth < 3 AND NOT list_contains(T.trail, E.src || E.dst))

@@ -249,3 +249,18 @@ def test_endpoints_go_by_extension(spark, tmp_path):
     rows = [(1, "a/x.go", None, 'r.Methods("POST").Path("/pay").Handler(x)'), (2, "x.go", "golang", 'r.Methods("GET").Path("/go").Handler(x)'), (3, "b/y.JS", "js", "app.get('/a', f)"), (4, "K.java", "jvm", '@GetMapping("/c")'), (5, "z.py", "javascript", "app.get('/no', f)"), (6, None, "go", 'r.Methods("GET").Path("/no").Handler(x)')]
     spark.createDataFrame(rows, "file_id long, file_path string, language string, code string").write.parquet(str(tmp_path / "source_file.parquet"))
     assert {tuple(r) for r in entry.queries()["http_endpoints"](spark, str(tmp_path)).collect()} == {(1, "POST", "/pay"), (2, "GET", "/go"), (3, "GET", "/a"), (4, "GET", "/c")}
+
+
+def test_callers_are_named_in_parts(spark, monkeypatch):
+    import corvine.common as common
+    from corvine.operators import retrieve
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (10,))
+    names = [f"c{i:03}" for i in range(100)]
+    n = spark.createDataFrame([(x, x.upper(), "Function", "n", "f") for x in (*names, "poll", "lone")] + [("k", "K", "Class", "n", "f")], "id string, name string, label string, namespace string, file_path string")
+    e = spark.createDataFrame([(x, "poll", "CALLS") for x in names] + [("poll", "c000", "CALLS"), ("k", "poll", "CONTAINS")], "src string, dst string, type string")
+    for got in (graph.function_lists(n, e).where("id = 'poll'").collect(), retrieve.retrieve("find_usage", n, e, None, "n", "poll")["graph"].collect(), retrieve.function_with_context(n, e, n.where("id = 'poll'").select("id")).collect()):
+        assert sorted(x for r in got for x in r.callers.split(",") if x) == [x.upper() for x in names] and sum(r.n_callers for r in got) == 100
+        assert len(got) > 8 and len({r.part for r in got}) == len(got) and {r.callees for r in got} == {"", "C000"} and {r.parents for r in got} == {"", "K"}
+    lone = graph.function_lists(n, e).where("id = 'lone'").collect()
+    assert [tuple(r) for r in lone] == [("lone", "LONE", 0, "", "", "", 0)]
