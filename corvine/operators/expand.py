@@ -31,6 +31,24 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "ou
     return union_all(levels)
 
 
+def subgraph(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, depth, trails, types): all nodes within ``depth`` hops either way over edges of any type, with the least
+    distance, the number of trails and the sorted distinct types on all of them."""
+    eid = F.xxhash64("src", "dst", "type")
+    out = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), eid.alias("_e"), F.col("type").alias("_t"))
+    hops = out.unionByName(out.where("_a <> _b").select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_e", "_t"))
+    front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("_types"), F.array().cast("array<bigint>").alias("_trail"))
+    levels = []
+    for _ in range(depth):
+        front = front.join(hops, F.col("node") == F.col("_a")).where(~F.array_contains("_trail", F.col("_e"))).select(
+            "start", F.col("_b").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("_types", F.col("_t")).alias("_types"), F.array_append("_trail", F.col("_e")).alias("_trail")
+        )
+        levels.append(front.groupBy("start", "node", "depth", F.array_sort(F.array_distinct("_types")).alias("_types")).agg(F.count("*").alias("trails")))
+    got = union_all(levels)
+    types = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_types")))), ",")
+    return got.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.sum("trails").alias("trails"), types.alias("types"))
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(start, node, depth, path): every node within ``depth`` hops once, at its least distance, by the smallest path.
 

@@ -128,14 +128,15 @@ def _chain_limit(n: DataFrame, e: DataFrame) -> DataFrame:
 simple("first_chains", _chain_limit, _trails(2) + ", R AS (SELECT start, node, depth, path, row_number() OVER (PARTITION BY start ORDER BY depth, path) AS place FROM T JOIN N ON N.id = T.node) SELECT * FROM R WHERE place <= 5")
 
 
-def _reach_sql(depth: int, back: bool, both: bool = False, kind: str = "CALLS") -> str:
+def _reach_sql(depth: int, back: bool, both: bool = False, kind: str = "CALLS", st: str = _ST) -> str:
     hop = f"SELECT src AS a, dst AS b FROM E WHERE type = '{kind}'" if kind else "SELECT src AS a, dst AS b FROM E"
     h = f"SELECT b AS a, a AS b FROM ({hop})" if back else hop
     h = f"{hop} UNION SELECT b, a FROM ({hop})" if both else h
-    return f"{GR}, {_ST}, H AS (SELECT DISTINCT a, b FROM ({h})), R AS (SELECT start, start AS node, 0 AS depth FROM ST UNION SELECT R.start, H.b, R.depth + 1 FROM R JOIN H ON H.a = R.node WHERE R.depth < {depth}), M AS (SELECT start, node, min(depth) AS depth FROM R GROUP BY ALL) "
+    return f"{GR}, {st}, H AS (SELECT DISTINCT a, b FROM ({h})), R AS (SELECT start, start AS node, 0 AS depth FROM ST UNION SELECT R.start, H.b, R.depth + 1 FROM R JOIN H ON H.a = R.node WHERE R.depth < {depth}), M AS (SELECT start, node, min(depth) AS depth FROM R GROUP BY ALL) "
 
 
 simple("impact", lambda n, e: graph.impact(e.where("type = 'CALLS'"), _starts(n), 4), _reach_sql(4, True) + "SELECT start AS target, node, depth AS distance FROM M WHERE depth > 0")
+simple("impact_all", lambda n, e: graph.impact(e, _starts(n), 5), _reach_sql(5, True, kind="") + "SELECT start AS target, node, depth AS distance FROM M WHERE depth > 0")
 simple("reachable", lambda n, e: expand.reach(e.where("type = 'CALLS'"), _starts(n), 3).select("start", "node", "depth"), _reach_sql(3, False) + "SELECT * FROM M")
 _HIER = "type in ('INHERITS_FROM', 'HAS_SECTION', 'DOCUMENTS')"
 simple("neighbours", lambda n, e: expand.reach(e.where("type = 'DEPENDS_ON'"), e.where("type = 'DEPENDS_ON'").select(F.col("src").alias("start")).distinct(), 2, "both").where("depth > 0").select("start", "node", "depth"),
@@ -160,6 +161,10 @@ def _subgraph(n: DataFrame, e: DataFrame) -> DataFrame:
 
 simple("subgraph", _subgraph, GR + f""", H AS (SELECT dst AS a, src AS b, src || dst || type AS k FROM E WHERE {_HIER}), T AS (SELECT DISTINCT dst AS start, dst AS node, 0 AS depth, CAST([] AS VARCHAR[]) AS trail FROM E WHERE type = 'INHERITS_FROM'
   UNION ALL SELECT T.start, H.b, T.depth + 1, list_append(T.trail, H.k) FROM T JOIN H ON H.a = T.node WHERE T.depth < 2 AND NOT list_contains(T.trail, H.k)) SELECT start, node, min(depth) AS depth, count(*) AS trails FROM T WHERE depth > 0 GROUP BY ALL""")
+_FROM = "SELECT DISTINCT dst AS start, dst AS node, 0 AS depth, CAST([] AS VARCHAR[]) AS types, CAST([] AS VARCHAR[]) AS trail FROM E WHERE type = 'INHERITS_FROM'"
+simple("subgraph_all", lambda n, e: expand.subgraph(e, e.where("type = 'INHERITS_FROM'").select(F.col("dst").alias("start")).distinct(), 2), GR + f""", H AS (SELECT src AS a, dst AS b, src || dst || type AS k, type FROM E UNION ALL SELECT dst, src, src || dst || type, type FROM E WHERE src <> dst), T AS ({_FROM}
+  UNION ALL SELECT T.start, H.b, T.depth + 1, list_append(T.types, H.type), list_append(T.trail, H.k) FROM T JOIN H ON H.a = T.node WHERE T.depth < 2 AND NOT list_contains(T.trail, H.k))
+  SELECT start, node, min(depth) AS depth, count(*) AS trails, array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') AS types FROM T WHERE depth > 0 GROUP BY ALL""")
 simple("relationships", lambda n, e: graph.relationships(n, e, n.where("label = 'Class'").select("id")), G + ", C AS (SELECT id FROM N WHERE label = 'Class'), R AS (SELECT src AS id, 'out' AS direction, type, dst AS other_id FROM E WHERE src IN (FROM C) UNION ALL SELECT dst, 'in', type, src FROM E WHERE dst IN (FROM C)) SELECT R.*, N.name AS other_name FROM R LEFT JOIN N ON N.id = R.other_id")
 
 
@@ -252,6 +257,19 @@ simple("merge_edges", lambda n, e: graph.merge_edges(e.where("type <> 'CALLS'"),
 simple("entry_flows", lambda n, e: detect.flows(n, e, _starts(n), 4), _reach_sql(4, False) + "SELECT start, count(*) AS node_count, max(depth) AS max_depth FROM M GROUP BY 1")
 simple("flow_summary", lambda n, e: detect.flows(n, e, _starts(n), 4).agg(F.count("*").alias("flows"), F.sum("node_count").alias("functions"), F.round(F.avg("max_depth"), 6).alias("mean_depth"), F.max("max_depth").alias("deepest")), _reach_sql(4, False) + "SELECT count(*) AS flows, CAST(sum(c) AS BIGINT) AS functions, round(avg(m), 6) AS mean_depth, max(m) AS deepest FROM (SELECT count(*) AS c, max(depth) AS m FROM M GROUP BY start)")
 
+# D5, A22, D6 over all entries of D1, to the depth of the reference: functions at depth 10 are not entered.
+FLOW_DEPTH = 9
+
+
+def entry_starts(s: SparkSession, d: str) -> DataFrame:
+    return model.units(s, d).where(F.col("type").isin(*graph.CODE) & detect.entry_point().isNotNull()).select(F.col("id").alias("start"))
+
+
+_ALL = _reach_sql(FLOW_DEPTH, False, st=f"{U}, ST AS (SELECT id AS start FROM U WHERE type IN {CODE} AND ({_entry_sql()}) IS NOT NULL)")
+q("all_entry_flows", _ALL + "SELECT start, count(*) AS node_count, max(depth) AS max_depth FROM M GROUP BY 1")(lambda s, d: detect.flows(model.nodes(s, d), model.edges(s, d), entry_starts(s, d), FLOW_DEPTH))
+q("all_flow_summary", _ALL + "SELECT count(*) AS flows, CAST(sum(c) AS BIGINT) AS functions, round(avg(m), 6) AS mean_depth, max(m) AS deepest FROM (SELECT count(*) AS c, max(depth) AS m FROM M GROUP BY start)")(lambda s, d: detect.flows(model.nodes(s, d), model.edges(s, d), entry_starts(s, d), FLOW_DEPTH).agg(F.count("*").alias("flows"), F.sum("node_count").alias("functions"), F.round(F.avg("max_depth"), 6).alias("mean_depth"), F.max("max_depth").alias("deepest")))
+q("all_flow_outline", _ALL + "SELECT M.start, M.node, M.depth, repeat('  ', M.depth) || '- ' || N.name AS line FROM M JOIN N ON N.id = M.node")(lambda s, d: detect.outline(expand.reach(model.edges(s, d).where("type = 'CALLS'"), entry_starts(s, d), FLOW_DEPTH), model.nodes(s, d)))
+
 
 # Vectors.
 def _vectors(s: SparkSession, d: str) -> DataFrame:

@@ -264,3 +264,31 @@ def test_callers_are_named_in_parts(spark, monkeypatch):
         assert len(got) > 8 and len({r.part for r in got}) == len(got) and {r.callees for r in got} == {"", "C000"} and {r.parents for r in got} == {"", "K"}
     lone = graph.function_lists(n, e).where("id = 'lone'").collect()
     assert [tuple(r) for r in lone] == [("lone", "LONE", 0, "", "", "", 0)]
+
+
+def _tables(spark, d, edges, units):
+    null = lambda t: F.lit(None).cast(t)
+    u = spark.createDataFrame([(i, name, kind, path, code, calls) for i, name, kind, path, code, calls in units], "id string, name string, type string, file_path string, code string, calls array<string>")
+    u = u.withColumns({"namespace": F.lit("shop:pay"), "language": F.lit("go"), "line_start": F.lit(1), "line_end": F.lit(2), "complexity": null("int"), "imports": null("array<string>"), **{c: null("string") for c in ("signature", "docstring", "parent_id")}})
+    u.write.parquet(f"{d}/code_unit.parquet")
+    spark.createDataFrame(edges, "from_id string, to_id string, type string").withColumns({"call_count": null("int"), "is_recursive": null("boolean"), "import_type": null("string"), "dependency_type": null("string"), "order_no": null("int")}).write.parquet(f"{d}/graph_edge.parquet")
+    spark.createDataFrame([], "id string, name string, label string, namespace string, file_path string").write.parquet(f"{d}/graph_node.parquet")
+    spark.createDataFrame([], "symbol_id string, symbol string, language string").write.parquet(f"{d}/external_symbol.parquet")
+
+
+def test_flows_of_all_entries(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    q, d = entry.queries(), str(tmp_path)
+    _tables(spark, d, [(f"f{i}", f"f{i + 1}", "CALLS") for i in range(12)], [("f0", "main", "Function", "a.go", "", None), *[(f"f{i}", f"step{i}", "Function", "a.go", "", None) for i in range(1, 13)]])
+    assert [tuple(r) for r in q["all_entry_flows"](spark, d).collect()] == [("f0", 10, 9)] and q["entry_flows"](spark, d).count() == 0
+    assert tuple(q["all_flow_summary"](spark, d).first()) == (1, 10, 9.0, 9)
+    assert [r.line for r in q["all_flow_outline"](spark, d).orderBy("depth").collect()][:3] == ["- main", "  - step1", "    - step2"]
+
+
+def test_impact_and_subgraph_over_all_types(spark):
+    e = spark.createDataFrame([("m", "f", "CONTAINS"), ("x", "m", "IMPORTS"), ("f", "g", "CALLS"), ("f", "g", "USES"), ("m", "k", "CONTAINS")], "src string, dst string, type string")
+    s = spark.createDataFrame([("f",)], "start string")
+    assert {(r.node, r.distance) for r in graph.impact(e, s, 5).collect()} == {("m", 1), ("x", 2)}
+    got = {r.node: (r.depth, r.trails, r.types) for r in expand.subgraph(e, s, 2).collect()}
+    assert got == {"m": (1, 1, "CONTAINS"), "g": (1, 2, "CALLS,USES"), "x": (2, 1, "CONTAINS,IMPORTS"), "k": (2, 1, "CONTAINS"), "f": (2, 2, "CALLS,USES")}
