@@ -92,6 +92,25 @@ def handler_chain(code: Column, path: str) -> Column:
     return F.when(part(1).isNotNull(), F.array(part(2), part(1), part(3)))
 
 
+def request_flows(units: DataFrame) -> DataFrame:
+    """A row for each endpoint (D7) in a handler-like unit, with its handler chain (D8, Go) and the number, the first
+    five and the kinds (D9) of the calls of the endpoint's function: the one of its name in the namespace, else with
+    ``Endpoint`` behind it, the smallest id of several. ``units`` has the language by D7's names."""
+    like = F.contains("name", F.lit("Handler")) | F.contains("name", F.lit("MakeHTTP")) | (F.col("name") == "main")
+    u = units.where(like & F.col("code").isNotNull())
+    found = http_endpoints(u, "id").join(u.select("id", "namespace", F.col("name").alias("entry_function"), "file_path", "line_start", "language", "code"), "id")
+    quoted = F.concat(F.lit(r"Path\(\"\Q"), F.replace("path", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\"\)\.Handler\([^)]*\((?:e\.(\w+)Endpoint)\),\s*(\w+),\s*(\w+)"))
+    part = lambda k: F.when(F.col("language") == "go", F.nullif(F.call_function("regexp_extract", F.col("code"), quoted, F.lit(k)), F.lit("")))
+    found = found.withColumns({"endpoint": part(1), "decoder": part(2), "encoder": part(3)}).drop("code")
+    target = units.where(F.col("type").isin("Function", "Method")).groupBy("namespace", "name").agg(F.min_by(F.struct("id", "calls"), "id").alias("t"))
+    for k, end in (("a", ""), ("b", "Endpoint")):
+        found = found.withColumn("_name", F.concat("endpoint", F.lit(end))).join(target.select("namespace", F.col("name").alias("_name"), F.col("t").alias(k)), ["namespace", "_name"], "left").drop("_name")
+    t = F.coalesce("a", "b")
+    calls = F.coalesce(t["calls"], F.array().cast("array<string>"))
+    first = F.array_join(F.transform(F.slice(calls, 1, 5), lambda c: F.concat(c, F.lit(" ("), call_kind(c), F.lit(")"))), ", ")
+    return found.select(F.col("id").alias("entry_id"), "namespace", "entry_function", "file_path", "line_start", "method", "path", "decoder", "endpoint", "encoder", t["id"].alias("endpoint_id"), F.size(calls).alias("n_calls"), first.alias("first_calls"))
+
+
 def outline(reached: DataFrame, n: DataFrame) -> DataFrame:
     """(start, depth, line) of reached functions, indented by their depth."""
     names = n.select(F.col("id").alias("node"), "name")

@@ -15,19 +15,23 @@ def _hops(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back.where("_a <> _b"))}[direction]
 
 
-def trails(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+def trails(edges: DataFrame, starts: DataFrame, depth: int | None, direction: str = "out") -> DataFrame:
     """(start, node, depth, path): all trails of 1..depth hops; no edge is used twice, nodes may recur.
 
-    ``starts`` has a column ``start``. An unrolled frontier: each level is one join on the node it stands at.
+    ``starts`` has a column ``start``. An unrolled frontier: each level is one join on the node it stands at. Without a
+    depth each level is checkpointed, and the last is the one that is empty.
     """
     hops = _hops(edges, direction)
     front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("_trail"))
     levels = []
-    for _ in range(depth):
+    while depth is None or len(levels) < depth:
         front = front.join(hops, F.col("node") == F.col("_a")).where(~F.array_contains("_trail", F.col("_e"))).select(
             "start", F.col("_b").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("_b")).alias("path"), F.array_append("_trail", F.col("_e")).alias("_trail")
         )
+        front = cut(front) if depth is None else front
         levels.append(front.drop("_trail"))
+        if depth is None and front.isEmpty():
+            break
     return union_all(levels)
 
 

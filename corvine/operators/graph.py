@@ -153,6 +153,22 @@ def call_chains(n: DataFrame, e: DataFrame, starts: DataFrame, depth: int, filte
     return t.select("start", "node", "end_name", "depth", F.array_join("path", "/").alias("path"))
 
 
+def root_leaf_paths(e: DataFrame, kind: str) -> DataFrame:
+    """(start, node, depth, path) of the trails of a type from nodes without an incoming to nodes without an outgoing
+    edge of it, of any length."""
+    of = e.where(F.col("type") == kind)
+    roots = of.select(F.col("src").alias("start")).distinct().join(of.select(F.col("dst").alias("start")), "start", "left_anti")
+    t = expand.trails(of, roots, None).join(of.select(F.col("src").alias("node")), "node", "left_anti")
+    return t.select("start", "node", "depth", F.array_join("path", "/").alias("path"))
+
+
+def step_neighbourhood(n: DataFrame, e: DataFrame) -> DataFrame:
+    """Per step the names of its dependencies, parallel steps, next steps (that depend on it) and phases, in parts."""
+    lists = named_lists(n, e, {"dependencies": ("DEPENDS_ON", "out", "Step"), "parallel_steps": ("PARALLEL_WITH", "out", "Step"), "next_steps": ("DEPENDS_ON", "in", "Step"), "phases": ("CONTAINS", "in", "Phase")})
+    out = n.where("label = 'Step'").select("id", "name").join(lists, "id", "left")
+    return out.select("id", "name", F.coalesce("part", F.lit(0)).alias("part"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("dependencies", "parallel_steps", "next_steps", "phases")])
+
+
 def impact(e: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     """(target, node, distance) of all nodes that reach a target over edges of any type."""
     t = expand.reach(e, targets, depth, "in")

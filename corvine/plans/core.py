@@ -270,6 +270,11 @@ q("all_entry_flows", _ALL + "SELECT start, count(*) AS node_count, max(depth) AS
 q("all_flow_summary", _ALL + "SELECT count(*) AS flows, CAST(sum(c) AS BIGINT) AS functions, round(avg(m), 6) AS mean_depth, max(m) AS deepest FROM (SELECT count(*) AS c, max(depth) AS m FROM M GROUP BY start)")(lambda s, d: detect.flows(model.nodes(s, d), model.edges(s, d), entry_starts(s, d), FLOW_DEPTH).agg(F.count("*").alias("flows"), F.sum("node_count").alias("functions"), F.round(F.avg("max_depth"), 6).alias("mean_depth"), F.max("max_depth").alias("deepest")))
 q("all_flow_outline", _ALL + "SELECT M.start, M.node, M.depth, repeat('  ', M.depth) || '- ' || N.name AS line FROM M JOIN N ON N.id = M.node")(lambda s, d: detect.outline(expand.reach(model.edges(s, d).where("type = 'CALLS'"), entry_starts(s, d), FLOW_DEPTH), model.nodes(s, d)))
 
+q("request_flows", None)(lambda s, d: detect.request_flows(model.units(s, d).withColumn("language", language_of(F.col("file_path")))))
+simple("root_leaf_paths", lambda n, e: graph.root_leaf_paths(e, "NEXT_STEP"), None)
+_STEP = [("dependencies", "src", "dst", "DEPENDS_ON", "Step"), ("parallel_steps", "src", "dst", "PARALLEL_WITH", "Step"), ("next_steps", "dst", "src", "DEPENDS_ON", "Step"), ("phases", "dst", "src", "CONTAINS", "Phase")]
+simple("step_neighbourhood", graph.step_neighbourhood, G + "SELECT N.id, N.name, 0 AS part, " + ", ".join(f"coalesce({k}.c, '') AS {k}" for k, *_ in _STEP) + " FROM N " + " ".join(f"LEFT JOIN (SELECT {a}_id AS id, array_to_string(list_sort(list(DISTINCT {b}_name)), ',') AS c FROM X WHERE type = '{t}' AND {b}_label = '{lab}' GROUP BY 1) {k} ON {k}.id = N.id" for k, a, b, t, lab in _STEP) + " WHERE N.label = 'Step'")
+
 
 # Vectors.
 def _vectors(s: SparkSession, d: str) -> DataFrame:

@@ -292,3 +292,23 @@ def test_impact_and_subgraph_over_all_types(spark):
     assert {(r.node, r.distance) for r in graph.impact(e, s, 5).collect()} == {("m", 1), ("x", 2)}
     got = {r.node: (r.depth, r.trails, r.types) for r in expand.subgraph(e, s, 2).collect()}
     assert got == {"m": (1, 1, "CONTAINS"), "g": (1, 2, "CALLS,USES"), "x": (2, 1, "CONTAINS,IMPORTS"), "k": (2, 1, "CONTAINS"), "f": (2, 2, "CALLS,USES")}
+
+
+def test_request_flows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    code = 'r.Methods("POST").Path("/pay.x").Handler(http.NewServer(mw(e.AuthoriseEndpoint), decodeReq, encodeRes))\nr.Methods("GET").Path("/health").Handler(h)'
+    _tables(spark, str(tmp_path), [], [("1", "MakeHTTPHandler", "Function", "a/t.go", code, None), ("2", "other", "Function", "a/t.go", code, None), ("3", "AuthoriseEndpoint", "Function", "a/e.go", "", ["s.verify", "log.x", "a", "b", "c", "d"])])
+    got = {r.path: r for r in entry.queries()["request_flows"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"/pay.x", "/health"} and got["/health"].endpoint is None and got["/health"].n_calls == 0
+    r = got["/pay.x"]
+    assert (r.entry_id, r.method, r.decoder, r.endpoint, r.encoder, r.endpoint_id, r.n_calls) == ("1", "POST", "decodeReq", "Authorise", "encodeRes", "3", 6)
+    assert r.first_calls == "s.verify (validation), log.x (logging), a (processing), b (processing), c (processing)"
+
+
+def test_steps_around_and_along(spark):
+    n = spark.createDataFrame([(x, x.upper(), "Step") for x in "abcd"] + [("p", "P", "Phase")], "id string, name string, label string")
+    e = spark.createDataFrame([("a", "b", "F"), ("b", "c", "F"), ("a", "c", "F"), ("c", "d", "F"), ("b", "a", "DEPENDS_ON"), ("b", "c", "PARALLEL_WITH"), ("d", "b", "DEPENDS_ON"), ("p", "b", "CONTAINS")], "src string, dst string, type string")
+    assert {(r.start, r.node, r.path) for r in graph.root_leaf_paths(e, "F").collect()} == {("a", "d", "a/b/c/d"), ("a", "d", "a/c/d")}
+    got = {r.id: (r.dependencies, r.parallel_steps, r.next_steps, r.phases) for r in graph.step_neighbourhood(n, e).collect()}
+    assert got["b"] == ("A", "C", "D", "P") and got["a"] == ("", "", "B", "") and got["c"] == ("", "", "", "")
