@@ -29,8 +29,10 @@ LABELS = {
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES, LANDMARKS = 4000, 20_000, 700, 420
 #: Presence kernel over blended spectra: n-grams of these lengths, hashed to 2^BITS places; ridge of the regression.
 NGRAMS, BITS, RIDGE = (2, 3, 4), 16, 0.05
-#: A sentence is of another language than its text's main one if its score leads by so much.
-MIX = 0.3
+#: Another language than a text's main one enters it with a sentence whose score leads by ENTER; sentences of two languages
+#: alike (a whole sentence leads by about two) then go to it too if they lead by MIX. At most so many sentences of a document
+#: are trained on.
+ENTER, MIX, SAMPLE_OF_DOC = 0.9, 0.3, 8
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[\s\S]*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M)
 _TICKS = re.compile(r"(`+)[^`\n]*?\1|``")
@@ -38,7 +40,8 @@ _END = re.compile(r"(?<=[.!?…])(?:[\"'”’»)\]*_]*(?:\s+|\Z)|[^\w\s.!?…,;
 _BULLET = re.compile(r"^[ \t]*(?:>[ \t]*)*(?:[-*+•][ \t]+|\d+[.)][ \t]+)?(?:\[[ xX]\][ \t]+)?")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
-_CODE_WORD = re.compile(r"\S*(?:[^\W\d]_[^\W\d]|[a-z][A-Z][a-z]|://|\(\)|[{}=<>;])\S*|\S*\d\S*|\b[a-z]+-(?:svc|api|db|job)\b|\b[A-Z]+-(?:SVC|API|DB|JOB)\b")
+_CODE_WORD = re.compile(r"[^\W\d]_[^\W\d]|[a-z][A-Z][a-z]|://|\(\)|[{}=<>;\d]")
+_SERVICE = re.compile(r"\b[a-z]+-(?:svc|api|db|job)\b|\b[A-Z]+-(?:SVC|API|DB|JOB)\b")
 
 
 def label(text: str | None) -> str | None:
@@ -54,6 +57,13 @@ def label(text: str | None) -> str | None:
     return "" if re.fullmatch(r"[^\W\d_]{2,}", low) else None
 
 
+def prose(s: str) -> str:
+    """A sentence without names of code and of services."""
+    if _CODE_WORD.search(s):
+        s = " ".join(w for w in s.split() if not _CODE_WORD.search(w))
+    return _SERVICE.sub(" ", s) if "-" in s else s
+
+
 def sentences(text: str) -> list[tuple[int, str]]:
     """(offset, sentence) of the whole sentences: prose that ends with a full stop, question or exclamation mark and has
     at least three words besides names of code; headings, code, tables and quoted messages in backticks are none."""
@@ -70,7 +80,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
         begin = lead
         for m in _END.finditer(line, lead):
             s = line[begin : m.start()]
-            if len(_WORD.findall(_CODE_WORD.sub(" ", s))) >= 3:
+            if len(_WORD.findall(prose(s))) >= 3:
                 out.append((start + begin, s))
                 begin = m.end()
             elif re.search(r"[^\W\d]{2}$", s.rstrip(".!?…")) is None:
@@ -82,15 +92,15 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 def plain(s: str) -> str:
     """Small letters without accents; names of code and all that is no letter are blanks."""
-    s = unicodedata.normalize("NFKD", _CODE_WORD.sub(" ", s).replace("’", "'").replace("ß", "ss")).encode("ascii", "ignore").decode().lower()
+    s = unicodedata.normalize("NFKD", prose(s).replace("’", "'").replace("ß", "ss")).encode("ascii", "ignore").decode().lower()
     return " " + " ".join(_PLAIN_WORD.findall(s)) + " "
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, place) of each different n-gram of each text, sorted."""
+    """(text number, place) of each different n-gram of each text, sorted. At most 2^(32 - BITS) texts."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lens)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint32), lens) << np.uint32(BITS)
     keys = []
     for n in NGRAMS:
         if len(codes) < n:
@@ -100,9 +110,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - n + 1 + j]
         h = (h ^ (h >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
         same = owner[: len(h)] == owner[n - 1 :]
-        keys.append((owner[: len(h)][same] << np.uint64(BITS)) | (h[same] >> np.uint64(64 - BITS)))
-    k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
-    return (k >> np.uint64(BITS)).astype(np.int64), (k & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        keys.append((owner[: len(h)] | (h >> np.uint64(64 - BITS)).astype(np.uint32))[same])
+    k = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint32)
+    k = k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
+    return (k >> np.uint32(BITS)).astype(np.int64), (k & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -136,7 +147,7 @@ def fit(texts: list[str], langs: list[str]) -> np.ndarray:
         w = (1.0 / np.maximum(share, 1))[yy] * len(yy) / len(LANGS)
         goal = np.where(yy[:, None] == np.arange(len(LANGS)), 1.0, -1.0)
         beta = np.linalg.solve((phi * w[:, None]).T @ phi + RIDGE * len(yy) / 100 * np.eye(len(marks)), (phi * w[:, None]).T @ goal)
-        v = (lm.T @ (root @ beta).astype(np.float32)).astype(np.float32)
+        v = np.asfortranarray(lm.T @ (root @ beta).astype(np.float32), dtype=np.float32)
         keep = keep & (blocks(v).argmax(1) == y)
     return v
 
@@ -147,7 +158,8 @@ def score(texts: list[str], v: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), v.shape[1]), dtype=np.float64)
     if len(row):
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(v[col], first, axis=0)
+        for k in range(v.shape[1]):
+            out[row[first], k] = np.add.reduceat(v[:, k][col], first)
         out[row[first]] /= np.sqrt(np.diff(np.r_[first, len(row)]))[:, None]
     return out
 
@@ -157,26 +169,34 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     first = F.lower(F.trim(F.regexp_extract(F.trim(lang), r"^[^-_ (]+", 0)))
     pairs = F.create_map(*[F.lit(x) for k, names in LABELS.items() for n in names.split() for x in (n, k)])
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), pairs[first].alias("l")).where(F.col("l").isNotNull() & F.length("t").between(41, SAMPLE_CHARS))
-    rows = usable.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS).select("t", "l").collect()
+    sample = usable.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(SAMPLE_DOCS).select("h", "t", "l")
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for h, t, l in zip(b["h"], b["t"], b["l"], strict=True):
+                found = sentences(t)
+                rows += [(h, n, l, p) for n, (_, s) in enumerate(found[:: max(1, len(found) // SAMPLE_OF_DOC)]) if len(p := plain(s)) > 20]
+            yield pd.DataFrame(rows, columns=["h", "n", "l", "p"])
+
+    # Dealt out again, as a limit comes in one partition; only the sentences come to the driver.
+    got = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, "h").mapInPandas(cut_up, "h long, n int, l string, p string").collect()
     texts: list[str] = []
     langs: list[str] = []
     count = dict.fromkeys(LANGS, 0)
-    for r in rows:
-        found = sentences(r["t"])
-        for _, s in found[:: max(1, len(found) // 8)]:
-            p = plain(s)
-            if count[r["l"]] < SAMPLE_SENTENCES and len(p) > 20:
-                count[r["l"]] += 1
-                texts.append(p)
-                langs.append(r["l"])
+    for r in sorted(got):
+        if count[r["l"]] < SAMPLE_SENTENCES:
+            count[r["l"]] += 1
+            texts.append(r["p"])
+            langs.append(r["l"])
     return fit(texts, langs) if texts else None
 
 
 def passages(text: str, spans: list[tuple[int, str]], scores: np.ndarray) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of maximal runs of sentences in one language.
 
-    The text's main language leads by the sum over its sentences; a sentence goes to another language only with a clear
-    lead over the main one. Confidence is the mean share of the language in the softmax of its sentences' scores.
+    The text's main language leads by the sum over its sentences. Another one enters the text only with a sentence that
+    leads clearly (ENTER), as related languages share sentences; its other sentences then need no more than MIX. Confidence is the mean share of the language in the softmax of its sentences' scores.
     """
     if not spans:
         return []
@@ -185,7 +205,8 @@ def passages(text: str, spans: list[tuple[int, str]], scores: np.ndarray) -> lis
     soft /= soft.sum(1, keepdims=True)
     best = scores.argmax(1)
     lead = scores.max(1) - scores[:, main]
-    best = np.where(lead >= MIX, best, main)
+    entered = np.isin(best, np.unique(best[lead >= ENTER]))
+    best = np.where(entered & (lead >= MIX), best, main)
     out: list = []
     for (at, s), k, p in zip(spans, best.tolist(), soft, strict=True):
         if out and out[-1][2] == k:
