@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 HOT_SHARE = 4
 #: Keys with fewer rows than this are never worth salting.
 HOT_LEAST = 20_000
-#: Number of pieces a hot key is cut into.
+#: Number of pieces a group is cut into before its rows are known to be many.
 SALTS = 16
+#: A list of one node's neighbours holds at most about so many; longer ones come in parts.
+PART_ROWS = 20_000
+#: Lists of keys up to this many rows are broadcast.
+SMALL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +41,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only a session without one (tests) gets a local folder."""
+    """Use the shared folder named by spark.checkpoint.dir. Without one a session in one process (tests) gets a local folder;
+    on a cluster that is an error, as executors don't see each other's disks."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not conf and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
@@ -76,35 +83,41 @@ def iso_ts(col: Column | str) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str, least: int = HOT_LEAST) -> DataFrame:
-    """Keys that hold more than their share of the rows. At most HOT_SHARE * shuffle partitions rows come out."""
+    """(key, n_salts) of the keys that hold more than their share of the rows, at most HOT_SHARE * shuffle partitions of them,
+    with so many pieces that none holds more than that share."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") > least) & (F.col("_n") * (HOT_SHARE * parts) > total)).select(key)
+    share = F.greatest(F.lit(least), counts.agg(F.sum("_n")).scalar() / (HOT_SHARE * parts))
+    return counts.where(F.col("_n") > share).select(key, F.greatest(F.lit(2), F.ceil(F.col("_n") / share)).cast("int").alias("n_salts"))
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
-    """Sort-merge join of ``left`` with the key-unique ``right`` where hot keys are spread over SALTS tasks.
+    """Sort-merge join of ``left`` with the key-unique ``right`` where the rows of a hot key are spread over many tasks.
 
-    Rows of a hot key on the left get a salt; the one row of that key on the right is copied once per salt. All other
-    keys keep salt 0, so nothing but the bounded list of hot keys is copied or broadcast.
+    Rows of a hot key on the left get a salt by the hash of their other columns, the same whenever a task is run again;
+    the one row of that key on the right is copied once per salt. All other keys keep salt 0, so nothing but the bounded
+    list of hot keys is copied or broadcast.
     """
-    hot = (hot if hot is not None else hot_keys(left, key)).select(F.col(key).alias("_hot"))
+    hot = (hot if hot is not None else hot_keys(left, key)).select(F.col(key).alias("_hot"), F.col("n_salts").alias("_salts"))
+    rest = [f.name for f in left.schema.fields if f.name != key and "map" not in f.dataType.simpleString()] or [key]
     salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * SALTS).cast("int"))
-    ).drop("_hot")
+        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rest), F.col("_salts")).cast("int"))
+    ).drop("_hot", "_salts")
     copies = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ).drop("_hot")
+        "_salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    ).drop("_hot", "_salts")
     return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def part_of_hot(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Add ``part``: 0, and for rows of a hot key one of SALTS parts by the hash of ``member``; so groups by key and part
-    stay small enough to be collected."""
-    hot = hot_keys(df, key).select(F.col(key).alias("_hot"))
-    part = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
-    return df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("part", part).drop("_hot")
+    """Add ``part``: 0, and for a key with more than PART_ROWS rows one of as many parts as keep to that number, by the MD5 of
+    ``member``; so a group by key and part can be collected, and the parts depend on nothing but the rows. Keys that long
+    are broadcast while they are few (SMALL_ROWS, counted) and joined otherwise."""
+    long = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > PART_ROWS).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / PART_ROWS).alias("_parts"))
+    long = cut(long)
+    long = F.broadcast(long) if long.count() <= SMALL_ROWS else long
+    part = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.conv(F.substring(F.md5(member), 1, 8), 16, 10).cast("long"), F.col("_parts")).cast("int"))
+    return df.join(long, F.col(key) == F.col("_hot"), "left").withColumn("part", part).drop("_hot", "_parts")
 
 
 def numbered(df: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:

@@ -232,6 +232,7 @@ def test_hot_keys_are_numbered_and_split(spark, monkeypatch):
     got = {(r.k, r.m): r.place for r in common.numbered(df, "k", [F.col("o").asc_nulls_last(), F.col("m").asc()]).collect()}
     assert [m for _, m in sorted((p, m) for (k, m), p in got.items() if k == "hot")] == [m for _, _, m in sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[1], r[2]))]
     assert (got["a", "y"], got["a", "x"], got["b", "z"]) == (1, 2, 1)
+    monkeypatch.setattr(common, "PART_ROWS", 30)
     parts = common.part_of_hot(df, "k", "m")
     assert parts.where("k = 'hot'").select("part").distinct().count() > 8 and parts.where("k <> 'hot'").select("part").distinct().collect()[0].part == 0
     assert parts.count() == len(rows)
@@ -255,7 +256,7 @@ def test_callers_are_named_in_parts(spark, monkeypatch):
     import corvine.common as common
     from corvine.operators import retrieve
 
-    monkeypatch.setattr(common.hot_keys, "__defaults__", (10,))
+    monkeypatch.setattr(common, "PART_ROWS", 10)
     names = [f"c{i:03}" for i in range(100)]
     n = spark.createDataFrame([(x, x.upper(), "Function", "n", "f") for x in (*names, "poll", "lone")] + [("k", "K", "Class", "n", "f")], "id string, name string, label string, namespace string, file_path string")
     e = spark.createDataFrame([(x, "poll", "CALLS") for x in names] + [("poll", "c000", "CALLS"), ("k", "poll", "CONTAINS")], "src string, dst string, type string")
