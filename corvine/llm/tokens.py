@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.common import salted_lookup, spread
+from corvine.common import cut, salted_lookup, spread
 
 #: Where the vocabulary files of public tokenizers lie; a parameter of every operator here.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW, CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 16, 7, 16, 2048
 #: Splits that end within so many characters of a chunk's end may look different in the whole text.
 MARGIN = 4
+#: Fixed value: a single blank between two other characters begins a split whatever stands around it.
+_SURE = regex.compile(r"(?r)(?<=\S) (?=\S)")
 _loaded: dict = {}
 
 
@@ -78,7 +80,9 @@ def encode_chunk(chunk: str, enc: Encoder) -> tuple[list[int], int, int]:
     """(ids, offset, ids before it): up to the offset the chunk's own splits hold in any text that begins with it."""
     ids = enc.bpe.encode_ordinary(chunk)
     sure, rest = 0, len(chunk) - MARGIN
-    if rest > 0:
+    if rest > 0 and (m := _SURE.search(chunk, 0, rest)) is not None:
+        sure = m.start()
+    elif rest > 0:
         for m in enc.split.finditer(chunk):
             if m.end() > rest:
                 break
@@ -130,9 +134,10 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
     """(key, ids): the ids of every row's text by byte_bpe_50k, without special tokens.
 
     Null and empty texts give an empty list. A row comes out for each row that goes in, repeated keys included. The text
-    of special tokens is plain text. Chunks are made unique, by 128 bits of their SHA-256, before they are encoded; a
-    chunk that stands in very many documents is salted when its ids (two bytes each) are joined back; a document is put
-    together from its own chunks, with its text sent along once.
+    of special tokens is plain text. Rows are numbered and cut into chunks once and kept in the shared folder, so that
+    every later pass sees the same numbers. Chunks are made unique, by 128 bits of their SHA-256, before they are
+    encoded; a chunk that stands in very many documents is salted when its ids (two bytes each) are joined back; a
+    document is put together from its own chunks, with its text sent along once.
     """
 
     @F.pandas_udf("array<string>")
@@ -159,12 +164,12 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
             out.append(join_chunks(own, enc))
         return pd.Series(out)
 
-    rows = spread(docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")))
-    placed = rows.select("_row", F.posexplode(cut_up("_text")).alias("_seq", "chunk")).withColumn("_hash", F.substring(F.unhex(F.sha2("chunk", 256)), 1, 16))
+    rows = cut(spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))).select(F.monotonically_increasing_id().alias("_row"), "_key", cut_up("_text").alias("_chunks")))
+    placed = rows.select("_row", F.posexplode("_chunks").alias("_seq", "chunk")).withColumn("_hash", F.substring(F.unhex(F.sha2("chunk", 256)), 1, 16))
     known = placed.groupBy("_hash").agg(F.first("chunk").alias("chunk")).select("_hash", encode("chunk").alias("_e")).select("_hash", "_e.*")
     joined = salted_lookup(placed.select("_row", "_seq", "_hash", F.char_length("chunk").alias("n")), known, "_hash")
     parts = joined.select("_row", F.struct("_seq", "n", "ids", "sure", "n_sure").alias("_part"))
     none = [F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"), F.lit(None).cast("string").alias("_text")]
-    both = parts.select("_row", *none, "_part").unionByName(rows.select("_row", "_key", "_text", F.lit(None).cast(parts.schema["_part"].dataType).alias("_part")))
+    both = parts.select("_row", *none, "_part").unionByName(rows.select("_row", "_key", F.array_join("_chunks", "").alias("_text"), F.lit(None).cast(parts.schema["_part"].dataType).alias("_part")))
     whole = both.groupBy("_row").agg(F.max("_key").alias("_key"), F.max("_text").alias("_text"), F.array_sort(F.collect_list("_part")).alias("_parts"))
     return whole.select(F.col("_key").alias(key), put_together("_text", "_parts").alias("ids"))
