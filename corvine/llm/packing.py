@@ -6,84 +6,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rounds of multiplicative weights, and how strongly a round moves them.
-ROUNDS, RATE = 160, 0.35
-#: Ranks within a length are dealt over so many groups, so that no length is numbered in one task.
-SHARES = 64
-
-
-def best_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The fullest-priced pattern (copies per length) that fits: the pricing problem, an unbounded knapsack by dynamic
-    programming over the capacity."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(lengths, kind="stable")
-    ls, ws = lengths[order], weights[order]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(ls, c, side="right"))
-        value[c] = value[c - 1]
-        if k:
-            v = value[c - ls[:k]] + ws[:k]
-            j = int(v.argmax())
-            if v[j] > value[c]:
-                value[c], choice[c] = v[j], order[j]
-    counts = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[choice[c]] += 1
-            c -= int(lengths[choice[c]])
+#: Lengths are told apart in so many steps of the capacity at most (exactly up to this capacity, rounded up beyond), which
+#: bounds the pricing program and what reaches the driver.
+GRID = 8192
+#: How strongly serving a length lowers its price, how much more a unit of a long item is worth than of a short one, and how
+#: many of the lengths of the dearest units a round prices first.
+RATE, LONG_FIRST, FIRST_PRICED = 0.5, 0.02, 96
+#: So many items of one length are numbered in one task at most.
+SHARE_ROWS = 1 << 20
+
+
+def best_pattern(weights: np.ndarray, lengths: np.ndarray, rest: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest pattern (copies per length, none more often than it is left) that fits: the pricing problem, a bounded
+    knapsack by dynamic programming over the capacity, with copies in powers of two."""
+    value, taken = np.zeros(capacity + 1), []
+    for i, (n, w) in enumerate(zip(lengths.tolist(), weights.tolist(), strict=True)):
+        left, k = min(int(rest[i]), capacity // n), 1
+        while left:
+            k = min(k, left)
+            more = value[: -k * n] + k * w
+            better = more > value[k * n :]
+            value[k * n :][better] = more[better]
+            taken.append((i, k, k * n, better))
+            left, k = left - k, 2 * k
+    counts, c = np.zeros(len(lengths), dtype=np.int64), capacity
+    for i, k, size, better in reversed(taken):
+        if c >= size and better[c - size]:
+            counts[i] += k
+            c -= size
     return counts
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Patterns with multiplicities that together hold exactly ``demand`` items of each length.
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(places of lengths, copies of each, containers): patterns that together hold exactly ``demand`` items of each length.
 
-    Each round prices the lengths, finds the best pattern by the knapsack program and raises its share; prices of lengths
-    that the pattern serves fall multiplicatively, by their share of the demand. The fractional solution is scaled to the
-    demand and rounded down; what is left (bounded by patterns x items of one) is filled largest first, whole runs of
-    equal containers at a time. All of it works on the histogram, so its size depends on the capacity alone.
+    The configuration program (fewest patterns that serve every length) by multiplicative weights: a round prices the
+    lengths, finds the dearest pattern by the knapsack program and takes the largest step that serves no length beyond
+    its demand, rounded down to whole containers; a length's price falls exponentially with the share of its demand that
+    is served. What is left is priced anew until nothing is, so every item is placed by a pattern. A round first prices
+    the lengths of the dearest units only, and all of them if no such pattern is full. Each round serves a length to its
+    end, so there are no more rounds than lengths. All of it works on the histogram: data of any size cost the same.
     """
     rest = demand.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    if len(lengths) and capacity <= 1 << 16:
-        logs = np.log(np.maximum(lengths, 1) / capacity)
-        found: dict[bytes, list] = {}
-        need = np.maximum(demand, 1).astype(float)
-        for _ in range(rounds):
-            p = best_pattern(np.exp(logs - logs.max()) * 1.0, lengths, capacity)
-            if not p.any():
-                break
-            step = float((need[p > 0] / p[p > 0]).min())
-            found.setdefault(p.tobytes(), [p, 0.0])[1] += step
-            logs = logs - RATE * p * step / need
-        total = sum(p * x for p, x in found.values())
-        scale = 1.0 / max(1e-9, float((total / need).max()))
-        for p, x in sorted(found.values(), key=lambda f: (-int((f[0] * lengths).sum()), -f[1])):
-            times = int(x * scale)
-            used = p > 0
-            times = min(times, int((rest[used] // p[used]).min()))
-            if times > 0 and int((p * lengths).sum()) >= 0.98 * capacity:
-                out.append((p, times))
-                rest -= p * times
-    order = np.argsort(-lengths, kind="stable")
+    out = []
     while rest.any():
-        room, p = capacity, np.zeros(len(lengths), dtype=np.int64)
-        for i in order:
-            if rest[i] and lengths[i] <= room:
-                p[i] = min(rest[i], room // lengths[i])
-                room -= int(p[i] * lengths[i])
-                if not room:
-                    break
+        live = np.flatnonzero(rest)
+        unit = (lengths[live] / capacity) ** LONG_FIRST * np.exp(RATE * (rest[live] / demand[live] - 1))
+        order = np.argsort(-unit, kind="stable")
+        for some in (order[:FIRST_PRICED], order):
+            at = live[some]
+            p = best_pattern(unit[some] * lengths[at], lengths[at], rest[at], capacity)
+            if int((p * lengths[at]).sum()) == capacity or len(at) == len(live):
+                break
         used = p > 0
-        times = int((rest[used] // p[used]).min())
-        out.append((p, times))
-        rest -= p * times
+        times = int((rest[at][used] // p[used]).min())
+        out.append((at[used], p[used], times))
+        rest[at] -= p * times
     return out
 
 
@@ -95,40 +76,48 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     0 of size 0 in container 0. Ties in length are broken by the key's hash, then by place. No container holds more than
     the capacity; an empty table gives no rows.
 
-    Only the histogram of lengths (at most ``capacity`` numbers) reaches the driver. Items are numbered within their
-    length by two steps, per share and then by the shares' counts, so that one length with a third of all items is still
-    numbered in parallel; a piece's container follows from length and number alone.
+    Only the histogram of lengths (at most GRID numbers, and one for every SHARE_ROWS items of a length) reaches the
+    driver. Items are numbered within their length by two steps, per share and then by the shares' counts, so that a
+    length with a third of all items is numbered in as many tasks as it needs; a piece's container follows from length
+    and number alone. Capacities above GRID are measured in GRID steps, lengths rounded up.
     """
+    steps = min(capacity, GRID)
     whole = sizes.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     full = F.when(F.col("_size") > capacity, F.floor((F.col("_size") - 1) / capacity)).otherwise(0).cast("int")
     cut = whole.select("_key", "_size", F.explode(F.sequence(F.lit(0), full)).alias("piece_no"))
     pieces = cut.select(
         "_key", "piece_no", (F.col("piece_no").cast("long") * capacity).alias("first"),
         F.least(F.lit(capacity), F.col("_size") - F.col("piece_no").cast("long") * capacity).cast("int").alias("n"),
-    ).withColumn("_share", F.pmod(F.xxhash64("_key", "piece_no"), F.lit(SHARES)).cast("int"))
-    counts = pieces.where("n > 0").groupBy("n", "_share").count().collect()  # at most capacity x SHARES rows
-    table = np.zeros((capacity + 1, SHARES), dtype=np.int64)
-    for r in counts:
-        table[r["n"], r["_share"]] = r["count"]
-    demand = table.sum(axis=1)
+    ).withColumn("_len", F.ceil(F.col("n").cast("long") * steps / capacity).cast("int"))
+    counted = pieces.where("n > 0").groupBy("_len").count().collect()  # at most GRID rows
+    demand = np.zeros(steps + 1, dtype=np.int64)
+    for r in counted:
+        demand[r["_len"]] = r["count"]
+    shares = np.maximum(1, -(-demand // SHARE_ROWS))
+    first_share = np.cumsum(shares) - shares
+    by_len = sizes.sparkSession.createDataFrame([(int(x), int(shares[x])) for x in range(steps + 1)], "_len int, _shares int")
+    pieces = pieces.join(F.broadcast(by_len), "_len").withColumn("_share", F.pmod(F.xxhash64("_key", "piece_no"), F.col("_shares")).cast("int")).drop("_shares")
+    table = np.zeros(int(shares.sum()), dtype=np.int64)
+    for r in pieces.where("n > 0").groupBy("_len", "_share").count().collect() if shares.max() > 1 else []:
+        table[first_share[r["_len"]] + r["_share"]] = r["count"]
+    before = np.cumsum(table) - table
+    offset = before - np.repeat(before[first_share], shares)
     lengths = np.flatnonzero(demand)
-    plan = solve(lengths, demand[lengths], capacity)
+    plan = solve(lengths, demand[lengths], steps)
     # For each length, runs of ranks: (first rank, copies per container, first container).
     runs: dict[int, list[tuple[int, int, int]]] = {int(x): [] for x in lengths}
     at, container = {int(x): 0 for x in lengths}, 1
-    for p, times in plan:
-        for i in np.flatnonzero(p):
-            x = int(lengths[i])
-            runs[x].append((at[x], int(p[i]), container))
-            at[x] += int(p[i]) * times
+    for places, copies, times in plan:
+        for x, k in zip(lengths[places].tolist(), copies.tolist(), strict=True):
+            runs[x].append((at[x], k, container))
+            at[x] += k * times
         container += times
-    offset = np.cumsum(table, axis=1) - table
     arrays = {x: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, share = b["n"].to_numpy(), b["_share"].to_numpy()
-            rank = np.where(n > 0, offset[np.maximum(n, 0), share] + b["_rank"].to_numpy() - 1, 0)
+            n = b["_len"].to_numpy()
+            rank = offset[first_share[n] + b["_share"].to_numpy()] + b["_rank"].to_numpy() - 1
             where = np.zeros(len(b), dtype=np.int64)
             for x in np.unique(n[n > 0]):
                 hit = n == x
@@ -137,8 +126,14 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
                 where[hit] = base[k] + (rank[hit] - start[k]) // per[k]
             yield b[["_key", "piece_no", "first", "n"]].assign(container=where)
 
-    from pyspark.sql import Window
-
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("n", "_share").orderBy(F.xxhash64("_key", "piece_no"), "_key", "piece_no")))
+    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("_len", "_share").orderBy(F.xxhash64("_key", "piece_no"), "_key", "piece_no")))
     kind = sizes.schema[key].dataType.simpleString()
     return ranked.mapInPandas(place, f"_key {kind}, piece_no int, first long, n int, container long").withColumnRenamed("_key", key)
+
+
+def packing_gap(packed: DataFrame, capacity: int) -> DataFrame:
+    """(containers, lower_bound, gap) of a packing: the bound is the dual solution that prices each unit at 1 / capacity,
+    which no pattern exceeds; gap is the share of containers above it. An empty packing has none of either and no gap."""
+    total = packed.where("n > 0").agg(F.coalesce(F.max("container"), F.lit(0)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+    bound = F.ceil(F.col("_n") / capacity)
+    return total.select("containers", bound.alias("lower_bound"), F.round(F.col("containers") / F.nullif(bound, F.lit(0)) - 1, 6).alias("gap"))

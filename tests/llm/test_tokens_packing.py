@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -38,8 +40,36 @@ def test_solve_is_exact_and_near_full():
     d = np.bincount(sizes, minlength=1025)
     lengths = np.flatnonzero(d)
     plan = packing.solve(lengths, d[lengths], 1024)
-    assert (sum(p * k for p, k in plan) == d[lengths]).all() and all((p * lengths).sum() <= 1024 for p, _ in plan)
-    assert sum(k for _, k in plan) <= 1.005 * sizes.sum() / 1024 + 2
+    served = np.zeros(len(lengths), dtype=np.int64)
+    for at, p, k in plan:
+        served[at] += p * k
+        assert (p * lengths[at]).sum() <= 1024
+    assert (served == d[lengths]).all()
+    assert sum(k for _, _, k in plan) <= 1.005 * sizes.sum() / 1024 + 2
+
+
+def greedy(lengths, demand, capacity):
+    rest, n = demand.copy(), 0
+    while rest.any():
+        room, p = capacity, np.zeros(len(lengths), dtype=np.int64)
+        for i in np.argsort(-lengths):
+            p[i] = min(rest[i], room // lengths[i])
+            room -= p[i] * lengths[i]
+        times = int((rest[p > 0] // p[p > 0]).min())
+        n, rest = n + times, rest - p * times
+    return n
+
+
+@pytest.mark.parametrize("copies", [1, 100, 10_000])
+def test_no_more_containers_than_greedy(copies):
+    enc = tokens.encoder().bpe
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    sizes = np.array([len(enc.encode_ordinary(t)) for t in texts if t])
+    pieces = np.concatenate([(sizes - 1) % 2048 + 1, np.full(((sizes - 1) // 2048).sum(), 2048)])
+    d = np.bincount(pieces, minlength=2049) * copies
+    lengths = np.flatnonzero(d)
+    n = sum(k for _, _, k in packing.solve(lengths, d[lengths], 2048))
+    assert -(-int(pieces.sum()) * copies // 2048) <= n <= greedy(lengths, d[lengths], 2048)
 
 
 def test_pack(spark):
@@ -54,5 +84,20 @@ def test_pack(spark):
     assert len(parts) == len(rows) and [parts[1000, k] for k in range(3)] == [(0, 100), (100, 100), (200, 50)] and parts[1001, 0] == (0, 100) and (1001, 1) not in parts
     assert parts[1002, 0] == (0, 0) and parts[1004, 1] == (100, 1) and len([c for c in used if c > 0]) <= sum(used.values()) / 100 + 4
     assert packing.pack(df.limit(0), 100).count() == 0
+    wide = packing.pack(df, 100_000)  # lengths beyond the grid are rounded up, and nothing is lost
+    assert {(r.doc_id, r.n) for r in wide.collect()} == {(i, s or 0) for i, s in sizes} and wide.where("n > 0").select("container").distinct().count() == 1
+    gap = packing.packing_gap(packing.pack(df, 100), 100).first()
+    assert gap.containers == len([c for c in used if c > 0]) and gap.lower_bound == -(-sum(used.values()) // 100) and gap.gap < 0.02
+    assert tuple(packing.packing_gap(packing.pack(df.limit(0), 100), 100).first()) == (0, 0, None)
+    hot = packing.SHARE_ROWS
+    packing.SHARE_ROWS = 7  # one length in many shares
+    try:
+        many = packing.pack(spark.createDataFrame([(i, 30 + i % 2) for i in range(301)], "doc_id bigint, n_tokens int"), 100).collect()
+    finally:
+        packing.SHARE_ROWS = hot
+    per: dict = {}
+    for r in many:
+        per[r.container] = per.get(r.container, 0) + r.n
+    assert len(many) == 301 and max(per.values()) <= 100 and len(per) == 101
     same = packing.pack(spark.createDataFrame([(i, 50) for i in range(101)], "doc_id bigint, n_tokens int"), 100)
     assert same.select("container").distinct().count() == 51
