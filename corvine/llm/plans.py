@@ -40,6 +40,11 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "source_file"))
 
 
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The places of all credentials in the bytes of their files."""
+    return credentials.spans(table(spark, d, "source_file"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Source files not written by hand for their service."""
     return handwritten.not_handwritten(table(spark, d, "source_file")).select("file_id")
@@ -75,10 +80,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return int(table(spark, d, "size_limit").where("item_table = 'documents' and lower(size_unit) = 'token'").agg(F.min("max_size")).first()[0])
+
+
 def _containers(spark: SparkSession, d: str) -> DataFrame:
-    limit = table(spark, d, "size_limit").where("item_table = 'documents' and lower(size_unit) = 'token'").agg(F.min("max_size")).first()[0]
     sizes = cut(tokens.encode_corpus(table(spark, d, "documents")).select("doc_id", F.size("ids").alias("n_tokens")))
-    return packing.pack(sizes, int(limit))
+    return packing.pack(sizes, _capacity(spark, d))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +100,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return fill.groupBy(F.floor(F.col("used") / 100).alias("used_hundreds")).agg(F.count("*").alias("containers"), F.sum("used").alias("used"), F.sum("items").alias("items"))
 
 
+def p9_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Containers against the lower bound of the configuration program."""
+    return packing.packing_gap(_containers(spark, d), _capacity(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents whose label is missing or wrong, or that mix languages."""
     return langid.wrong_labels(langid.language_passages(table(spark, d, "documents")))
@@ -102,7 +115,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     return langid.language_passages(table(spark, d, "documents")).drop("label_lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p3_reasons, p4_found, p4_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p10_found, p10_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p2_spans, p3_found, p3_reasons, p4_found, p4_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p9_gap, p10_found, p10_passages)}
 SQL = {
     "p1_found": """
         SELECT 'context_item' AS item_table, CAST(item_id AS VARCHAR) AS item_key FROM context_item c JOIN size_limit s ON s.item_table = 'context_item'

@@ -1,4 +1,7 @@
 import json
+import time
+import tomllib
+from xml.etree import ElementTree
 
 import pytest
 
@@ -39,6 +42,49 @@ def test_no_case(ext, code):
     assert C.find(ext, code) == []
 
 
+SECRETS = ["q9Xz81LmPp0Zk3", "S3cr3t9!x"]
+
+
+@pytest.mark.parametrize(("ext", "code"), [
+    ("json", '{"password": "S3cr3t9!x", "token": "q9Xz81LmPp0Zk3"}'), ("json", '{"passwords": ["S3cr3t9!x", "q9Xz81LmPp0Zk3"]}'), ("js", 'const u = "https://svc:S3cr3t9!x@h.invalid/x?token=q9Xz81LmPp0Zk3";'), ("py", 'connect(password="S3cr3t9!x", token="q9Xz81LmPp0Zk3")'),
+    ("yml", "passwords:\n  - S3cr3t9!x\n  - q9Xz81LmPp0Zk3\n"), ("yml", "tokens: [S3cr3t9!x, 'q9Xz81LmPp0Zk3']\n"), ("yml", "a: {password: S3cr3t9!x, token: q9Xz81LmPp0Zk3}\n"), ("toml", 'db = { password = "S3cr3t9!x", token = "q9Xz81LmPp0Zk3" }\n'),
+    ("xml", '<a><password>S3cr3t9!x</password><add key="ApiToken" value="q9Xz81LmPp0Zk3"/></a>'), ("xml", '<a><property name="db.password">S3cr3t9!x</property><c token="q9Xz81LmPp0Zk3"></c></a>'), ("ini", "password =\n    S3cr3t9!x\ntoken = q9Xz81LmPp0Zk3\n"),
+    ("properties", "password = S3cr\\\n   3t9!x\ntoken = q9Xz81LmPp0Zk3\n"), ("sh", "curl -u svc:S3cr3t9!x https://h.invalid --token q9Xz81LmPp0Zk3\n"), ("py", "# password: S3cr3t9!x token: q9Xz81LmPp0Zk3"), ("yaml", "password: |\n  S3cr3t9!x\n  q9Xz81LmPp0Zk3\n"),
+])
+def test_every_secret_of_a_line_is_masked(ext, code):
+    found = C.find(ext, code)
+    assert len(found) == 2
+    out = C.redact(code, found)
+    assert not any(x in out for x in SECRETS) and C.find(ext, out) == [] and out.count("REDACTED") == 2
+    if ext == "json":
+        json.loads(out)
+    if ext == "toml":
+        tomllib.loads(out)
+    if ext == "xml":
+        ElementTree.fromstring(out)
+
+
+@pytest.mark.parametrize(("ext", "code"), [
+    ("py", "token = '" + "aB3!x" * 900 + "'"), ("py", "password" + " " * 300 + "= 'S3cr3t9!x'"), ("py", "a" * 120 + "_password = 'S3cr3t9!x'"), ("json", '{"password"' + " " * 200 + ': "S3cr3t9!x"}'), ("py", "key = 'sk-proj-abcDEF123456ghiJKL789'"),
+    ("js", "const hook = 'https://hooks.slack.com/services/T0AB12CD3/B0AB12CD3/abcDEF123456ghiJKL78';"), ("py", "passphrase = 'correct horse battery staple'"), ("env", "DB_PASSWORD=lgVZteDo.Afbo"), ("py", "password = 'a_gf9MQcw*-Q'"), ("ini", "token = n+LDykqDqbx"), ("py", "pwd = 'kkVSeOZvBD'"),
+])
+def test_no_limits_of_length_and_letters(ext, code):
+    found = C.find(ext, code)
+    assert len(found) == 1 and "REDACTED" in C.redact(code, found)
+
+
+def test_json_is_read_in_one_pass():
+    code = "[" + ",\n".join('{"name": "n%d", "password": "S3cr3t9!x%d", "color": "blue"}' % (i, i) for i in range(16_000)) + "]"
+    began = time.time()
+    assert len(code) > 900_000 and len(C.key_paths("json", code)) == 48_000 and time.time() - began < 1.5
+
+
+def test_offsets_are_of_bytes(spark):
+    code = "ä = 'é€'\npassword = 'S3cr3t9!x'; t = 1\n"
+    (r,) = C.spans(spark.createDataFrame([(1, "a.py", code), (2, "b.py", None)], "file_id bigint, file_path string, code string")).collect()
+    assert r.line_no == 2 and code.encode()[r.byte_start : r.byte_end] == b"S3cr3t9!x"
+
+
 def test_lines_and_frames(spark):
     code = "a = 1\r\npassword = 'abc123!x'\r\n"
     assert lines("py", code) == [2] and lines("py", f"x = 1\nk = '''{KEY}'''") == [2]
