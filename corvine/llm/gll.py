@@ -12,6 +12,7 @@ and ``C:X`` are groups in parentheses, brackets or braces whose content derives
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 _SYMBOL = re.compile(r"\s*(?:('(?:[^'])+')|([PBC]):(\w+)|(\w+)|(\$)|([()|*+?]))")
 _OPEN = {"P": "(", "B": "[", "C": "{"}
@@ -164,9 +165,15 @@ class Grammar:
                     at = i + 1
             if at < len(content):
                 pieces.add(content[at:])
-            return all(p and self.derives(element, p, groups) for p in pieces)
+            for p in pieces:  # a plain loop, as builtins that call back are bounded in depth
+                if not p or not self.derives(element, p, groups):
+                    return False
+            return True
         cuts = statements(content, groups)
-        if all(self.derives(element, p, groups) for p in set(cuts)):
+        for p in set(cuts):
+            if not self.derives(element, p, groups):
+                break
+        else:
             return True
         i, n = 0, len(cuts)
         while i < n:
@@ -244,9 +251,16 @@ _HEADS = {"for", "if", "switch", "while"}
 _GO_ON = set("else catch finally while ; , . ?. ( [ = + - * / % & | ^ < > ? : == === != !== && || ?? ++ -- => -> :: instanceof in of as satisfies".split())
 
 
+def _block_follows(content: tuple, i: int, blocks: list[int]) -> bool:
+    """Whether a head's block stands behind its semicolon, with one more of them between at most."""
+    k = bisect_right(blocks, i)
+    return k < len(blocks) and content[i + 1 : blocks[k]].count(";") <= 1
+
+
 def statements(content: tuple, groups: Groups) -> list[tuple]:
     """Cut behind semicolons, line ends and blocks that nothing continues; heads with semicolons stay whole."""
     out, at, last, n = [], 0, len(content) - 1, len(content)
+    blocks = [i for i, t in enumerate(content) if t.__class__ is int and groups.of[t][0] == "{"] if ";" in content else []
     for i, t in enumerate(content):
         if t.__class__ is int:
             if i < last and groups.of[t][0] == "{":
@@ -256,7 +270,7 @@ def statements(content: tuple, groups: Groups) -> list[tuple]:
                     out.append(content[at : i + 1])
                     at = i + 1
         elif t == ";" or t == "NL":
-            if t == ";" and content[at] in _HEADS and not (content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{") and any(x.__class__ is int and groups.of[x][0] == "{" for x in content[i + 1 : i + 40]) and content[at + 1].__class__ is not int:
+            if t == ";" and content[at] in _HEADS and not (content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{") and _block_follows(content, i, blocks) and content[at + 1].__class__ is not int:
                 continue
             if t == "NL" and i < last and content[i + 1] in ("else", "catch", "finally"):
                 continue

@@ -5,21 +5,22 @@ from __future__ import annotations
 from corvine.llm.gll import Grammar
 
 PYTHON = r"""
-%list Args Arg ,
+%list Args PosArg ,
 %list ListIn StarNamed ,
 %list DictIn DictItem ,
-%list Params Param ,
+%list Params Plain ,
 Line = Small (';' Small)* ';'?
-Small = Assign | StarExprs | Flow | Import | 'global' Names | 'nonlocal' Names | 'del' Targets | 'assert' Expr (',' Expr)? | 'type' Name TypeParams? '=' Expr
+Small = Assign | StarExprs | Flow | Import | 'global' Names | 'nonlocal' Names | 'del' Target (',' Target)* ','? | 'assert' Expr (',' Expr)? | 'type' Name TypeParams? '=' Expr
 Flow = 'pass' | 'break' | 'continue' | 'return' StarExprs? | 'raise' (Expr ('from' Expr)?)? | Yield
 Yield = 'yield' 'from' Expr | 'yield' StarExprs?
-Assign = (Targets '=')+ Rhs | Target ':' Expr ('=' Rhs)? | Target AugOp Rhs
+Assign = (Targets '=')+ Rhs | OneTarget ':' Expr ('=' Rhs)? | OneTarget AugOp Rhs
 Rhs = StarExprs | Yield
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
-Targets = StarTarget (',' StarTarget)* ','?
+Targets = Target | StarTarget (',' StarTarget)+ ','? | StarTarget ','
 StarTarget = '*'? Target
 Target = Name | Primary '.' Name | Primary B:Slices | P:ParenTargets | B:ParenTargets
-ParenTargets = Targets?
+OneTarget = Name | Primary '.' Name | Primary B:Slices | P:OneTarget
+ParenTargets = (StarTarget (',' StarTarget)* ','?)?
 Names = Name (',' Name)*
 Name = NAME | 'match' | 'case' | 'type'
 Import = 'import' Dotted ('as' Name)? (',' Dotted ('as' Name)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | ImportNames | P:ImportNamesC)
@@ -31,12 +32,14 @@ StarExpr = '*' Or | Expr
 StarNamed = '*' Or | Named
 Named = Name ':=' Expr | Expr
 Expr = Or ('if' Or 'else' Expr)? | 'lambda' LambdaParams? ':' Expr
-Or = Unary (BinOp Unary)*
-BinOp = 'or' | 'and' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | '<' | '>' | '==' | '!=' | '<=' | '>=' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '&' | '|' | '^' | '<<' | '>>' | '**'
-Unary = ('not' | '-' | '+' | '~' | 'await')* Primary
+Or = Not (('or' | 'and') Not)*
+Not = 'not'* Comparison
+Comparison = Unary (BinOp Unary)*
+BinOp = 'in' | 'not' 'in' | 'is' | 'is' 'not' | '<' | '>' | '==' | '!=' | '<=' | '>=' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '&' | '|' | '^' | '<<' | '>>' | '**'
+Unary = ('-' | '+' | '~')* 'await'? Primary
 Primary = Atom Trailer*
 Trailer = '.' Name | P:Args | B:Slices
-Atom = Name | NUM | STR+ | '...' | P:ParenIn | B:ListIn | B:CompIn | C:DictIn | C:DictComp | C:ListIn1 | C:CompIn
+Atom = Name | 'True' | 'False' | 'None' | NUM | STR+ | BYTES+ | '...' | P:ParenIn | B:ListIn | B:CompIn | C:DictIn | C:DictComp | C:ListIn1 | C:CompIn
 ParenIn = StarNamed? | StarNamed (',' StarNamed)* ','? | Named Comp | Yield
 ListIn = (StarNamed (',' StarNamed)* ','?)?
 ListIn1 = StarNamed (',' StarNamed)* ','?
@@ -44,16 +47,26 @@ CompIn = Named Comp
 DictIn = (DictItem (',' DictItem)* ','?)?
 DictItem = Expr ':' Expr | '**' Or
 DictComp = Expr ':' Expr Comp
-Comp = ('async'? 'for' Targets 'in' Or ('if' CompIf)*)+
-CompIf = Or | Name ':=' Or
-Args = (Arg (',' Arg)* ','?)?
-Arg = Name '=' Expr | '*' Expr | '**' Expr | Named | Named Comp
+Comp = ('async'? 'for' Targets 'in' Or ('if' Or)*)+
+Args = (PosArg (',' PosArg)* (',' Keywords)? ','? | Keywords ','? | Named Comp)?
+PosArg = '*' Expr | Named
+Keywords = Keyword (',' (Keyword | '*' Expr))* (',' Doubles)? | Doubles
+Keyword = Name '=' Expr
+Doubles = '**' Expr (',' ('**' Expr | Keyword))*
 Slices = Slice (',' Slice)* ','?
 Slice = Expr? ':' Expr? (':' Expr?)? | Named | '*' Or
-LambdaParams = LambdaParam (',' LambdaParam)* ','?
-LambdaParam = Name ('=' Expr)? | '*' Name? | '**' Name | '/'
-Params = (Param (',' Param)* ','?)?
-Param = Name (':' Expr)? ('=' Expr)? | '*' (Name (':' StarExpr)?)? | '**' Name (':' Expr)? | '/'
+LambdaParams = LNames ','? | (LNames ',')? LStar ','?
+LNames = LSome | Name (',' Name)* ',' '/' (',' LSome)? | (Name ',')* LDef (',' LDef)* ',' '/' (',' LDef)*
+LSome = Name (',' Name)* (',' LDef)* | LDef (',' LDef)*
+LDef = Name '=' Expr
+LStar = '*' Name (',' Name ('=' Expr)?)* (',' '**' Name)? | '*' (',' Name ('=' Expr)?)+ (',' '**' Name)? | '**' Name
+Params = (PNames ','? | (PNames ',')? PStar ','?)?
+PNames = PSome | Plain (',' Plain)* ',' '/' (',' PSome)? | (Plain ',')* PDef (',' PDef)* ',' '/' (',' PDef)*
+PSome = Plain (',' Plain)* (',' PDef)* | PDef (',' PDef)*
+Plain = Name (':' Expr)?
+PDef = Name (':' Expr)? '=' Expr
+PStar = '*' Name (':' StarExpr)? (',' (Plain | PDef))* (',' PDouble)? | '*' (',' (Plain | PDef))+ (',' PDouble)? | PDouble
+PDouble = '**' Name (':' Expr)?
 TypeParams = B:TypeParamList
 TypeParamList = TypeParam (',' TypeParam)* ','?
 TypeParam = ('*' | '**')? Name (':' Expr)? ('=' StarExpr)?
@@ -76,13 +89,14 @@ HCase = 'case' Patterns ('if' Named)? ':'
 Patterns = Pattern (',' Pattern)* ','?
 Pattern = '*' Name | OrPattern ('as' Name)?
 OrPattern = ClosedPattern ('|' ClosedPattern)*
-ClosedPattern = '-'? NUM (('+' | '-') NUM)? | STR+ | Dotted P:PatternArgs? | P:PatternsOpt | B:PatternsOpt | C:PatternMap
+ClosedPattern = '-'? NUM (('+' | '-') NUM)? | STR+ | BYTES+ | 'True' | 'False' | 'None' | Dotted P:PatternArgs? | P:PatternsOpt | B:PatternsOpt | C:PatternMap
 PatternsOpt = Patterns?
 PatternArgs = (PatternArg (',' PatternArg)* ','?)?
 PatternArg = (Name '=')? Pattern
 PatternMap = (PatternPair (',' PatternPair)* ','?)?
-PatternPair = '**' Name | ('-'? NUM | STR+ | Dotted) ':' Pattern
+PatternPair = '**' Name | ('-'? NUM | STR+ | BYTES+ | 'True' | 'False' | 'None' | Dotted) ':' Pattern
 Deco = '@' Named
+Field = StarExprs | Yield
 ILine = Head Line
 ICase = HCase Line
 File = Stmt*
@@ -125,23 +139,31 @@ Block = Stmt*
 Stmt = C:Block | VarDecl Semi | Expr Semi | If | For | 'while' P:Expr NL? Stmt | 'do' Stmt NL? 'while' P:Expr Semi? | 'continue' Id? Semi | 'break' Id? Semi | 'return' Expr? Semi | 'throw' Expr Semi | 'switch' P:Expr C:Cases | Try | 'debugger' Semi | Func | Class | Id ':' Stmt | ';' | NL
 If = 'if' P:Expr NL? Stmt (NL? 'else' NL? Stmt)?
 For = 'for' 'await'? P:ForHead NL? Stmt
-ForHead = (VarDecl | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const') Binding ('of' Assign | 'in' Expr) | Member ('of' Assign | 'in' Expr)
+ForHead = (VarDecl | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const') Binding ('of' Assign | 'in' Expr) | Target ('of' Assign | 'in' Expr)
 Try = 'try' C:Block NL? ('catch' P:CatchParam? C:Block NL? ('finally' C:Block)? | 'finally' C:Block)
 Cases = CaseItem*
 CaseItem = ('case' Expr | 'default') ':' | Stmt
-VarDecl = ('var' | 'let' | 'const') VarItem (',' VarItem)*
+VarDecl = ('var' | 'let') VarItem (',' VarItem)* | 'const' ConstItem (',' ConstItem)*
 AnonFunc = 'async'? 'function' '*'? Sig C:Block
 Func = 'async'? 'function' '*'? Id Sig C:Block
 Class = Decorator* 'class' Id ClassTail
 AnonClass = Decorator* 'class' ClassTail
 Decorator = '@' Member NL?
 Expr = Assign (',' Assign)*
-Assign = Cond (AssignOp Assign)? | Arrow | 'yield' ('*'? Assign)?
-AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
+Assign = Cond | Target '=' Assign | OneTarget AssignOp Assign | Arrow | 'yield' ('*'? Assign)?
+OneTarget = Id | Prim Tail* ('.' (Word | PRIV) | B:Expr) | P:OneTarget
+Target = OneTarget | B:PatElems | C:PatProps
+PatElems = PatElem? (',' PatElem?)*
+PatElem = '...'? Target ('=' Assign)?
+PatProps = (PatProp (',' PatProp)* ','?)?
+PatProp = '...' Target | PropName ':' Target ('=' Assign)? | Id ('=' Assign)?
+AssignOp = '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 Cond = Bin ('?' Assign ':' Assign)?
-BinOp = '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**' | 'in' | 'instanceof'
-UnaryOp = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--'
-Postfix = Member ('++' | '--')?
+Bin = Terms (('||' | '&&') Terms)* | Terms ('??' Terms)+
+BinOp = '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | 'in' | 'instanceof'
+UnaryOp = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await'
+Unary = UnaryOp+ Postfix | Postfix ('**' Unary)?
+Postfix = Member | OneTarget ('++' | '--') | ('++' | '--') OneTarget
 Member = Prim Tail*
 Prim = Id | 'this' | 'super' | 'null' | 'true' | 'false' | NUM | STR | TPL | REGEX | PRIV | P:Expr | B:Elems | C:Props | FuncExpr | AnonClass | Class | 'new' NewTarget | 'import' P:Args | 'import' '.' Id | 'new' '.' Id
 FuncExpr = 'async'? 'function' '*'? Id? Sig C:Block
@@ -153,7 +175,7 @@ BindProp = '...' Binding | PropName ':' Binding ('=' Assign)? | Id ('=' Assign)?
 PropName = Word | STR | NUM | PRIV | B:Assign
 Params = (Param (',' Param)* ','?)?
 Props = (Prop (',' Prop)* ','?)?
-Prop = '...' Assign | PropName ':' Assign | Id ('=' Assign)? | Method
+Prop = '...' Assign | PropName ':' Assign | Id | Method
 MethodKind = 'async' '*'? | 'get' | 'set' | '*'
 Method = MethodKind? PropName Sig C:Block
 Elems = Elem? (',' Elem?)*
@@ -163,14 +185,14 @@ Arg = '...'? Assign
 """
 
 JAVASCRIPT = _JS + r"""
-VarItem = Binding ('=' Assign)?
+VarItem = Id ('=' Assign)? | (B:BindElems | C:BindProps) '=' Assign
+ConstItem = Binding '=' Assign
 Sig = P:Params
 ClassTail = ('extends' Member)? C:ClassBody
 ClassBody = ClassMember*
 ClassMember = ';' | NL | Decorator* 'static'? Method | Decorator* 'static'? PropName ('=' Assign)? Semi | 'static' C:Block
 CatchParam = Binding
-Bin = Unary (BinOp Unary)*
-Unary = UnaryOp* Postfix
+Terms = Unary (BinOp Unary)*
 Tail = '.' (Word | PRIV) | '?.' (Word | PRIV | P:Args | B:Expr | TPL) | B:Expr | P:Args | TPL
 NewTarget = Member
 Arrow = 'async'? (Id | P:Params) '=>' (C:Block | Assign)
@@ -184,11 +206,14 @@ Export = 'export' 'type' C:ExportSpecs ('from' STR)? Semi | 'export' 'type' '*'
 ExportSpec = 'type' (Word | STR) ('as' (Word | STR))?
 Declaration = TsDecl
 Stmt = TsDecl
-TsDecl = Interface | 'type' Id TypeParams? '=' Type Semi | 'const'? 'enum' Id C:EnumBody | ('namespace' | 'module') (Id ('.' Id)* | STR) C:File | 'declare' (VarDecl Semi | Func | Class | TsDecl | 'global' C:File | NAME C:File) | Decorator* 'abstract' Class | 'async'? 'function' '*'? Id Sig Semi
+TsDecl = Interface | 'type' Id TypeParams? '=' Type Semi | 'const'? 'enum' Id C:EnumBody | ('namespace' | 'module') (Id ('.' Id)* | STR) C:File | 'declare' (Ambient | Func | Class | TsDecl | ('namespace' | 'module') (Id ('.' Id)* | STR) C:AmbientFile | 'global' C:AmbientFile | NAME C:AmbientFile) | Decorator* 'abstract' Class | 'async'? 'function' '*'? Id Sig Semi
+AmbientFile = ('export'? Ambient | Item)*
+Ambient = ('var' | 'let' | 'const') Id (':' Type)? ('=' Assign)? (',' Id (':' Type)? ('=' Assign)?)* Semi
 Interface = 'interface' Id TypeParams? ('extends' Type (',' Type)*)? C:TypeMembers
 EnumBody = (EnumItem (',' EnumItem)* ','?)?
 EnumItem = PropName ('=' Assign)?
-VarItem = Binding '!'? (':' Type)? ('=' Assign)?
+VarItem = Id '!'? (':' Type)? ('=' Assign)? | (B:BindElems | C:BindProps) (':' Type)? '=' Assign
+ConstItem = Binding (':' Type)? '=' Assign
 Sig = TypeParams? P:Params (':' RetType)?
 RetType = 'asserts' (Id | 'this') ('is' Type)? | (Id | 'this') 'is' Type | Type
 ClassTail = TypeParams? ('extends' Member TypeArgs?)? ('implements' Type (',' Type)*)? C:ClassBody
@@ -197,8 +222,10 @@ Mod = 'static' | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' |
 ClassMember = ';' | NL | Decorator* Mod* MethodKind? PropName '?'? Sig C:Block | Decorator* Mod* MethodKind? PropName '?'? Sig Semi | Decorator* Mod* PropName ('?' | '!')? (':' Type)? ('=' Assign)? Semi | 'static' C:Block | Mod* B:IndexKey ':' Type Semi
 IndexKey = Id ':' Type
 CatchParam = Binding (':' Type)?
-Bin = Unary (BinOp Unary | 'as' 'const' | 'as' Type | 'satisfies' Type)*
-Unary = UnaryOp* Postfix | '<' Type '>' Unary
+Terms = Unary (BinOp Unary | 'as' 'const' | 'as' Type | 'satisfies' Type)*
+Unary = '<' Type '>' Unary
+OneTarget = Prim Tail* '!' | P:Casted
+Casted = Unary 'as' Type
 Tail = '.' (Word | PRIV) | '?.' (Word | PRIV | TypeArgs? P:Args | B:Expr | TPL) | B:Expr | P:Args | TPL | '!' | TypeArgs P:Args | TypeArgs TPL
 NewTarget = Member | Member TypeArgs P:Args Tail*
 Arrow = 'async'? (Id | TypeParams? P:Params (':' RetType)?) '=>' (C:Block | Assign)
@@ -221,13 +248,11 @@ TypeMember = 'readonly'? PropName '?'? (':' Type)? | MethodKind? PropName? '?'?
 """
 
 JAVA = r"""
-%list File Top ;
-%list Block Stmt ;
+%list Block BlockStmt ;
 %list ClassBody Member ;
 %list Args Expr ,
 %list ArrInit VarInit ,
-File = Top*
-Top = 'package' QName ';' | Ann+ 'package' QName ';' | 'import' 'static'? QName ('.' '*')? ';' | TypeDecl | ';' | Ann* NAME? NAME QName C:ModuleBody
+File = ';'* (Ann* 'package' QName ';')? ('import' 'static'? QName ('.' '*')? ';' | ';')* (TypeDecl | ';')* | ('import' QName ('.' '*')? ';')* Ann* NAME? NAME QName C:ModuleBody
 ModuleBody = (NAME NAME? QName (NAME QName (',' QName)*)? ';')*
 Id = NAME | 'record' | 'var' | 'yield' | 'sealed' | 'permits' | 'when'
 QName = Id ('.' Id)*
@@ -263,29 +288,31 @@ VarDs = VarD (',' VarD)*
 VarD = Id B:Empty* ('=' VarInit)?
 VarInit = Expr | C:ArrInit
 ArrInit = (VarInit (',' VarInit)*)? ','?
-Block = Stmt*
-Stmt = C:Block | ';' | Mod* Type VarDs ';' | TypeDecl | StmtExpr ';' | 'if' P:Expr Stmt ('else' Stmt)? | 'while' P:Expr Stmt | 'do' Stmt 'while' P:Expr ';' | 'for' P:ForHead Stmt | 'return' Expr? ';' | 'throw' Expr ';' | 'break' Id? ';' | 'continue' Id? ';' | 'yield' Expr ';' | 'assert' Expr (':' Expr)? ';' | 'switch' P:Expr C:SwitchBody | 'synchronized' P:Expr C:Block | Try | Id ':' Stmt | ('this' | 'super') P:Args ';' | Prim '.' 'super' P:Args ';'
-Try = 'try' P:Resources? C:Block ('catch' P:CatchP C:Block)* ('finally' C:Block)?
+Block = BlockStmt*
+BlockStmt = Mod* Type VarDs ';' | TypeDecl | Stmt
+Stmt = C:Block | ';' | StmtExpr ';' | 'if' P:Expr Stmt ('else' Stmt)? | 'while' P:Expr Stmt | 'do' Stmt 'while' P:Expr ';' | 'for' P:ForHead Stmt | 'return' Expr? ';' | 'throw' Expr ';' | 'break' Id? ';' | 'continue' Id? ';' | 'yield' Expr ';' | 'assert' Expr (':' Expr)? ';' | 'switch' P:Expr C:SwitchBody | 'synchronized' P:Expr C:Block | Try | Id ':' Stmt | ('this' | 'super') P:Args ';' | Prim '.' 'super' P:Args ';'
+Try = 'try' P:Resources C:Block ('catch' P:CatchP C:Block)* ('finally' C:Block)? | 'try' C:Block ('catch' P:CatchP C:Block)+ ('finally' C:Block)? | 'try' C:Block 'finally' C:Block
 Resources = Resource (';' Resource)* ';'?
 Resource = Mod* Type Id '=' Expr | Postfix
 CatchP = Mod* Type ('|' Type)* Id
 ForHead = Mod* Type Id ':' Expr | ForInit? ';' Expr? ';' (StmtExpr (',' StmtExpr)*)?
 ForInit = Mod* Type VarDs | StmtExpr (',' StmtExpr)*
-StmtExpr = Postfix AssignOp Expr | ('++' | '--') Unary | Postfix ('++' | '--') | Prim Tail* P:Args | New | New Tail* P:Args
+Target = Id | Prim Tail* ('.' Id | B:Expr) | P:Target
+StmtExpr = Target AssignOp Expr | ('++' | '--') Target | Target ('++' | '--') | Prim Tail* P:Args | New | New Tail* P:Args
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>' '=' | '>' '>' '>' '='
 SwitchBody = SwItem*
-SwItem = CaseLabel ':' | CaseLabel '->' (Expr ';' | C:Block | 'throw' Expr ';') | Stmt
+SwItem = CaseLabel ':' | CaseLabel '->' (Expr ';' | C:Block | 'throw' Expr ';') | BlockStmt
 CaseLabel = 'default' | 'case' CaseVal (',' CaseVal)* ('when' Expr)?
 CaseVal = Cond | 'default' | Pattern
 Pattern = Mod* Type Id | Type P:Patterns Id?
 Patterns = (Pattern (',' Pattern)*)?
-Expr = Cond (AssignOp Expr)? | Lambda
+Expr = Cond | Target AssignOp Expr | Lambda
 Lambda = (Id | P:LambdaPs) '->' (Expr | C:Block)
 LambdaPs = (Id (',' Id)*)? | FParam (',' FParam)*
 Cond = Bin ('?' Expr ':' (Cond | Lambda))?
 Bin = Unary (BinOp Unary | 'instanceof' ('final'? Type Id? | Pattern))*
 BinOp = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>' '=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%'
-Unary = ('+' | '-' | '!' | '~' | '++' | '--') Unary | P:CastType (Unary | Lambda) | Postfix ('++' | '--')*
+Unary = ('+' | '-' | '!' | '~') Unary | ('++' | '--') Target | P:CastType (Unary | Lambda) | Postfix | Target ('++' | '--')
 CastType = Type ('&' Type)*
 Postfix = Prim Tail*
 Prim = NUM | STR | 'true' | 'false' | 'null' | 'this' | 'super' | Id | P:Expr | New | 'switch' P:Expr C:SwitchBody | (PrimT | 'void') B:Empty* ('.' 'class' | '::' 'new') | ClassType B:Empty* '::' ('new' | Id)
@@ -295,14 +322,12 @@ Args = (Expr (',' Expr)*)?
 """
 
 GO = r"""
-%list File Top ;
 %list Block StmtS ;
 %list Fields FieldS ;
 %list Args Arg ,
 %list LitValue KeyedEl ,
-File = Top*
+File = ';'* 'package' NAME Semi ('import' (ImportSpec | P:ImportSpecs) Semi | ';')* ((Decl | Func) Semi | ';')*
 Semi = ';' | $
-Top = 'package' NAME Semi | 'import' (ImportSpec | P:ImportSpecs) Semi | Decl Semi | Func Semi | ';'
 ImportSpec = ('.' | NAME)? STR
 ImportSpecs = (ImportSpec (';' ImportSpec)* ';'?)?
 Decl = ('var' (VarSpec | P:VarSpecs)) | 'const' (ConstSpec | P:ConstSpecs) | 'type' (TypeSpec | P:TypeSpecs)
@@ -317,8 +342,8 @@ TParam = NAME Constraint? | Constraint
 Constraint = '~'? Type ('|' '~'? Type)*
 Names = NAME (',' NAME)*
 Func = 'func' NAME B:TParams? P:Params Result? C:Block? | 'func' P:Params NAME P:Params Result? C:Block?
-Params = (Param (',' Param)* ','?)?
-Param = NAME? '...'? Type
+Params = ('...'? Type (',' '...'? Type)* ','? | Named (',' Named)* ','?)?
+Named = Names '...'? Type
 Result = Type | P:Params
 Type = NAME ('.' NAME)? B:TypeArgs? | '*' Type | B:ArrLen Type | 'map' B:Type Type | 'chan' '<-'? Type | '<-' 'chan' Type | 'func' P:Params Result? | 'struct' C:Fields | 'interface' C:Iface | P:Type
 TypeArgs = Type (',' Type)* ','?

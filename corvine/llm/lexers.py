@@ -28,13 +28,29 @@ WORDS = {
     "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null record var yield sealed permits when".split(),
     "js": "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with let static async await yield of get set as from type interface namespace module declare abstract public private protected readonly implements override keyof infer is asserts unique satisfies".split(),
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split(),
-    "py": "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split(),
+    "py": "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type True False None".split(),
 }
+#: Fixed value: Python itself takes no brackets nested deeper.
+PYTHON_DEEPEST = 200
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 _OPENERS = frozenset("([{")
 _ERR = "ERR"
 
 
+_BAD_ESCAPE = re.compile(r"(?:[^\\]|\\[^xuUN])*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
+_BAD_BYTE = re.compile(r"(?:[^\\]|\\[^x])*\\x(?![0-9a-fA-F]{2})")
+
+
+def _text_kind(t: str) -> str:
+    """STR or BYTES of a Python literal with or without a prefix; an error for broken escapes and for bytes beyond ASCII."""
+    prefix = t[: re.match("[A-Za-z]*", t).end()].lower()
+    if "f" in prefix:
+        return "FSTR"
+    if "b" in prefix:
+        return _ERR if not t.isascii() or "r" not in prefix and "\\" in t and _BAD_BYTE.match(t) else "BYTES"
+    return _ERR if "r" not in prefix and "\\" in t and _BAD_ESCAPE.match(t) else "STR"
+
+
 class _Kinds(dict):
     """Token text to kind; strings, numbers and names by their first characters. Only short texts are remembered."""
 
@@ -48,7 +64,7 @@ class _Kinds(dict):
             k = "\n" if "\n" in t else "SKIP"
         elif c.isalpha() or c in "_$" or ord(c) > 127:
             if t[-1] in "\"'" and len(t) > 1 and self.language == "py":
-                k = "FSTR" if "f" in t[:2].lower() else "STR"
+                k = _text_kind(t)
             elif t.isidentifier() or (self.language in ("js", "java") and t.replace("$", "a").isidentifier()):
                 k = "NAME"
             else:
@@ -57,6 +73,8 @@ class _Kinds(dict):
             k = _ERR if "__" in t or t.endswith("_") or (t.isdigit() and len(t) > 1 and c == "0" and self.language not in ("java", "go") and t.strip("0")) or (len(t) == 1 and not c.isascii()) else "NUM"
         elif c in "\"'`":
             k = ("TPL" if c == "`" and self.language == "js" else "STR") if len(t) > 1 and t[-1] == c else _ERR
+            if k == "STR" and "\\" in t and self.language == "py":
+                k = _text_kind(t)
         elif self.language == "js" and (t.lstrip(" \t")[:1] == "/" and len(t.strip()) > 2):
             k = "REGEX"
         elif self.language == "js" and c == "#" and len(t) > 1:
@@ -111,12 +129,25 @@ def _kinds_of(language: str, toks: list) -> list | None:
     return [k for k in kinds if k != "SKIP"] if "SKIP" in kinds else kinds
 
 
+_MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp".split())
+
+
 def java(code: str, groups: Groups) -> tuple | None:
     toks = JAVA.findall(code.rstrip("\x1a") + "\n\x00")  # an end mark, so that the last comment is skipped whole
     if toks.pop() != "\x00":
         return None
     kinds = _kinds_of("java", toks)
-    return None if kinds is None else group(kinds, groups)
+    if kinds is None:
+        return None
+    run: set = set()
+    last = -2
+    for i in [i for i, k in enumerate(kinds) if k in _MODIFIERS]:  # none twice in a row of them
+        run = run if i == last + 1 else set()
+        if kinds[i] in run:
+            return None
+        run.add(kinds[i])
+        last = i
+    return group(kinds, groups)
 
 
 _GO_END = frozenset("NAME NUM STR break continue fallthrough return ++ -- ) ] }".split())
@@ -142,16 +173,52 @@ _JS_OPEN = frozenset("; , . ?. = + - * / % & | ^ < ? : == === != !== && || ?? =>
 _JS_CONT = frozenset("; , . ?. = + - * / % & | ^ < > ? : == === != !== && || ?? => += -= *= /= %= ??= &&= ||= ** **= <= >= << <<= >>= >>>= &= |= ^= ) ] } in instanceof ( [ extends implements satisfies TPL".split())
 
 
-def js(code: str, groups: Groups, grammar=None) -> tuple | None:
+_JS_WS = re.compile(rf"(?:{_WS}|//[^\n]*)*")
+_JS_REGEX = re.compile(_REGEX)
+_JS_HEADS = frozenset("if while for with".split())
+_JS_VALUE_ENDS = re.compile(r"[\w$)\]\"'`]\Z")
+_JS_NOT_VALUES = frozenset("return typeof instanceof in of new delete void throw case do else yield await extends".split())
+
+
+def _js_tokens(code: str) -> list:
+    """Tokens one by one: a slash begins a regular expression where no value stands before it, and behind the head of an if,
+    while, for or with. Used where the fast pass finds no parse, as it goes by the characters before a slash alone."""
+    out: list = []
+    heads: list = []
+    prev, before, closes, at, n = "", "", False, 0, len(code)
+    while (at := _JS_WS.match(code, at).end()) < n:
+        m = None
+        if code[at] == "/" and code[at + 1 : at + 2] not in ("/", "*") and (closes or not _JS_VALUE_ENDS.search(prev) or prev in _JS_NOT_VALUES):
+            m = _JS_REGEX.match(code, at)
+            t = m.group() if m else ""
+        if m is None:
+            m = JS.match(code, at)
+            if m is None:
+                return ["\\"]
+            t = m.group(1)
+        at = m.end()
+        out.append(t)
+        closes = False
+        if t == "\n" or t[:2] == "/*":
+            continue
+        if t == "(":
+            heads.append(prev in _JS_HEADS and before != "." or prev == "await" and before == "for")
+        elif t == ")" and heads:
+            closes = heads.pop()
+        prev, before = t, prev
+    return out
+
+
+def js(code: str, groups: Groups, grammar=None, exact: bool = False) -> tuple | None:
     """Line ends stay as NL only where a statement may end: neither behind a token that wants more nor before one that goes on."""
     if code[:2] == "#!":
         code = code[code.find("\n") :] if "\n" in code else ""
     code += "\n"
-    toks = JS.findall(code)
+    toks = _js_tokens(code) if exact else JS.findall(code)
     if "`" in toks:  # nested templates: take them out one by one
         if code.count("`") % 2 == 0:
             code = _TEMPLATE.sub(lambda m: "``" if _fields_ok(m.group(0), groups, grammar) else "`", code)
-            toks = JS.findall(code)
+            toks = _js_tokens(code) if exact else JS.findall(code)
         if "`" in toks:
             return None
     kinds = _kinds_of("js", toks)
@@ -188,7 +255,7 @@ def _fields_ok(template: str, groups: Groups, grammar) -> bool:
             j += 1
         field = template[i + 2 : j - 1]
         if not _SIMPLE_FIELD.match(field):
-            content = js(field, groups, grammar)
+            content = js(field, groups, grammar, "/" in field)
             if content is None or (grammar is not None and not grammar.derives("Expr", content, groups)):
                 return False
         i = j
@@ -207,7 +274,7 @@ def _width(line_end: str) -> int:
     return _WIDTHS[line_end]
 
 
-def python(code: str, groups: Groups) -> list | None:
+def python(code: str, groups: Groups, grammar) -> list | None:
     """Logical lines as (indentation, tokens with nested groups); None when brackets can't be right."""
     if code[:1] == "\ufeff":
         code = code[1:]
@@ -217,13 +284,18 @@ def python(code: str, groups: Groups) -> list | None:
         return None
     toks = PY.findall("\n" + code + "\n")
     kinds = list(map(_KINDS["py"].__getitem__, toks))
-    if _ERR in kinds:
-        return None
     if "FSTR" in kinds:
-        for i in [i for i, k in enumerate(kinds) if k == "FSTR"]:
-            if "{" in toks[i] and not _fstring_ok(toks[i]):
-                return None
-            kinds[i] = "STR"
+        for t in {t for t, k in zip(toks, kinds, strict=True) if k == "FSTR"}:
+            if ("{" in t or "}" in t or "\\" in t) and not _format_ok(t, groups, grammar):
+                break
+        else:
+            kinds = ["STR" if k == "FSTR" else k for k in kinds]
+        if "FSTR" in kinds:  # a wrong one, or one with its own quotes inside: found whole, the slow way
+            code = _PY_TEXTS.sub(lambda m: m.group() if m.group("f") is None else '""' if _format_ok(m.group("f"), groups, grammar) else "?", code)
+            toks = PY.findall("\n" + code + "\n")
+            kinds = list(map(_KINDS["py"].__getitem__, toks))
+    if _ERR in kinds or "FSTR" in kinds:
+        return None
     lines: list = []
     out: list = []
     stack: list = []
@@ -240,6 +312,8 @@ def python(code: str, groups: Groups) -> list | None:
                     out = []
                 indent = _width(toks[i])
         elif k in _OPENERS:
+            if len(stack) == PYTHON_DEEPEST:
+                return None
             stack.append((k, out))
             out = []
         else:
@@ -253,16 +327,54 @@ def python(code: str, groups: Groups) -> list | None:
     return None if stack or out else lines
 
 
-def _fstring_ok(t: str) -> bool:
-    """Braces of a formatted text pair up."""
-    body, depth, i = t, 0, 0
-    while i < len(body):
-        c = body[i]
-        if depth == 0 and body[i : i + 2] in ("{{", "}}"):
+#: Comments and texts of Python; formatted texts with their fields, in which any quotes may stand again.
+_PY_TEXTS = regex.compile(
+    r"""#[^\n]*|(?<![\w])(?P<f>(?:[rR][fF]|[fF][rR]?)(?:\"{3}(?:[^"\\{]|\\[\s\S]|"(?!"")|(?P<x>\{\{|\{(?P<e>(?:[^{}"'#]|\#[^\n]*\n|(?P>f)|(?P<s>[rRbBuU]{0,2}(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'))|\{(?P>e)\})*)\}))*\"{3}|'{3}(?:[^'\\{]|\\[\s\S]|'(?!'')|(?P>x))*'{3}|"(?!"")(?:[^"\\\n{]|\\[\s\S]|(?P>x))*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|(?P>x))*'|""(?!")|''(?!')))|(?P>s)"""
+)
+_PLAIN_FIELD = re.compile(r"\s*[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\s*(?:![rsa])?(?::[^{}]*)?\Z")
+
+
+def _format_ok(t: str, groups: Groups, grammar) -> bool:
+    """Whether every field of a formatted text holds an expression, and its escapes are right."""
+    q = re.match("[A-Za-z]*(\"\"\"|\'\'\'|\"|\')", t)
+    if "r" not in q.group().lower() and "\\" in t and _BAD_ESCAPE.match(t):
+        return False
+    return _fields_of(t[q.end() : -len(q.group(1))], groups, grammar, True)
+
+
+def _fields_of(body: str, groups: Groups, grammar, doubled: bool) -> bool:
+    i = 0
+    while (i := min((k for k in (body.find("{", i), body.find("}", i)) if k >= 0), default=-1)) >= 0:
+        if doubled and body[i : i + 2] in ("{{", "}}"):
             i += 2
-            continue
-        depth += {"{": 1, "}": -1}.get(c, 0)
-        if depth < 0:
+        elif body[i] == "{":
+            depth, j, cut = 0, i + 1, -1  # the field's end, and where its conversion or format begins
+            while j < len(body) and (depth or body[j] != "}"):
+                if body[j] in "\"'#" and cut < 0:
+                    m = _PY_TEXTS.match(body, j)
+                    j = m.end() if m else j + 1
+                    continue
+                depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(body[j], 0) if cut < 0 else {"{": 1, "}": -1}.get(body[j], 0)
+                if not depth and cut < 0 and (body[j] == ":" or body[j] == "!" and body[j + 1 : j + 2] != "="):
+                    cut = j
+                j += 1
+            if j >= len(body):
+                return False
+            if not _PLAIN_FIELD.match(body, i + 1, j):
+                what = body[i + 1 : cut if cut >= 0 else j].strip()
+                if re.search(r"[^=!<>]=\Z", what):  # self-documenting
+                    what = what[:-1]
+                lines = python(f"({what}\n)", groups, grammar) if what else None
+                if lines is None or len(lines) != 1 or len(lines[0][1]) != 1 or not grammar.derives("Field", groups.of[lines[0][1][0]][1], groups):
+                    return False
+                if cut >= 0 and body[cut] == "!":
+                    m = re.compile(r"\s*[rsa]\s*(?=[:}])").match(body, cut + 1)
+                    if m is None:
+                        return False
+                    cut = m.end()
+                if cut >= 0 and body[cut] == ":" and not _fields_of(body[cut + 1 : j], groups, grammar, False):
+                    return False
+            i = j + 1
+        else:
             return False
-        i += 1
-    return depth == 0
+    return True

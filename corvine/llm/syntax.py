@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import sys
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +16,8 @@ from corvine.llm.grammars import grammars
 
 #: Extension -> language of the supported source files.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java"}
-#: Frames of the parser's own recursion, a few for each level of brackets.
-DEEPEST = 20_000
+#: Frames of the parser's own recursion, a few for each level of brackets (they take no stack but the interpreter's own).
+DEEPEST = 1_000_000
 _GROUPS = Groups()
 _LEX = {"java": lexers.java, "go": lexers.go}
 _HEADS = {"if": ("HIf", "IF"), "elif": ("HElif", "ELIF"), "else": ("HElse", "ELSE"), "while": ("HWhile", "WHILE"), "for": ("HFor", "FOR"), "try": ("HTry", "TRY"), "except": ("HExcept", "EXCEPT"), "finally": ("HFinally", "FINALLY"), "with": ("HWith", "WITH"), "def": ("HDef", "DEF"), "class": ("HClass", "CLASS")}
@@ -59,7 +57,7 @@ def _line_kind(toks: tuple, g) -> str | None:
 
 def _python(code: str) -> bool:
     g = grammars("py")[0]
-    lines = lexers.python(code, _GROUPS)
+    lines = lexers.python(code, _GROUPS, g)
     if lines is None:
         return False
     levels, outs = [0], [[]]
@@ -92,15 +90,16 @@ def _python(code: str) -> bool:
 
 def _brackets(ext: str, code: str, g) -> bool:
     toks = lexers.js(code, _GROUPS, g) if ext in ("js", "ts") else _LEX[ext](code, _GROUPS)
-    return toks is not None and g.derives("File", toks, _GROUPS)
+    if toks is not None and g.derives("File", toks, _GROUPS):
+        return True
+    if ext in ("js", "ts") and "/" in code:
+        toks = lexers.js(code, _GROUPS, g, exact=True)
+        return toks is not None and g.derives("File", toks, _GROUPS)
+    return False
 
 
 def parses(ext: str, code: str | None) -> bool:
-    """Whether any dialect grammar of the extension accepts the text. Null and empty texts and other extensions do; a text
-    nested deeper than some thousand brackets does not.
-
-    A Python file that every grammar rejects is a case only if the reference parser of this Python rejects it too.
-    """
+    """Whether any dialect grammar of the extension accepts the text. Null and empty texts and other extensions do."""
     if not code or ext not in LANGUAGES:
         return True
     if len(_GROUPS.of) > MEMO_LIMIT:
@@ -112,22 +111,7 @@ def parses(ext: str, code: str | None) -> bool:
                 g.memo.clear()
     if sys.getrecursionlimit() < DEEPEST:
         sys.setrecursionlimit(DEEPEST)
-    try:
-        if ext == "py":
-            return _python(code) or _reference(code)
-        return any(_brackets(ext, code, g) for g in grammars(ext))
-    except RecursionError:
-        return False
-
-
-def _reference(code: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(code)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+    return _python(code) if ext == "py" else any(_brackets(ext, code, g) for g in grammars(ext))
 
 
 def syntax_errors(files: DataFrame, key: str = "file_id") -> DataFrame:

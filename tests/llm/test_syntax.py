@@ -1,4 +1,5 @@
 import ast
+import warnings
 
 import pytest
 
@@ -33,9 +34,45 @@ def test_bad(ext, code):
     assert not syntax.parses(ext, code)
 
 
+def reference(code):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(code)
+        return True
+    except (SyntaxError, ValueError):
+        return False
+
+
+GOOD_TOO = {
+    "py": ["x = f'{a}' f\"{b!r:>{w}.{p}}\" 'c'", "x = f'{a[\"b\"]}'", 'x = f"{a["b"]} {f"{c}"}"', "x = f'{{}} {x = } {y:%Y-%m-%d}'", 'x = f"""{\n  a  # c\n}"""', "x = rf'\\d{n}'", "x = f'{lambda_}' if a else f'{(lambda x: 1)}'", "x = f'{a!s}{b != c}{d:{e}}'", "f(*a, b, *c, d=1, *e, **g, h=2)", "(a) += 1", "(a): int = 1", "def f(a, b=1, /, c=2, *, d, e=3, **k): pass", "def f(*, a): pass", "f = lambda a, /, b=1, *c, d, **e: 0", "x = b'a' rb'\\x' b\"\\x00\"", "x = '\\N{EM DASH}' '\\u00e9' r'\\x0'", "x = not a and not b or -c ** -d", "*a, = b", "del (a, b), c[0]", "x = " + "(" * 200 + "1" + ")" * 200, "f(x for x in y)", "print(None is True)", "def f(): x = yield; return (yield x)"],
+    "js": ["if (a) /re/.test(b)", "while (f(x)) /['\"]/g.exec(y)", "x = (a) / b / c", "x =   /re/.test(y)", "[a, b] = [b, a]; ({ a, b: c.d, e = 1, ...f } = g)", "for ({ a = 1 } of b) c", "for (x.y of z) ;", "a.b.c += 1; a[0]++; --a.b; (a) = 1", "a ** -b; a ** b ** c; (-a) ** b; ++a ** b", "(a ?? b) || c; a ?? b ?? c", "const { a, b = 1 } = c, [d] = e", "for (const a of b) ; for (var i in x) ; for (let i = 0, n; i < 3; i++) ;", "({ a, b } = c)", "f(({ a = 1 }) => a)", "async () => { await a; return await b }", "x = a\n  ? /re/ : 1"],
+    "ts": ["let a: number; declare const b: string;", "declare namespace N { const x: number; export let y: string; function f(): void }", "(a as B).c = 1; (<any>a).b = 2; a!.b = 1", "const x: A = b", "let { a }: B = c", "if (a) /re/.test(b)"],
+    "go": ["package a; import \"b\"\nimport c \"d\"\nvar x = 1\nfunc f(a, b int, c ...string) {}\nfunc g(int, string) (a, b int, err error) { return }\ntype F func(a int, b ...string) (int, error)\n", "// c\npackage a\n\nfunc f(ctx context.Context, _ *http.Request, g func(int) error, m map[string]int, ch <-chan int) {}\n"],
+    "java": ["package a; import b.C; import static d.E.*; class A { int[] x; { x[0] = 1; x[0]++; --this.y; (z) = 1; f().g = 2; } }", "class A { void f() { try { } finally { } try { } catch (E e) { } try (x) { } if (a) { int y = 1; } for (int i = 0; i < 3; i++) ; a: while (true) break a; } public static final int X = 1; public public_ x; }", "class A { int f() { return -x++ + ++y - (int) -z; } }"],
+}
+BAD_TOO = {
+    "py": ['x = f"{a b}"', 'x = f"{}"', 'x = f"{a!z}"', 'x = f"{a"', "x = f'}'", "f(a=1, 2)", "f(**k, *a)", "f(**k, a)", "f(x for x in y, 1)", "(a, b) += 1", "[a]: int", "(a, b): int = 1", "def f(**k, a): pass", "def f(a=1, b): pass", "def f(*): pass", "lambda *: 0", "def f(a, /, b, /): pass", 'x = b"é"', '"\\x0"', "x = '\\u12'", "b'a' 'b'", "None = 1", "f(True=1)", "*a = b", "del f()", "del *a", "x = a + not b", "[y for x in z if y := 1]", "x = " + "(" * 201 + "1" + ")" * 201, "await -x"],
+    "js": ["a + 1 = 2;", "f() = 3;", "1++;", "const x;", "-a ** b;", "a ?? b || c;", "a && b ?? c", "({a:1, a=2});", "let { a };", "++f()", "this = 1", "for (f() of b) ;", "[a + 1] = b", "x = (a) / "],
+    "ts": ["f() = 3;", "const x: number;", "1++;", "a ?? b || c;"],
+    "go": ["func f() {}\n", "package a\nvar x = 1\nimport \"b\"\n", "package a\nfunc f(a int, b) {}\n", "package a\npackage b\n", "var x = 1\n"],
+    "java": ["class A { void f() { try {} } }", "class A { void f() { 1 = x; } }", "class A { void f() { if (x) int y = 1; } }", "public public class A {}", "class A {} import b.C;", "import a.B; package c; class A {}", "class A { void f() { f()++; } }", "class A { void f() { a + b = c; } }", "class A { private static private int x; }", "class A { void f() { while (x) class B {} } }"],
+}
+
+
+@pytest.mark.parametrize(("ext", "code"), [(e, c) for e, cs in GOOD_TOO.items() for c in cs])
+def test_good_too(ext, code):
+    assert syntax.parses(ext, code) and (ext != "py" or reference(code))
+
+
+@pytest.mark.parametrize(("ext", "code"), [(e, c) for e, cs in BAD_TOO.items() for c in cs])
+def test_bad_too(ext, code):
+    assert not syntax.parses(ext, code) and (ext != "py" or not reference(code) or code == "*a = b")
+
+
 def test_against_the_reference_parser(spark, sf):
     rows = spark.read.parquet(f"{sf}/source_file.parquet").where("lower(file_path) like '%.py' and code is not null").select("code").collect()
-    assert all(syntax._python(r.code) == syntax._reference(r.code) for r in rows)
+    assert all(syntax._python(r.code) == reference(r.code) for r in rows)
 
 
 def test_frames(spark):
@@ -48,5 +85,7 @@ def test_frames(spark):
 
 def test_deep_nesting_ends():
     for ext, a, b in (("js", "x = " + "[" * 900, "]" * 900), ("java", "class A { int x = " + "(" * 900 + "1", ")" * 900 + "; }"), ("go", "package a\nvar x = " + "(" * 60_000 + "1", ")" * 60_000), ("py", "x = " + "(" * 60_000, ")" * 60_000)):
-        assert syntax.parses(ext, a + b) in (True, False)
-    assert syntax.parses("js", "x = " + "[" * 900 + "]" * 900)
+        assert syntax.parses(ext, a + b) is (ext != "py")
+    long = "a" + " + a" * 60  # a block far behind its head's semicolon
+    assert syntax.parses("go", f"package a\nfunc f() {{\n\tif x := b; {long} > 1 {{\n\t}}\n\tfor i := 0; i < {long}; i++ {{\n\t}}\n}}\n")
+    assert syntax.parses("js", "x = " + "[" * 30_000 + "]" * 30_000)
