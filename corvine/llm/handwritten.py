@@ -11,29 +11,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.common import spread
+from corvine.common import cut, spread
 from corvine.llm.syntax import LANGUAGES, extension, parses
 
-#: Notices in comments that say a file was written by a tool or taken over, in small letters.
-GENERATED_NOTICES = [
-    "code generated by", "auto-generated file", "autogenerated file", "auto-generated by", "autogenerated by", "auto generated by", "automatically generated by",
-    "was automatically generated", "is automatically generated", "were automatically generated", "generated automatically by", "generated by the", "file generated by", "<auto-generated", "<autogenerated", "@generated",
-    "machine-made by", "machine generated by", "machine-generated", "do not modify by hand", "do not edit by hand", "do not edit manually", "changes will be lost", "generated; do not edit", "generated file. do not edit", "generated file - do not edit", "this is a generated file",
-    "generated by swagger", "generated by openapi", "generated by protoc", "generated from protobuf", "generated by thrift", "generated by antlr", "// generated from", "# generated from",
-    "wird beim nächsten lauf überschrieben", "automatisch generiert", "automatisch erzeugt", "quelltext wurde von", "diese datei wurde von", "datei wird erzeugt",
-    "ce fichier est produit par", "ce fichier a été généré", "ne pas le modifier", "généré automatiquement", "fichier généré",
-    "este archivo ha sido generado", "este archivo fue generado", "generado automáticamente", "archivo generado por", "no lo modifique", "no modificar a mano",
-    "este ficheiro foi gerado", "este arquivo foi gerado", "gerado automaticamente", "não o altere", "não edite",
-    "questo file è generato", "questo file è stato generato", "generato automaticamente", "non modificarlo",
-    "dit bestand is gegenereerd", "automatisch gegenereerd", "niet met de hand wijzigen",
-]
-FOREIGN_NOTICES = ["the upstream authors", "terms of the upstream", "upstream permissive licence", "mit-like licence", "vendored from", "taken over from http", "imported from upstream", "copied verbatim from"]
-#: A notice that only counts beside a second word.
-NEEDS = {"generated by the": "do not edit", "code generated by": "do not edit", "quelltext wurde von": "erzeugt", "diese datei wurde von": "erzeugt"}
+#: Markers of notices in comments, in small letters, by what they speak of: that something is generated, that it
+#: isn't to be edited, this file, a ban on taking it so, a whole notice, a licence, a foreign origin.
+MARKERS = {
+    "generated": "generated|autogenerated|auto-generated|auto generated|machine-generated|machine generated|machine-made|generiert|erzeugt|généré|produit par|generado|gerado|generato|gegenereerd",
+    "hands off": "do not edit|do not modify|do not change|do not alter|don't edit|don't modify|not be edited|changes will be lost|edits will be lost|will be overwritten|changes are overwritten|edits are overwritten|nicht bearbeiten|nicht ändern|wird beim nächsten lauf überschrieben|ne pas le modifier|ne pas modifier|ne pas éditer|no lo modifique|no modificar|no editar|não o altere|não edite|não editar|non modificarlo|non modificare|niet wijzigen|niet met de hand wijzigen|niet bewerken",
+    "this file": "this file|this code|this class|this module|this source|this document|this script|file generated|code generated|source generated|generated file|generated code|generated source|dieser quelltext|diese datei|ce fichier|este archivo|este ficheiro|este arquivo|questo file|dit bestand",
+    "not so": "not generated|isn't generated|aren't generated|never generated|not auto-generated|not autogenerated|nicht generiert|nicht erzeugt|pas généré|no generado|não gerado|non generato|niet gegenereerd|edit it freely",
+    "notice": "<auto-generated|<autogenerated|@generated|ce fichier est produit par|datei wird erzeugt|automatisch generiert|automatisch erzeugt|automatisch gegenereerd|généré automatiquement|generado automáticamente|gerado automaticamente|generato automaticamente|este archivo ha sido generado|este archivo fue generado|questo file è stato generato|quelltext wurde von|diese datei wurde von|ce fichier a été généré|fichier généré|archivo generado por|este ficheiro foi gerado|este arquivo foi gerado|questo file è generato|dit bestand is gegenereerd",
+    "licence": "mit license|mit licence|apache license|apache-2.0|bsd license|bsd-2-clause|bsd-3-clause|mozilla public license|general public license|lesser general public|isc license|boost software license|permission is hereby granted|redistribution and use in source and binary|spdx-license-identifier: mit|spdx-license-identifier: isc|spdx-license-identifier: mpl|spdx-license-identifier: gpl|spdx-license-identifier: lgpl|spdx-license-identifier: 0bsd|released under the mit|jquery.org/license",
+    "foreign": "the upstream authors|terms of the upstream|upstream permissive licence|mit-like licence|vendored from|taken over from http|imported from upstream|copied verbatim from|@license",
+}
+#: What says that a file itself was generated: a subject and a passive, or a line that begins so.
+_PASSIVE = re.compile(r"\b(?:this|the following)\s+(?:[\w-]+\s+){0,2}?(?:was|is|has been|were|are)\s+(?:\w+ly\s+|auto[- ]?|machine[- ]?)*(?:generated|autogenerated|created|produced|machine-made)\s*(?:[.,;:!]|by\b|from\b|with\b|using\b|on\b|at\b|$)|^(?:\w+\s+)?(?:file|code|source)\s+(?:was\s+|is\s+)?(?:\w+ly\s+|auto[- ]?)?(?:generated|produced)\b")
+_BEGINS = re.compile(r"(?:\w+ly\s+|auto[- ]?|machine[- ]?)?(?:generated|made)(?:\s+\w+ly)?\s+(?:by|from|with|using|via|on|at)\s+(the\b|an?\b|our\b|this\b)?|(?:\w+ly\s+|auto[- ]?|machine[- ]?)?generated\s*(?:file|code|source)?\s*(?:[.;:!,]|--?\s|$)")
+_VERSIONED = re.compile(r"\bv?\d+\.\d+(?:\.\d+)?\b.*(?:licen[sc]e|\(c\)|©)|(?:licen[sc]e|\(c\)|©).*\bv?\d+\.\d+\.\d+\b", re.I)
+_OWNER = re.compile(r"(?:copyright|\(c\)|©|spdx-filecopyrighttext:)\s*(?:\(c\)|©)?[\s\d,–-]*(?:by\s+)?([^\n|]{3,})", re.I)
+_DECORATION = re.compile(r"^[\s/*#!=~+\-\"']+|[\s*/=~\"']+$")
 #: Folders of foreign and of generated code, and file names of tools' output.
 FOREIGN_FOLDERS = frozenset("vendor node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty external externals site-packages dist-packages deps _vendor vendored pods carthage godeps".split())
 GENERATED_FOLDERS = frozenset("__generated__ generated-sources generated generated-src gen-src autogen dist".split())
 GENERATED_NAMES = re.compile(r"(?:\.min|\.bundle|\.generated|\.pb|\.pb\.gw|\.g|[._-]gen|_generated|_pb2|_pb2_grpc|\.designer|\.chunk|\.packed)\.\w+$|^zz_generated|^bindata\.go$", re.I)
+#: Lockfiles, which package tools write.
+LOCKFILES = re.compile(r"^(?:package-lock\.\w+|npm-shrinkwrap\.json|pnpm-lock\.\w+|yarn\.lock|bun\.lockb?|composer\.lock|gemfile\.lock|cargo\.lock|poetry\.lock|pipfile\.lock|pdm\.lock|uv\.lock|go\.sum|gradle\.lockfile|podfile\.lock|pubspec\.lock|mix\.lock|flake\.lock|packages\.lock\.json|\.terraform\.lock\.hcl)$", re.I)
 FOREIGN_NAMESPACES = re.compile(r"(?:^|[:/])(?:third[-_]party|thirdparty|3rdparty|vendored|upstream|external)[-_](?:mirror|copies|copy|code|libs?|deps|sources?)(?:$|[:/])|(?:^|[:/])(?:vendored|node_modules|thirdparty|third[-_]party)$", re.I)
 
 _AUTOMATON: dict = {}
@@ -51,23 +54,58 @@ LONG_LINE, FEW_BLANKS = 240, 0.06
 DATA_SHARE, DATA_LEAST, DATA_TEXT = 0.6, 24, 400
 
 
-def notice(text: str) -> bool:
-    """Whether comments hold a notice, found by one automaton over all of them."""
+def _classes(text: str) -> set:
+    """The kinds of the markers that a text in small letters holds, found by one automaton over all of them."""
     if not _AUTOMATON:
         a = ahocorasick.Automaton()
-        for p in (*GENERATED_NOTICES, *FOREIGN_NOTICES):
-            a.add_word(p, p)
+        for kind, words in MARKERS.items():
+            for w in words.split("|"):
+                kinds, _ = a.get(w, ((), 0))
+                a.add_word(w, ((*kinds, kind), len(w)))
         a.make_automaton()
         _AUTOMATON["a"] = a
-    low = text.lower()
-    return any(NEEDS.get(p, "") in low for _, p in _AUTOMATON["a"].iter(low))
+    return {k for _, (kinds, _) in _AUTOMATON["a"].iter(text) for k in kinds}
+
+
+def notice(text: str, namespace: str | None = None) -> bool:
+    """Whether comments say that their file was written by a tool or comes from an outside project.
+
+    A line is a notice if it says "generated" or "this file" and not to edit it, that this very file was generated, or
+    opens with "generated by" something; a line that only speaks of generated things, or says that the file isn't
+    generated, is none. A licence beside a copyright owner that isn't in the namespace's name, a banner with a version
+    and a licence, and words of foreign origin mark outside files.
+    """
+    found = _classes(text.lower())
+    if not found:
+        return bool(text.startswith("/*!") and _VERSIONED.search(text[: text.find("*/")]))
+    if "foreign" in found or text.startswith("/*!") and _VERSIONED.search(text[: text.find("*/")]):
+        return True
+    if "licence" in found:
+        own = [w for w in re.split(r"[^a-z0-9]+", (namespace or "").lower()) if len(w) > 3]
+        if any(not any(w in m.group(1).lower() for w in own) for m in _OWNER.finditer(text)):
+            return True
+    if not found & {"generated", "hands off", "notice"}:
+        return False
+    lines = [_DECORATION.sub("", x) for x in text.lower().split("\n")]
+    for i, line in enumerate(lines):
+        here = _classes(line)
+        if not here & {"generated", "hands off", "notice"} or "not so" in here:
+            continue
+        if "notice" in here or _PASSIVE.search(line):
+            return True
+        near = here | (_classes(lines[i - 1]) if i else set()) | (_classes(lines[i + 1]) if i + 1 < len(lines) else set())
+        if "hands off" in here and here & {"generated", "this file"} or {"hands off", "generated"} <= near and here & {"this file"}:
+            return True
+        if (m := _BEGINS.match(line)) is not None and (not m.group(1) or "hands off" in near):
+            return True
+    return False
 
 
 def place(path: str, namespace: str | None) -> bool:
     """Whether the folders, the file's name or the namespace say that the file is foreign or generated."""
     parts = path.replace("\\", "/").split("/")
     folders = {p.lower() for p in parts[:-1]}
-    return bool(folders & FOREIGN_FOLDERS or folders & GENERATED_FOLDERS or GENERATED_NAMES.search(parts[-1]) or (namespace and FOREIGN_NAMESPACES.search(namespace)))
+    return bool(folders & FOREIGN_FOLDERS or folders & GENERATED_FOLDERS or GENERATED_NAMES.search(parts[-1]) or LOCKFILES.match(parts[-1]) or (namespace and FOREIGN_NAMESPACES.search(namespace)))
 
 
 def header(ext: str, code: str) -> tuple[str, int]:
@@ -77,18 +115,19 @@ def header(ext: str, code: str) -> tuple[str, int]:
     head = code[:end]
     if ext == "py" and (t := _STRINGS.match(code, end)) and t.group().startswith(('"""', "'''")):
         head += t.group()
-    foot = code[max(end, len(code) - 2000) :]
-    cut = foot.rstrip().rfind("\n")
-    last = foot[cut + 1 :].strip()
-    if last.startswith(("#", "//", "/*", "*")) or last.endswith("*/"):
-        if last.endswith("*/"):
-            head += "\n" + foot[foot.rfind("/*") :]
-        else:
-            mark = "#" if ext == "py" else "//"
-            for line in reversed(foot.rstrip().split("\n")):
-                if not line.strip().startswith(mark):
-                    break
-                head += "\n" + line
+    stop = len(code.rstrip())
+    if code.endswith("*/", end, stop) and ext != "py":
+        head += "\n" + code[max(end, code.rfind("/*", end, stop)) : stop]
+    else:
+        mark = "#" if ext == "py" else "//"
+        at = stop
+        while at > end:  # from the last line up, as long as lines are comments
+            first = max(end, code.rfind("\n", end, at) + 1)
+            line = code[first:at].strip()
+            if not line.startswith(mark):
+                break
+            head += "\n" + line
+            at = first - 1
     return head, end
 
 
@@ -134,8 +173,9 @@ def not_handwritten(files: DataFrame, key: str = "file_id", least: int = 3) -> D
     The first that holds is given. Empty files and files of blank space or comments alone are hand-written unless by
     notice or place; a file that doesn't parse is a case by notice or place only. Null paths and codes give nothing.
 
-    One pass judges each file by itself; only digests and keys are shuffled for the copies, first made distinct per
-    namespace, so a body copied a million times is no hot group. Copies are parsed where their files are read again.
+    One pass judges each file by itself, and its verdicts and digests are kept in the shared folder; only digests and keys
+    are shuffled for the copies, first made distinct per namespace, so a body copied a million times is no hot group.
+    Copies are parsed where their files are read again.
     """
     kind = files.schema[key].dataType.simpleString()
 
@@ -145,7 +185,7 @@ def not_handwritten(files: DataFrame, key: str = "file_id", least: int = 3) -> D
             for i, ext, path, ns, code in zip(b["_k"], b["ext"], b["file_path"], b["namespace"], b["code"], strict=True):
                 head, end = header(ext, code)
                 body = body_key(ext, code, end)
-                reason = "place" if place(path, ns) else "notice" if notice(head) else None
+                reason = "place" if place(path, ns) else "notice" if notice(head, ns) else None
                 if reason is None and body is not None and looks_made(ext, code) and parses(ext, code):
                     reason = "made"
                 out.append((i, ns, reason, body))
@@ -157,7 +197,7 @@ def not_handwritten(files: DataFrame, key: str = "file_id", least: int = 3) -> D
             yield pd.DataFrame({"_k": b["_k"][good], "reason": "copied"})
 
     rows = files.select(F.col(key).alias("_k"), extension().alias("ext"), "file_path", "namespace", "code").where(F.col("ext").isin(*LANGUAGES) & F.col("code").isNotNull())
-    judged = spread(rows).mapInPandas(judge, f"_k {kind}, namespace string, reason string, body binary")
+    judged = cut(spread(rows).mapInPandas(judge, f"_k {kind}, namespace string, reason string, body binary"))
     wide = judged.where("body is not null and namespace is not null").select("body", "namespace").distinct().groupBy("body").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("body")
     copied = judged.where("reason is null and body is not null").join(wide, "body", "left_semi").select("_k")
     copied = rows.join(copied, "_k", "left_semi").select("_k", "ext", "code").mapInPandas(still_parse, f"_k {kind}, reason string")

@@ -1,3 +1,5 @@
+import pytest
+
 from corvine.llm import handwritten as H
 
 BODY = "import os\n\ndef f(a):\n    return os.path.join(a, 'b')\n"
@@ -18,3 +20,29 @@ def test_frames(spark):
     got = {r.file_id: r.reason for r in H.not_handwritten(df).collect()}
     assert got == {1: "notice", 2: "place", 4: "place", 6: "made", 7: "made", 9: "copied", 10: "copied", 11: "copied", 12: "copied", 13: "place", 18: "notice"}
     assert H.not_handwritten(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "// GENERATED CODE -- DO NOT EDIT!", "# DO NOT EDIT THIS FILE", "/* AUTO GENERATED FILE, DO NOT EDIT */", "// This file was generated by Prisma", "/*! jQuery v3.6.0 | (c) OpenJS Foundation and other contributors | jquery.org/license */",
+    "/**\n * @license\n * Copyright 2017 Some Body\n */", "// SPDX-License-Identifier: MIT\n// Copyright (c) 2014 Jane Doe", "# Copyright 2012 Other Project Authors\n# Licensed under the Apache License, Version 2.0", "// Code generated by protogen 1.2. DO NOT EDIT.",
+    "// Generated by the schemac compiler.  DO NOT EDIT!", "# Autogenerated by x v1, do not modify by hand", "// <auto-generated> a 1.0 </auto-generated>", "// This file was automatically generated by bindgen-x; changes will be lost.", "// Ce fichier est produit par protogen, ne pas le modifier.",
+    "# Dieser Quelltext wurde von tmpl2src erzeugt und wird beim nächsten Lauf überschrieben.", "// @generated", "// This source file is machine generated.\n// Do not edit this file.", "// Generated from order.proto", "# Generated on 2024-01-02 by tool",
+])
+def test_notices(text):
+    assert H.notice(text, "shopmesh:gateway")
+
+
+@pytest.mark.parametrize("text", [
+    "# Ids are automatically generated by the store on insert", "# machine-generated ids are rejected below", "// the receipts are automatically generated by the worker", "// This file is not generated; edit it freely.", "// The generated report is mailed to the warehouse every Friday.",
+    "// Finds vendored copies so that the audit can skip them.", "// Internal use only, see LICENCE in the root folder.", "// Copyright 2021 The Shopmesh Authors\n// SPDX-License-Identifier: MIT", "# Generated by the nightly job are only the totals.", '"""Writes the DO NOT EDIT banner."""', "# Reads this file and the generated report.",
+    "// Owned by the item team.", "# Generates the client code from the schema.", "",
+])
+def test_no_notices(text):
+    assert not H.notice(text, "shopmesh:gateway")
+
+
+def test_long_feet_and_lockfiles():
+    long = "/* " + "words of a licence\n" * 300
+    assert H.notice(H.header("js", "x = 1\n" + long + "copied verbatim from elsewhere */\n")[0]) and H.notice(H.header("go", "package a\n// @generated\n" + "// more\n" * 900)[0])
+    assert H.header("py", "x = 1\n# a\n# b\n")[0].split() == ["#", "b", "#", "a"] and H.header("py", "# a\n")[0] == "# a\n"
+    assert H.place("web/package-lock.json", None) and H.place("go.sum", None) and not H.place("src/lockfile.py", None)
