@@ -66,6 +66,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if a count finds it to have at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def norm_id(col: Column | str) -> Column:
     """Ids and types are the same when equal after trimming and lower-casing; a null stays null."""
     c = F.col(col) if isinstance(col, str) else col
@@ -115,7 +120,7 @@ def part_of_hot(df: DataFrame, key: str, member: str) -> DataFrame:
     are broadcast while they are few (SMALL_ROWS, counted) and joined otherwise."""
     long = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > PART_ROWS).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / PART_ROWS).alias("_parts"))
     long = cut(long)
-    long = F.broadcast(long) if long.count() <= SMALL_ROWS else long
+    long = small(long)
     part = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.conv(F.substring(F.md5(member), 1, 8), 16, 10).cast("long"), F.col("_parts")).cast("int"))
     return df.join(long, F.col(key) == F.col("_hot"), "left").withColumn("part", part).drop("_hot", "_parts")
 
