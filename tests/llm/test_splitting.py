@@ -19,10 +19,14 @@ def test_pieces_rebuild_the_text(s, size, overlap):
 
 
 @settings(max_examples=40, deadline=None)
-@given(TEXT, st.integers(4, 30), st.integers(0, 5))
+@given(TEXT, st.integers(1, 30), st.integers(0, 5))
 def test_token_pieces_fit(s, size, overlap):
+    end = 0
     for a, b in splitting._token_pieces(s, size, overlap, splitting.TOKENIZERS):
-        assert len(encoder().bpe.encode_ordinary(s[a:b])) <= size
+        assert len(encoder().bpe.encode_ordinary(s[a:b])) <= size or b - a == 1
+        assert a <= end < b or not s
+        end = b
+    assert end == len(s)
 
 
 def test_natural_cuts():
@@ -41,3 +45,10 @@ def test_items(spark):
     assert splitting.split_items(splitting.oversized_sources(ctx.limit(0), units.limit(0)), lim).count() == 0
     docs = spark.createDataFrame([("documents", "d", None, "one two three four five")], "item_table string, item_key string, item_kind string, content string")
     assert [r.piece for r in splitting.split_items(docs, lim).orderBy("piece_no").collect()] == ["one two ", "three ", "four five"] or splitting.split_items(docs, lim).count() >= 3
+
+
+def test_one_limit_for_each_item(spark):
+    lim = spark.createDataFrame([(1, "context_item", "code", "char", 100, 0), (2, "context_item", None, "char", 300, 0), (3, "context_item", None, "char", 900, 0)], "limit_id int, item_table string, item_kind string, size_unit string, max_size int, overlap_size int")
+    items = spark.createDataFrame([("context_item", "a", "Code ", "x" * 500), ("context_item", "b", None, "x" * 500), ("context_item", "c", "graph", "x" * 299), ("other", "d", None, "x" * 500)], "item_table string, item_key string, item_kind string, content string")
+    assert sorted((r.item_key, r.piece_no) for r in splitting.split_items(items, lim).collect()) == [("a", k) for k in range(5)] + [("b", 0), ("b", 1)]
+    assert splitting.split_items(items, lim.limit(0)).count() == 0
