@@ -18,14 +18,26 @@ def parent_pointers(edges: DataFrame) -> DataFrame:
     """(node, parent): one row per id at either end of a hierarchical link; the parent of a root is null.
 
     Ids and types are compared trimmed and lower-cased; repeated links and the same link told both ways count once. A
-    null or empty end is no id; the other end still becomes a node. Were a node to have several parents, the smallest
-    would be kept.
+    null or empty end is no id; the other end still becomes a node. Of several parents the smallest is kept;
+    other_parents reports the rest.
     """
+    return _links(edges).where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+
+
+def other_parents(edges: DataFrame) -> DataFrame:
+    """(node_id, parent_id): links to further parents of nodes that have several, which no tree can hold."""
+    links = _links(edges).where("node is not null and parent is not null").distinct()
+    kept = links.groupBy("node").agg(F.min("parent").alias("parent"), F.count("*").alias("_n")).where("_n > 1").select("node", F.col("parent").alias("_kept"))
+    return links.join(kept, "node").where("parent <> _kept").select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"))
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    """(node, parent) of every hierarchical link, and (parent, null)."""
     kind, a, b = norm_id("type"), F.nullif(norm_id("from_id"), F.lit("")), F.nullif(norm_id("to_id"), F.lit(""))
     up = kind.isin(*CHILD_TO_PARENT)
     links = edges.where(kind.isin(*PARENT_TO_CHILD, *CHILD_TO_PARENT)).select(F.when(up, a).otherwise(b).alias("child"), F.when(up, b).otherwise(a).alias("parent"))
     ends = links.select(F.explode(F.array(F.struct(F.col("child").alias("node"), "parent"), F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))).alias("e"))
-    return ends.select("e.node", "e.parent").where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+    return ends.select("e.node", "e.parent")
 
 
 def _jump(walk: DataFrame, key_paths: bool, salt: bool, asked: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +48,7 @@ def _jump(walk: DataFrame, key_paths: bool, salt: bool, asked: Column | None = N
     size stays the same the rest turns around on cycles, and ``cur`` of the rest is exactly the nodes on those cycles.
     asked: which rows can be asked for their pointer at all.
     """
+    parts = int(walk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     finished, last = walk.where("done"), None
     active = walk.where("not done")
     while True:
@@ -44,7 +57,7 @@ def _jump(walk: DataFrame, key_paths: bool, salt: bool, asked: Column | None = N
             return finished, active
         last = n
         cols = [F.col("node").alias("_n"), F.col("cur").alias("_cur"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), *([F.col("path").alias("_path")] if key_paths else [])]
-        table = finished.unionByName(active)
+        table = finished.unionByName(active).coalesce(parts)
         table = (table if asked is None else table.where(asked)).select(*cols).withColumnRenamed("_n", "_key")
         step = active.withColumnRenamed("cur", "_key")
         step = salted_lookup(step, table, "_key", "inner") if salt and rows > HOT_LEAST else step.join(table, "_key")
@@ -52,7 +65,8 @@ def _jump(walk: DataFrame, key_paths: bool, salt: bool, asked: Column | None = N
             "node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"),
             *([F.concat("path", "_path").alias("path")] if key_paths else []),
         ))
-        finished, active = finished.unionByName(step.where("done")), step.where("not done")
+        # Unions of rounds would pile up partitions, most of them small.
+        finished, active = finished.unionByName(step.where("done")).coalesce(parts), step.where("not done")
 
 
 def hierarchy(edges: DataFrame, paths: bool = False, split_every: int = SPLIT_EVERY) -> DataFrame:

@@ -22,6 +22,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(references.orphan_references(*_tables(spark, d)))
 
 
+def p5_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """Links to deleted records, with the end of the record's life and whether the link is younger."""
+    return references.references_to_deleted(*_tables(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of every node of the hierarchical edges."""
     return hierarchy.hierarchy(table(spark, d, "graph_edge"))
@@ -42,7 +47,12 @@ def p6_closure(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.closure(hierarchy.hierarchy(table(spark, d, "graph_edge"), paths=True))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_report, p6_found, p6_paths, p6_descendants, p6_closure)}
+def p6_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to further parents, which the tree leaves out."""
+    return hierarchy.other_parents(table(spark, d, "graph_edge"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_report, p5_deleted, p6_found, p6_paths, p6_descendants, p6_closure, p6_other_parents)}
 
 _B = "E' \\t\\r\\n'"
 _TS = f"try_cast(CASE WHEN regexp_matches(trim(created_at, {_B}), '([zZ]|[+-][0-9]{{2}}:?[0-9]{{2}})$') THEN trim(created_at, {_B}) ELSE trim(created_at, {_B}) || 'Z' END AS TIMESTAMPTZ)"
@@ -79,6 +89,8 @@ pair AS (SELECT r.node_id AS ancestor_id, up.child AS descendant_id, 1 AS distan
 SQL = {
     "p5_found": _ORPHANS + "SELECT ref_table, ref_key, target_ref, orphan_kind FROM orphan",
     "p5_report": _ORPHANS + "SELECT ref_table, strftime(make_timestamp(epoch_us(tm)), '%Y-%m') AS ref_month, orphan_kind, count(*) AS orphans FROM orphan GROUP BY ALL",
+    "p5_deleted": _ORPHANS + f"""SELECT ref_key, target_ref, g.removed, make_timestamp(epoch_us(tm)) > g.removed AS after FROM links JOIN (SELECT lower(trim(node_id, {_B})) AS ref, max(CAST(deleted_at AS TIMESTAMP)) AS removed FROM deleted_node GROUP BY 1) g ON g.ref = target_ref WHERE orphan_kind = 'deleted'""",
+    "p6_other_parents": _TREE + "SELECT DISTINCT link.child AS node_id, link.parent AS parent_id FROM link JOIN up ON up.child = link.child WHERE link.parent <> up.parent",
     "p6_found": _TREE + "SELECT node_id, root_id, node_depth FROM tree",
     "p6_paths": _TREE + "SELECT node_id, root_id, node_depth, path FROM tree",
     "p6_descendants": _TREE + """SELECT w.node_id, count(p.descendant_id) AS n_descendants, CAST(coalesce(sum(CASE WHEN p.distance = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_children, coalesce(max(p.distance), 0) AS max_height

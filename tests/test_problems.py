@@ -35,6 +35,18 @@ def test_orphans(spark):
     assert report["code_unit", "2024-01", "missing"] == 2
 
 
+def test_links_to_deleted(spark):
+    e = [(1, "a", "D1", "CALLS", "2024-01-02T00:00:00Z", None), (2, "a", "d1", "CALLS", "2024-03-01T00:00:00Z", None), (3, "a", "d1", "CALLS", None, None), (4, "a", "x", "CALLS", None, None)]
+    t = tables(spark, e)
+    gone = spark.createDataFrame([("d1", "o", "n", "2024-01-01 00:00:00"), ("D1 ", "o", "n", "2024-02-01 00:00:00")], GONE + ", deleted_at string").withColumn("deleted_at", F.col("deleted_at").cast("timestamp"))
+    assert {(r.ref_key, r.target_ref, r.after) for r in references.references_to_deleted(*t[:4], gone).collect()} == {("1", "d1", False), ("2", "d1", True), ("3", "d1", None)}
+
+
+def test_other_parents(spark):
+    e = spark.createDataFrame([(1, "a", "c", "CONTAINS", None, None), (2, "C", "b", "part_of", None, None), (3, "a", "d", "CONTAINS", None, None), (4, "a ", "c", "contains", None, None)], EDGE)
+    assert [tuple(r) for r in hierarchy.other_parents(e).collect()] == [("c", "b")]
+
+
 def test_orphans_of_nothing(spark):
     assert references.orphan_references(*tables(spark)).count() == 0
 
