@@ -51,6 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that later queries read again: spark.checkpoint.dir, or the session's own folder in tests."""
+    ensure_checkpoint_dir(spark)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return conf or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvine.sources.files import decode, language_of
-from corvine.sources.store import upsert, write
+from corvine.sources.store import exists, upsert, write
 
 
 def file_stream(spark: SparkSession, folder: str, namespace: str) -> DataFrame:
@@ -24,12 +24,10 @@ def keep_table(stream: DataFrame, path: str, key: list[str], checkpoint: str, av
         spark = df.sparkSession
         if df.isEmpty():
             return
-        try:
-            spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - no table yet
+        if exists(spark, path):
+            upsert(spark, path, df, key)
+        else:
             write(df.dropDuplicates(key), path)
-            return
-        upsert(spark, path, df, key)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
