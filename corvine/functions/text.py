@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sections longer than this are cut at their own headings; the name of what stands before the first.
+LONG_SECTION, FIRST_PART = 3000, "main"
 _STRIP = r"^\s+|\s+$"
 
 
@@ -78,3 +80,15 @@ def wrap(text: Column, width: int = 76) -> Column:
         return F.when(fits, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.concat(last, F.lit(" "), w))).otherwise(F.array_append(acc, w))
 
     return F.aggregate(words, F.array().cast("array<string>"), add)
+
+
+def subsections(sections: DataFrame) -> DataFrame:
+    """Sections (doc_id, section_no, heading, body) above LONG_SECTION characters in parts at lines that open with ### ,
+    the first one named main; shorter ones stay one part without a name."""
+    long = F.char_length("body") > LONG_SECTION
+    parts = F.when(long, F.split("body", r"\n### ")).otherwise(F.array("body"))
+    x = sections.select("doc_id", "section_no", "heading", long.alias("_long"), F.posexplode(parts).alias("part_no", "_p"))
+    titled = F.col("_long") & (F.col("part_no") > 0)
+    name = F.when(titled, strip(F.substring_index("_p", "\n", 1))).when(F.col("_long"), FIRST_PART)
+    body = F.when(titled, F.when(F.contains("_p", F.lit("\n")), F.substring("_p", F.instr("_p", "\n") + 1, F.length("_p"))).otherwise("")).otherwise(F.col("_p"))
+    return x.select("doc_id", "section_no", "heading", "part_no", name.alias("part"), strip(body).alias("body"))

@@ -68,3 +68,57 @@ def format_code() -> Column:
 def format_document() -> Column:
     """A document hit under its title or its number."""
     return F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Document Chunk "), (F.col("chunk_index") + 1).cast("string")))), F.concat(F.lit("Source: "), F.col("source")), F.lit(""), F.col("content"))
+
+
+#: Scores of graph items by intent, and their citations.
+GRAPH_SCORES = {"find_flow": 0.8, "parallel_steps": 0.9, "trace_calls": 0.9, "find_dependencies": 0.85, "generic": 0.7}
+GRAPH_CITATIONS = {"find_flow": "Execution Flow", "parallel_steps": "[G1] Parallel Step Analysis", "trace_calls": "[G1] Call Chain", "find_dependencies": "[G1] Dependency Graph", "generic": "Graph Result"}
+
+
+def citation(place: Column, path: Column, line: Column) -> Column:
+    """[place] and where the hit lies; a place is kept from before hits of other kinds are left out."""
+    return F.concat(F.lit("["), place.cast("string"), F.lit("] "), path, F.coalesce(F.concat(F.lit(":"), line.cast("string")), F.lit("")))
+
+
+def vector_items(items: DataFrame) -> DataFrame:
+    """Per query the items of code and of documents, numbered before the others are left out."""
+    w = Window.partitionBy("query_id").orderBy("item_id")
+    x = items.withColumn("place", F.row_number().over(w)).withColumn("kind", F.lower(F.trim("source_type")))
+    return x.where(F.col("kind").isin("code", "document"))
+
+
+def one_item(rows: DataFrame, intent: str, title: str, block: Column, order: list[str]) -> DataFrame:
+    """All rows as one item under a title: (content, relevance_score, citation); of no rows none. The rows are a bounded
+    result list (the first k of a look-up)."""
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("_b")))).alias("_l")).where(F.size("_l") > 0)
+    content = F.concat_ws("\n", F.lit(f"# {title}"), F.lit(""), F.array_join(F.transform("_l", lambda x: F.concat(x["_b"], F.lit("\n"))), "\n"))
+    return listed.select(content.alias("content"), F.lit(GRAPH_SCORES[intent]).alias("relevance_score"), F.lit(GRAPH_CITATIONS[intent]).alias("citation"))
+
+
+def format_parallel(rows: DataFrame) -> DataFrame:
+    """Steps (id, name, others) with what they can run with."""
+    block = F.concat_ws("\n", F.concat(F.lit("**"), F.col("name"), F.lit("**")), F.concat(F.lit("  - Can run in parallel with: "), F.replace("others", F.lit(","), F.lit(", "))))
+    return one_item(rows, "parallel_steps", "Parallel Execution Opportunities", block, ["id"])
+
+
+def format_chains(rows: DataFrame) -> DataFrame:
+    """Call chains (place, names)."""
+    block = F.concat(F.lit("**Chain "), F.col("place").cast("string"), F.lit(":**\n  "), F.col("names"))
+    return one_item(rows, "trace_calls", "Call Chain Analysis", block, ["place"])
+
+
+def format_dependencies(rows: DataFrame) -> DataFrame:
+    """Names with what they depend on (comma list)."""
+    block = F.concat(F.lit("**"), F.col("name"), F.lit("**\n"), F.when(F.length("dependencies") > 0, F.concat(F.lit("  Depends on:\n  - "), F.replace("dependencies", F.lit(","), F.lit("\n  - ")))).otherwise("  No dependencies"))
+    return one_item(rows, "find_dependencies", "Dependency Analysis", block, ["name"])
+
+
+def format_each(rows: DataFrame, intent: str, content: Column, order: str) -> DataFrame:
+    """An item per row (flows, generic results), cited by its number."""
+    n = F.row_number().over(Window.orderBy(order)).cast("string")
+    return rows.select(content.alias("content"), F.lit(GRAPH_SCORES[intent]).alias("relevance_score"), F.concat(F.lit("[G"), n, F.lit(f"] {GRAPH_CITATIONS[intent]}")).alias("citation"))
+
+
+def format_flow() -> Column:
+    """An execution flow by its name."""
+    return F.concat(F.lit("# Execution Flow\n\n**Description:** "), F.col("name"), F.lit("\n"))

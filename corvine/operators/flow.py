@@ -82,17 +82,44 @@ def critical_paths(steps: DataFrame) -> DataFrame:
     return rows.mapInPandas(solve, f"flow_id {kind}, critical_time double, critical_path string")
 
 
-def recommendations(speed: DataFrame, groups: DataFrame, critical: DataFrame) -> DataFrame:
-    """lines of advice per flow: its parallel groups and gain, its critical path, or that it is sequential."""
-    g = groups.groupBy("flow_id").agg(F.count("*").alias("n"))
+#: Lines of advice.
+ADVICE = {
+    "found": "Found %d parallelization opportunities that could provide %.2fx speedup", "group": "Parallel Group %d: %s can run concurrently", "path": "Critical path contains %d steps: %s",
+    "focus": "Focus optimization efforts on critical path steps for maximum impact", "async": "%d async steps could benefit from concurrent execution", "none": "No parallelization opportunities detected - execution is mostly sequential",
+}
+
+
+def recommendations(speed: DataFrame, groups: DataFrame, critical: DataFrame, asynchronous: DataFrame | None = None) -> DataFrame:
+    """lines of advice per flow, in a fixed order: its parallel groups and gain, each group, its critical path, its
+    asynchronous steps (flow_id, n_async), or that it is sequential."""
+    steps = lambda a: F.concat(F.lit("Step "), F.array_join(a, ", Step "))
+    g = groups.groupBy("flow_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("members")).alias("_g"))
     x = speed.join(g, "flow_id", "left").join(critical, "flow_id", "left")
-    some = F.col("n") > 0
+    x = x.join(asynchronous, "flow_id", "left") if asynchronous is not None else x.withColumn("n_async", F.lit(0))
+    some, path = F.col("n") > 0, F.split("critical_path", ",")
+    each = F.transform("_g", lambda m, i: F.format_string(ADVICE["group"], i + 1, steps(m)))
     return x.select(
         "flow_id",
         F.concat_ws(
             "\n",
-            F.when(some, F.format_string("Found %d parallelization opportunities that could provide %.2fx speedup", "n", "speedup")),
-            F.when(F.length("critical_path") > 0, F.concat(F.lit("Critical path contains "), F.size(F.split("critical_path", ",")).cast("string"), F.lit(" steps: "), F.regexp_replace("critical_path", r"(\d+),?", "Step $1 "))),
-            F.when(~F.coalesce(some, F.lit(False)), "No parallelization opportunities detected - execution is mostly sequential"),
+            F.when(some, F.format_string(ADVICE["found"], "n", "speedup")),
+            F.when(some, F.array_join(each, "\n")),
+            F.when(F.length("critical_path") > 0, F.format_string(ADVICE["path"], F.size(path), steps(path))),
+            F.when(F.length("critical_path") > 0, ADVICE["focus"]),
+            F.when(F.col("n_async") > 0, F.format_string(ADVICE["async"], "n_async")),
+            F.when(~F.coalesce(some, F.lit(False)), ADVICE["none"]),
         ).alias("advice"),
     )
+
+
+def analyze(steps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per flow: total_steps, groups, critical time and path, times, speedup and advice; per step: whether it lies on the
+    critical path). Flows without steps have no rows."""
+    g, crit = all_groups(steps, pairs), critical_paths(steps)
+    speed = speedup(steps, g)
+    flows = (
+        steps.groupBy("flow_id").agg(F.count("*").alias("total_steps")).join(g.groupBy("flow_id").agg(F.count("*").alias("parallel_groups")), "flow_id", "left")
+        .join(crit, "flow_id").join(speed, "flow_id").join(recommendations(speed, g, crit), "flow_id").withColumn("parallel_groups", F.coalesce("parallel_groups", F.lit(0)))
+    )
+    marked = steps.join(crit, "flow_id").select("flow_id", "step", F.array_contains(F.split("critical_path", ","), F.col("step").cast("string")).alias("is_critical_path"))
+    return flows, marked

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.common import numbered, part_of_hot
@@ -28,8 +30,8 @@ def function_calls(n: DataFrame, e: DataFrame, namespace: str) -> DataFrame:
     return c.select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"), F.col("src_id").alias("caller_id"), F.col("dst_id").alias("callee_id"), F.coalesce("call_count", F.lit(1)).alias("call_count"), F.coalesce("is_recursive", F.lit(False)).alias("is_recursive"))
 
 
-def class_hierarchy(n: DataFrame, e: DataFrame, depth: int = 6) -> DataFrame:
-    """Every (class, ancestor) over INHERITS_FROM with the path of ids."""
+def class_hierarchy(n: DataFrame, e: DataFrame, depth: int | None = None) -> DataFrame:
+    """Every (class, ancestor) over INHERITS_FROM with the path of ids, of any length without a depth."""
     inh = e.where("type = 'INHERITS_FROM'")
     t = expand.trails(inh, inh.select(F.col("src").alias("start")).distinct(), depth)
     return t.select(F.col("start").alias("class_id"), F.col("node").alias("ancestor_id"), "depth", F.array_join("path", "/").alias("path"))
@@ -121,6 +123,35 @@ def search_any(n: DataFrame, words: list[str]) -> DataFrame:
     return n.where(cond).select("id", "name", "namespace")
 
 
+def nodes_of_files(n: DataFrame, namespace: str) -> DataFrame:
+    """The nodes of a namespace that lie in files, with all their properties."""
+    return n.where((F.col("namespace") == namespace) & F.col("file_path").isNotNull())
+
+
+def get_node(n: DataFrame, node_id: Column, label: str | None = None, namespace: str | None = None) -> DataFrame:
+    """The node of an id, of a label and namespace where given; no row without one."""
+    hit = n.where(F.col("id") == node_id)
+    hit = hit if label is None else hit.where(F.col("label") == label)
+    return (hit if namespace is None else hit.where(F.col("namespace") == namespace)).limit(1)
+
+
+def create_nodes(n: DataFrame, new: DataFrame) -> DataFrame:
+    """(the new rows, created): false for an id that exists or comes twice, which a plain create may not add again."""
+    own = new.groupBy("id").agg(F.count("*").alias("_n"))
+    old = n.select("id").distinct().withColumn("_old", F.lit(True))
+    return new.join(own, "id").join(old, "id", "left").withColumn("created", F.col("_old").isNull() & (F.col("_n") == 1)).drop("_n", "_old")
+
+
+def delete_nodes(n: DataFrame, e: DataFrame, gone: DataFrame, detach: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes without those of ``gone`` (id), and the edges left. Unless detached, a node that has edges stays."""
+    gone = gone.select("id").distinct()
+    if not detach:
+        used = e.select(F.explode(F.array("src", "dst")).alias("id"))
+        gone = gone.join(used, "id", "left_anti")
+    left = e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return n.join(gone, "id", "left_anti"), left
+
+
 def namespace_stats(n: DataFrame) -> DataFrame:
     """Nodes per namespace and label."""
     return n.groupBy("namespace", "label").agg(F.count("*").alias("nodes"))
@@ -202,6 +233,39 @@ def layer_matrix(n: DataFrame, e: DataFrame) -> DataFrame:
     return grid.join(got, ["from_layer", "to_layer"], "left").select("from_layer", "to_layer", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
+def role_matrix(n: DataFrame, e: DataFrame, role: Callable[[Column], Column]) -> DataFrame:
+    """A11 by roles of names instead of paths: calls per pair of roles."""
+    x = ends(n, e, "CALLS").select(role(F.col("src_name")).alias("from_role"), role(F.col("dst_name")).alias("to_role"))
+    return x.groupBy("from_role", "to_role").agg(F.count("*").alias("calls"))
+
+
+def role_chain(n: DataFrame, e: DataFrame, role: Callable[[Column], Column], roles: tuple[str, str, str]) -> DataFrame:
+    """T11 by roles: (mid, chains) of a calls b calls c with each in its own role; counted at the middle."""
+    calls = e.where("type = 'CALLS'").select("src", "dst")
+    of = n.select("id", role(F.col("name")).alias("_role"))
+    side = lambda k, name: of.where(F.col("_role") == roles[k]).select(F.col("id").alias(name))
+    left = calls.join(side(0, "src"), "src", "left_semi").groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
+    right = calls.join(side(2, "dst"), "dst", "left_semi").groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    return left.join(right, "mid").join(side(1, "mid"), "mid", "left_semi").select("mid", (F.col("n_in") * F.col("n_out")).alias("chains"))
+
+
+def cross_namespace_edges(n: DataFrame, e: DataFrame) -> DataFrame:
+    """T14 over all types: edges whose ends lie in different namespaces, per type and pair."""
+    ns = n.select("id", "namespace")
+    x = e.join(ns.toDF("src", "from_ns"), "src").join(ns.toDF("dst", "to_ns"), "dst").where("from_ns <> to_ns")
+    return x.groupBy("type", "from_ns", "to_ns").agg(F.count("*").alias("edges"))
+
+
+def entry_to_target(n: DataFrame, e: DataFrame, starts: DataFrame, targets: DataFrame, depth: int, k: int) -> DataFrame:
+    """Per start the first k trails of calls to any target, the shortest first, with the names along them."""
+    t = expand.trails(e.where("type = 'CALLS'"), starts, depth).join(targets.select(F.col("id").alias("node")), "node", "left_semi")
+    w = Window.partitionBy("start").orderBy("depth", "path")
+    t = t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    names = t.select("start", "place", F.posexplode("path").alias("_at", "id")).join(n.select("id", "name"), "id")
+    texts = names.groupBy("start", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "name"))), lambda x: x["name"]), " -> ").alias("names"))
+    return t.join(texts, ["start", "place"]).select("start", F.col("node").alias("target"), "depth", "place", "names")
+
+
 def layer_chain(n: DataFrame, e: DataFrame) -> DataFrame:
     """A calls b calls c with each in its own layer; the middle is counted before the names are joined."""
     calls = e.where("type = 'CALLS'").select("src", "dst")
@@ -225,12 +289,28 @@ def service_language(n: DataFrame) -> DataFrame:
 
 
 def completeness(n: DataFrame, e: DataFrame) -> DataFrame:
-    """A4: per service functions, and those with an outgoing call."""
+    """A4 per service: functions, and those with an outgoing call; completeness_by_language has it whole."""
     callers = e.where("type = 'CALLS'").select(F.col("src").alias("id")).distinct().withColumn("_calls", F.lit(1))
     x = n.where(F.col("label").isin(*CODE)).join(callers, "id", "left")
     return x.groupBy(service().alias("service")).agg(F.count("*").alias("functions"), F.count("_calls").alias("with_calls"))
 
 
+def completeness_by_language(units: DataFrame, e: DataFrame) -> DataFrame:
+    """A4: per service and language functions, those that list calls and those with an outgoing call."""
+    callers = e.where("type = 'CALLS'").select(F.col("src").alias("id")).distinct().withColumn("_calls", F.lit(1))
+    x = units.where(F.col("type").isin(*CODE)).join(callers, "id", "left")
+    return x.groupBy(service().alias("service"), "language").agg(F.count("*").alias("functions"), F.count_if(F.size("calls") > 0).alias("listing_calls"), F.count("_calls").alias("with_calls"))
+
+
+def expected_call_gaps(units: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, call) of the calls on the service that a function's code holds and no CALLS edge to a node of that name
+    in the namespace follows."""
+    f = units.where(F.col("type").isin(*CODE))
+    said = f.select("id", "namespace", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b\w\.(\w+)\("), 1))).alias("call"))
+    made = e.where("type = 'CALLS'").select(F.col("src").alias("id"), "dst").join(units.select(F.col("id").alias("dst"), F.col("name").alias("call"), "namespace"), "dst").select("id", "namespace", "call").distinct()
+    return said.join(made, ["id", "namespace", "call"], "left_anti").select("id", "call")
+
+
 def conversion(units: DataFrame, e: DataFrame) -> DataFrame:
     """Per namespace, elements of the calls lists against CALLS edges, and their ratio."""
     out = e.where("type = 'CALLS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_e"))
@@ -262,18 +342,48 @@ def delete_namespace(n: DataFrame, e: DataFrame, namespace: str) -> tuple[DataFr
 def containment(units: DataFrame, strict: bool = False) -> DataFrame:
     """B1, B2: CONTAINS by place in the file: module to class and function, class to method by lines (ends may meet
     unless strict). A range join on the file: both sides are co-partitioned by namespace and file."""
-    u = units.select("id", "type", "namespace", "file_path", "line_start", "line_end")
-    kids = u.select(F.col("id").alias("child_id"), F.col("type").alias("child_type"), "namespace", "file_path", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    j = u.join(kids, ["namespace", "file_path"])
-    end = F.col("b") < F.col("line_end") if strict else F.col("b") <= F.col("line_end")
-    inside = (F.col("type") == "Class") & (F.col("child_type") == "Method") & (F.col("a") > F.col("line_start")) & end
-    top = (F.col("type") == "Module") & F.col("child_type").isin("Class", "Function")
-    return j.where(inside | top).select(F.col("id").alias("parent_id"), "child_id", F.col("type").alias("parent_type"))
+    key = ["namespace", "file_path"]
+    u = units.select("id", "type", *key, "line_start", "line_end")
+    side = lambda kind, name, lines: u.where(F.col("type").isin(*kind)).select(F.col("id").alias(name), *key, *[F.col(c).alias(f"_{name}_{c}") for c in lines])
+    lines = ("line_start", "line_end")
+    top = side(["Module"], "parent_id", ()).join(side(["Class", "Function"], "child_id", ()), key).select("parent_id", "child_id", F.lit("Module").alias("parent_type"))
+    inner = side(["Class"], "parent_id", lines).join(side(["Method"], "child_id", lines), key)
+    end = F.col("_child_id_line_end") < F.col("_parent_id_line_end") if strict else F.col("_child_id_line_end") <= F.col("_parent_id_line_end")
+    inner = inner.where((F.col("_child_id_line_start") > F.col("_parent_id_line_start")) & end)
+    return top.unionByName(inner.select("parent_id", "child_id", F.lit("Class").alias("parent_type")))
+
+
+def resolve_calls_in_file(units: DataFrame) -> DataFrame:
+    """CALLS by the whole element within the file; of functions of one name the last one. A dotted element names none."""
+    key = ["namespace", "file_path"]
+    f = units.where(F.col("type").isin(*CODE))
+    targets = f.groupBy(*key, F.col("name").alias("call")).agg(F.max_by("id", F.struct("line_start", "id")).alias("dst"))
+    calls = f.select(F.col("id").alias("src"), *key, F.explode("calls").alias("call")).where("call is not null")
+    return calls.join(targets, [*key, "call"]).select("src", "dst").distinct().withColumn("call_count", F.lit(1))
+
+
+def rebuild_counts(units: DataFrame, e: DataFrame) -> DataFrame:
+    """B4's counters per namespace: listed calls, those whose edge exists, is created, or has no target, and the rate of those
+    that have one."""
+    hit = call_targets(units)
+    old = e.where("type = 'CALLS'").select("src", "dst", F.lit(True).alias("_old"))
+    x = hit.join(old, ["src", "dst"], "left")
+    c = x.groupBy("namespace").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("dst").isNotNull() & F.col("_old").isNotNull()).alias("existing"),
+        F.count_if(F.col("dst").isNotNull() & F.col("_old").isNull()).alias("created"), F.count_if(F.col("dst").isNull()).alias("not_found"),
+    )
+    return c.withColumn("rate", F.round((F.col("calls") - F.col("not_found")) / F.col("calls"), 4))
 
 
 def resolve_calls(units: DataFrame) -> DataFrame:
-    """CALLS by name within the namespace: the full name, else the name behind one of a few receivers; an exact
-    match first, then the smallest id. Names are looked up once per (namespace, name)."""
+    """CALLS by name within the namespace, see call_targets, one edge per caller and callee."""
+    return call_targets(units).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("call_count"))
+
+
+def call_targets(units: DataFrame) -> DataFrame:
+    """(src, namespace, call, dst) of the distinct listed calls: the function of the full name in the namespace, else of the
+    name behind one of a few receivers, the smallest id of several, null without one. Names are looked up once per
+    (namespace, name)."""
     receivers = ("s", "ctx", "w", "r", "logger", "client")
     calls = units.where(F.col("type").isin(*CODE)).select(F.col("id").alias("src"), "namespace", F.explode("calls").alias("call")).where("call is not null")
     targets = units.where(F.col("type").isin(*CODE)).groupBy("namespace", "name").agg(F.min("id").alias("dst"))
@@ -281,7 +391,7 @@ def resolve_calls(units: DataFrame) -> DataFrame:
     calls = calls.distinct().withColumn("short", F.when(two, F.split_part("call", F.lit("."), F.lit(2))))
     full = calls.join(targets.withColumnRenamed("name", "call").withColumnRenamed("dst", "d1"), ["namespace", "call"], "left")
     both = full.join(targets.withColumnRenamed("name", "short").withColumnRenamed("dst", "d2"), ["namespace", "short"], "left")
-    return both.select("src", F.coalesce("d1", "d2").alias("dst"), "call").where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("call_count"))
+    return both.select("src", "namespace", "call", F.coalesce("d1", "d2").alias("dst"))
 
 
 def import_edges(units: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.operators import graph, vector
+from corvine.operators import context, graph, vector
 
 
 def by_vector(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -43,6 +43,22 @@ def flows(n: DataFrame, namespace: str, k: int) -> DataFrame:
     return n.where((F.col("label") == "ExecutionFlow") & (F.col("namespace") == namespace)).select("id", "name").orderBy("id").limit(k)
 
 
+def flows_by_namespace(n: DataFrame, k: int) -> DataFrame:
+    """R6 for all namespaces at once: the first k execution flows of each."""
+    w = Window.partitionBy("namespace").orderBy("id")
+    return n.where("label = 'ExecutionFlow'").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("id", "name", "namespace")
+
+
+def in_order(*columns: str):
+    """The window over the rows of a bounded result list in an order, to number them."""
+    return Window.orderBy(*columns)
+
+
+def cited(hits: DataFrame) -> DataFrame:
+    """(id, citation) of a bounded list of code hits, numbered by id."""
+    return hits.select("id", context.citation(F.row_number().over(in_order("id")), F.col("file_path"), F.col("line_start")).alias("citation"))
+
+
 def dependencies(n: DataFrame, e: DataFrame, k: int) -> DataFrame:
     """Names with what they depend on, grouped by name, the first k."""
     x = graph.ends(n, e, "DEPENDS_ON")
@@ -78,6 +94,24 @@ def retrieve(intent: str, n: DataFrame, e: DataFrame, hits: Callable[[], DataFra
     return out
 
 
+def expand_hits(n: DataFrame, e: DataFrame, hits: DataFrame) -> DataFrame:
+    """V9: (id, relation, other_id, other): the callees and the containing class of each hit."""
+    near = hits.select("id")
+    out = e.where("type = 'CALLS'").join(near.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.lit("callee").alias("relation"), F.col("dst").alias("other_id"))
+    up = e.where("type = 'CONTAINS'").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.lit("parent").alias("relation"), F.col("src").alias("other_id"))
+    names = n.select(F.col("id").alias("other_id"), F.col("name").alias("other"), "label")
+    return out.unionByName(up).join(names, "other_id").where("relation = 'callee' or label = 'Class'").select("id", "relation", "other_id", "other")
+
+
+def three_legs(documents: DataFrame, code: DataFrame, n: DataFrame, e: DataFrame) -> DataFrame:
+    """(leg, id, score, relation, other): nearest documents and code (id, score), and what the code hits lead to."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("relation", "other")]
+    docs = documents.select(F.lit("documents").alias("leg"), F.col("id").cast("string").alias("id"), "score", *none)
+    hits = code.select(F.lit("code").alias("leg"), "id", "score", *none)
+    graph_leg = expand_hits(n, e, code).join(code.select("id", "score"), "id").select(F.lit("graph").alias("leg"), "id", "score", "relation", "other")
+    return docs.unionByName(hits).unionByName(graph_leg)
+
+
 def fan_out(vectors: DataFrame, query: list[float], docs: DataFrame) -> DataFrame:
     """Nearest documents of every source, the best three of each."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -19,13 +19,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(vec_id, label, score) of all rows that have a cosine with the query."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score")).where("score is not null")
+
+
 def search(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, threshold: float | None = None) -> DataFrame:
     """(vec_id, score) of the best k among the rows that pass the filter, scores rounded before ranking."""
-    rows = vectors if where is None else vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score")).where("score is not null")
-    scored = scored if threshold is None else scored.where(F.col("score") >= threshold)
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+    rows = scored(vectors if where is None else vectors.where(where), query)
+    rows = rows if threshold is None else rows.where(F.col("score") >= threshold)
+    return rows.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def fanout(vectors: DataFrame, query: list[float], per_group: int, k: int) -> DataFrame:

@@ -19,16 +19,26 @@ NS = "shopmesh:gateway"
 WORDS = ["merge", "route", "poll"]
 
 _B = "E' \\t\\r\\n'"
-N = f"""N AS (SELECT id, max(name) AS name, max(label) AS label, max(namespace) AS namespace, max(file_path) AS file_path, max(language) AS language, max(complexity) AS complexity FROM (
-  SELECT lower(trim(id, {_B})) AS id, name, type AS label, namespace, file_path, language, complexity FROM code_unit
-  UNION ALL SELECT lower(trim(id, {_B})), name, label, namespace, file_path, NULL, NULL FROM graph_node
-  UNION ALL SELECT lower(trim(symbol_id, {_B})), symbol, 'Symbol', NULL, NULL, language, NULL FROM external_symbol) WHERE id IS NOT NULL GROUP BY id)"""
-E = f"""E AS (SELECT src, dst, type, max(call_count) AS call_count, max(is_recursive) AS is_recursive, max(import_type) AS import_type, max(dependency_type) AS dependency_type, max(order_no) AS order_no FROM (
-  SELECT lower(trim(from_id, {_B})) AS src, lower(trim(to_id, {_B})) AS dst, upper(trim(type, {_B})) AS type, call_count, is_recursive, import_type, dependency_type, order_no FROM graph_edge) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst, type)"""
+_T = "try_cast(CASE WHEN regexp_matches(trim({0}, " + _B + "), '([zZ]|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND length(trim({0}, " + _B + ")) > 10 THEN trim({0}, " + _B + ") ELSE trim({0}, " + _B + ") || 'Z' END AS TIMESTAMPTZ)"
+
+
+def _last(key: str, columns: list[str], rows: str) -> str:
+    """The row of the last load for each key; rows of one time by their columns, the greatest."""
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ["tm", *columns])
+    return f"SELECT {key}, {', '.join(columns)} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({rows})) WHERE rn = 1"
+
+
+_C = _T.format("created_at")
+_NODE_ROWS = f"""SELECT lower(trim(id, {_B})) AS id, name, type AS label, namespace, file_path, language, complexity, {_C} AS tm FROM code_unit WHERE id IS NOT NULL
+  UNION ALL SELECT lower(trim(id, {_B})), name, label, namespace, file_path, NULL, NULL, coalesce({_T.format("updated_at")}, {_C}) FROM graph_node WHERE id IS NOT NULL
+  UNION ALL SELECT lower(trim(symbol_id, {_B})), symbol, 'Symbol', NULL, NULL, language, NULL, NULL FROM external_symbol WHERE symbol_id IS NOT NULL"""
+N = f"N AS ({_last('id', model.NODE_COLUMNS, _NODE_ROWS)})"
+_EDGE_ROWS = f"SELECT lower(trim(from_id, {_B})) AS src, lower(trim(to_id, {_B})) AS dst, nullif(upper(trim(type, {_B})), '') AS type, call_count, is_recursive, import_type, dependency_type, order_no, {_C} AS tm FROM graph_edge WHERE from_id IS NOT NULL AND to_id IS NOT NULL"
+E = f"E AS ({_last('src, dst, type', model.EDGE_COLUMNS, _EDGE_ROWS)})"
 X = """X AS (SELECT E.*, a.id AS src_id, a.name AS src_name, a.label AS src_label, a.namespace AS src_namespace, a.file_path AS src_file_path,
   b.id AS dst_id, b.name AS dst_name, b.label AS dst_label, b.namespace AS dst_namespace, b.file_path AS dst_file_path FROM E JOIN N a ON a.id = E.src JOIN N b ON b.id = E.dst)"""
-U = f"""U AS (SELECT lower(trim(id, {_B})) AS id, max(name) AS name, max(type) AS type, max(file_path) AS file_path, max(language) AS language, max(signature) AS signature, max(docstring) AS docstring, max(line_start) AS line_start, max(line_end) AS line_end,
-  max(complexity) AS complexity, max(parent_id) AS parent_id, max(namespace) AS namespace, max(code) AS code, max(calls) AS calls, max(imports) AS imports FROM code_unit WHERE id IS NOT NULL GROUP BY lower(trim(id, {_B})))"""
+_UNIT_ROWS = f"SELECT * REPLACE (lower(trim(id, {_B})) AS id), {_C} AS tm FROM code_unit WHERE id IS NOT NULL"
+U = f"U AS ({_last('id', model.UNIT_COLUMNS, _UNIT_ROWS)})"
 S = """S AS (SELECT *, CASE flag WHEN 'A' THEN list_filter([step - 1], lambda x: x >= 1) WHEN 'R' THEN list_filter([step - 2, step - 1], lambda x: x >= 1) ELSE [] END AS depends_on FROM (
   SELECT l_orderkey AS flow_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) AS step, l_partkey AS part, l_quantity AS minutes, l_returnflag AS flag, l_linestatus AS status FROM lineitem)),
 NB AS (SELECT a.flow_id, a.step, b.step AS other FROM S a JOIN S b ON b.flow_id = a.flow_id AND b.step = a.step + 1 WHERE a.flag = 'N' AND b.flag = 'N' AND a.status = b.status),
@@ -56,7 +66,7 @@ def simple(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], sql: str |
 CODE = "('Function', 'Method')"
 simple("function_calls", lambda n, e: graph.function_calls(n, e, NS), G + f"SELECT src_name AS caller, dst_name AS callee, src_id AS caller_id, dst_id AS callee_id, coalesce(call_count, 1) AS call_count, coalesce(is_recursive, false) AS is_recursive FROM X WHERE type = 'CALLS' AND src_namespace = '{NS}' AND src_label IN {CODE} AND dst_label IN {CODE}")
 simple("class_hierarchy", graph.class_hierarchy, GR + """, T AS (SELECT src AS class_id, dst AS ancestor_id, 1 AS depth, src || '/' || dst AS path, [src || dst] AS trail FROM E WHERE type = 'INHERITS_FROM'
-  UNION ALL SELECT T.class_id, E.dst, T.depth + 1, T.path || '/' || E.dst, list_append(T.trail, E.src || E.dst) FROM T JOIN E ON E.src = T.ancestor_id AND E.type = 'INHERITS_FROM' WHERE T.depth < 6 AND NOT list_contains(T.trail, E.src || E.dst)) SELECT class_id, ancestor_id, depth, path FROM T""")
+  UNION ALL SELECT T.class_id, E.dst, T.depth + 1, T.path || '/' || E.dst, list_append(T.trail, E.src || E.dst) FROM T JOIN E ON E.src = T.ancestor_id AND E.type = 'INHERITS_FROM' WHERE NOT list_contains(T.trail, E.src || E.dst)) SELECT class_id, ancestor_id, depth, path FROM T""")
 simple("module_dependencies", graph.module_dependencies, G + "SELECT src_id AS module_id, 0 AS part, max(src_name) AS module, count(*) AS n_imports, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS imports, coalesce(array_to_string(list_sort(list(DISTINCT import_type) FILTER (import_type IS NOT NULL)), ','), '') AS import_types FROM X WHERE type = 'IMPORTS' GROUP BY src_id")
 simple("function_context", graph.function_context, G + f"""SELECT N.id, N.name, coalesce(a.callees, '') AS callees, coalesce(b.n_callers, 0) AS n_callers, coalesce(c.parents, '') AS parents FROM N
   LEFT JOIN (SELECT src_id AS id, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS callees FROM X WHERE type = 'CALLS' GROUP BY src_id) a ON a.id = N.id
@@ -289,7 +299,7 @@ _SC = "V AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding A
 q("vector_top", f"WITH {_SC} SELECT * FROM V ORDER BY score DESC, vec_id LIMIT 10")(lambda s, d: vector.search(_vectors(s, d), _query(s, d), 10))
 q("vector_top_filtered", f"WITH {_SC} SELECT * FROM V WHERE label = 3 AND score >= 0.0 ORDER BY score DESC, vec_id LIMIT 10")(lambda s, d: vector.search(_vectors(s, d), _query(s, d), 10, F.col("label") == 3, 0.0))
 q("vector_fanout", f"WITH {_SC}, R AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM V) SELECT vec_id, label, score FROM R WHERE r <= 5 ORDER BY score DESC, vec_id LIMIT 10")(lambda s, d: vector.fanout(_vectors(s, d), _query(s, d), 5, 10))
-q("vector_relevance", f"WITH {_SC} SELECT CASE WHEN score > 0.5 THEN 'high' ELSE 'medium' END AS relevance, count(*) AS hits FROM V GROUP BY 1")(lambda s, d: vector.search(_vectors(s, d), _query(s, d), 2**31 - 1).groupBy(vector.relevance().alias("relevance")).agg(F.count("*").alias("hits")))
+q("vector_relevance", f"WITH {_SC} SELECT CASE WHEN score > 0.5 THEN 'high' ELSE 'medium' END AS relevance, count(*) AS hits FROM V GROUP BY 1")(lambda s, d: vector.scored(_vectors(s, d), _query(s, d)).groupBy(vector.relevance().alias("relevance")).agg(F.count("*").alias("hits")))
 q("vector_graph_filter", f"WITH {_SC} SELECT V.* FROM V WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'atlas-wiki') ORDER BY score DESC, vec_id LIMIT 10")(lambda s, d: vector.search(_vectors(s, d).join(table(s, d, "documents").where("source = 'atlas-wiki'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), _query(s, d), 10))
 q("vector_expand", f"WITH {_SC} SELECT V.vec_id, V.score, d.source, d.doc_type FROM (SELECT * FROM V ORDER BY score DESC, vec_id LIMIT 25) V JOIN documents d ON d.doc_id = V.vec_id")(lambda s, d: vector.search(_vectors(s, d), _query(s, d), 25).join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "doc_type"), "vec_id").select("vec_id", "score", "source", "doc_type"))
 q("vector_knn", "WITH P AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0), R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM P) SELECT * FROM R WHERE rank <= 5")(lambda s, d: vector.knn(_vectors(s, d), _vectors(s, d).where("vec_id % 50 = 0"), 5))
