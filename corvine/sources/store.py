@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvine.common import shared_folder
 
-#: To be raised when the rules by which tables are derived change.
+#: To be raised when the form of derived tables changes; a change of the rules in the module that builds them shows by itself.
 LAYOUT = 1
 
 
@@ -73,8 +74,12 @@ def derived(spark: SparkSession, d: str, name: str, sources: list[str], build: C
     make a new table. A table counts only when it is wholly written and moved to its place; of two sessions that write
     the same one, the later finds it there.
     """
+    try:
+        rules = inspect.getsource(inspect.getmodule(build))
+    except (OSError, TypeError):  # the code comes without its source
+        rules = ""
     state = [(t, _state(spark, f"{d}/{t}.parquet")) for t in sources]
-    key = hashlib.sha256(repr((LAYOUT, d, state)).encode()).hexdigest()[:24]
+    key = hashlib.sha256(repr((LAYOUT, rules, d, state)).encode()).hexdigest()[:24]
     path = f"{shared_folder(spark)}/derived/{key}/{name}"
     if not exists(spark, f"{path}/_SUCCESS"):
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
