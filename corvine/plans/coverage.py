@@ -9,7 +9,8 @@ from corvine import model
 from corvine.common import norm_id, table
 from corvine.functions import text
 from corvine.operators import context, detect, flow, graph, retrieve, vector
-from corvine.plans.core import _B, _ST, CODE, G, GR, NS, E, N, U, _case, _starts
+from corvine.plans.core import _B, _ST, CODE, G, GR, LISTS, NS, E, N, U, _case, _starts
+from corvine.plans.core import SQL as SQL_OF_CORE
 
 QUERIES = {}
 SQL = {}
@@ -155,3 +156,28 @@ q("subsections", """WITH T AS (SELECT doc_id, string_split(text, chr(10) || '##
   lambda s, d: text.subsections(text.sections(table(s, d, "documents").where("text is not null"), "doc_id", "text")).select("doc_id", "section_no", "part_no", "part", F.md5("body").alias("body_md5")))
 q("hash_embedding_totals", f"""WITH {U}, H AS (SELECT id, sha256(concat_ws(chr(10), nullif(signature, ''), nullif(docstring, ''), nullif(substring(code, 1, 500), ''))) AS h FROM U)
   SELECT id, round(12 * list_sum([CAST('0x' || substring(h, CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) / 255.0 * 2 - 1 for i in range(32)]), 4) AS total, 384 AS dims FROM H""", lambda s, d: model.units(s, d).select("id", vector.hash_embedding(vector.unit_text()).alias("e")).select("id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("e").alias("dims")))
+
+# SQL of queries that stand in other modules.
+_UNIT_TEXT = "concat_ws(chr(10), nullif(signature, ''), nullif(docstring, ''), nullif(substring(code, 1, 500), ''))"
+_BYTES = "[CAST('0x' || substring(h, CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) / 255.0 * 2 - 1 for i in range(32)]"
+SQL["hash_embeddings"] = f"WITH {U}, H AS (SELECT id, sha256({_UNIT_TEXT}) AS h FROM U) SELECT id, round(12 * list_sum({_BYTES}), 6) AS total, 384 AS dims FROM H"
+SQL["formatted_code"] = f"""WITH {U} SELECT id, md5(concat_ws(chr(10), '# ' || upper(type) || ': ' || name, 'Location: ' || file_path || ':' || line_start, CASE WHEN length(signature) > 0 THEN '```' || chr(10) || signature || chr(10) || '```' END,
+  CASE WHEN length(docstring) > 0 THEN '**Documentation:**' || chr(10) || docstring END, CASE WHEN length(code) > 0 THEN '**Implementation:**' || chr(10) || '```' || chr(10) || code || chr(10) || '```' END,
+  CASE WHEN len(calls) > 0 THEN '**Calls:** ' || array_to_string(calls, ', ') END, CASE WHEN len(imports) > 0 THEN '**Imports:** ' || array_to_string(imports, ', ') END)) AS content_md5 FROM U"""
+SQL["http_endpoints"] = """WITH F AS (SELECT file_id, lower(regexp_extract(file_path, '([.][^./]+)$', 1)) AS x, code FROM source_file), P AS (
+  SELECT file_id, unnest(regexp_extract_all(code, 'r\\.Methods\\("([A-Z]+)"\\)\\.Path\\("(/[^"]+)"\\)\\.Handler', 1)) AS m, unnest(regexp_extract_all(code, 'r\\.Methods\\("([A-Z]+)"\\)\\.Path\\("(/[^"]+)"\\)\\.Handler', 2)) AS path FROM F WHERE x = '.go'
+  UNION ALL SELECT file_id, unnest(regexp_extract_all(code, '(?i)(?:app|router)\\.(get|post|put|delete|patch)\\([''"]([^''"]+)[''"]', 1)), unnest(regexp_extract_all(code, '(?i)(?:app|router)\\.(get|post|put|delete|patch)\\([''"]([^''"]+)[''"]', 2)) FROM F WHERE x IN ('.js', '.jsx')
+  UNION ALL SELECT file_id, unnest(regexp_extract_all(code, '@(Get|Post|Put|Delete)Mapping\\([''"]([^''"]+)[''"]', 1)), unnest(regexp_extract_all(code, '@(Get|Post|Put|Delete)Mapping\\([''"]([^''"]+)[''"]', 2)) FROM F WHERE x = '.java')
+  SELECT file_id, upper(m) AS method, path FROM P"""
+_WALK = "UNION SELECT R.start, H.b, R.depth + 1, R.path || '/' || H.b FROM R JOIN H ON H.a = R.node WHERE R.depth < 4"
+SQL["shortest_paths"] = GR + f""", O AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE type = 'NEXT_STEP'), H AS (SELECT a, b FROM O UNION SELECT b, a FROM O),
+  D AS (SELECT a AS start, a AS node, 0 AS depth FROM O UNION SELECT D.start, O.b, D.depth + 1 FROM D JOIN O ON O.a = D.node WHERE D.depth < 4), W AS (SELECT start, node AS target FROM D GROUP BY ALL HAVING min(depth) >= 2),
+  R AS (SELECT DISTINCT start, start AS node, 0 AS depth, start AS path FROM W {_WALK}), M AS (SELECT start, node, min(depth) AS depth FROM R GROUP BY ALL)
+  SELECT W.start, W.target, M.depth, min(R.path) AS path FROM W JOIN M ON M.start = W.start AND M.node = W.target JOIN R ON R.start = M.start AND R.node = M.node AND R.depth = M.depth GROUP BY ALL"""
+SQL["root_leaf_paths"] = GR + """, O AS (SELECT src, dst FROM E WHERE type = 'NEXT_STEP'), T AS (SELECT src AS start, dst AS node, 1 AS depth, src || '/' || dst AS path, [src || dst] AS trail FROM O WHERE src NOT IN (SELECT dst FROM O)
+  UNION ALL SELECT T.start, O.dst, T.depth + 1, T.path || '/' || O.dst, list_append(T.trail, O.src || O.dst) FROM T JOIN O ON O.src = T.node WHERE NOT list_contains(T.trail, O.src || O.dst)) SELECT start, node, depth, path FROM T WHERE node NOT IN (SELECT src FROM O)"""
+_CHUNKED = SQL_OF_CORE["greedy_chunks"].replace("> 600", "> 1500")
+SQL["formatted_documents"] = _CHUNKED[: _CHUNKED.rindex("SELECT doc_id, chunk_index")] + "SELECT C.doc_id, chunk_index, md5('# ' || coalesce(nullif(d.title, ''), 'Document Chunk ' || (chunk_index + 1)) || chr(10) || 'Source: ' || d.source || chr(10) || chr(10) || content) AS content_md5 FROM C JOIN documents d ON d.doc_id = C.doc_id"
+_NEAR = f"""V AS (SELECT id, {_BYTES} AS v FROM (SELECT id, sha256({_UNIT_TEXT}) AS h FROM U WHERE type IN {CODE})), UH AS (SELECT id, round(list_cosine_similarity(v, (SELECT v FROM V ORDER BY id LIMIT 1)), 6) AS score FROM V ORDER BY score DESC, id LIMIT 10)"""
+SQL["retrieve_unit_hits"] = f"WITH {U}, {_NEAR} SELECT * FROM UH"
+SQL["retrieve_functions"] = G + f", {U}, {_NEAR}, {LISTS} SELECT FC.* FROM FC WHERE id IN (SELECT id FROM UH)"
