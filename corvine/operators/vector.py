@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one block of the batch search; blocks are made by a hash, so their number follows the table.
-BLOCK_ROWS = 4096
+#: Rows of one block of the batch search; blocks are made by a hash, so their number follows the table. Rows are sent as often
+#: as there are blocks of queries, and the other way round, so large blocks move less; scores are made for so many queries
+#: at a time.
+BLOCK_ROWS, QUERIES_AT_ONCE = 16_384, 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -58,12 +60,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
         unit = lambda x: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(x.to_list(), dtype=np.float64))
-        s = np.round(unit(b["embedding"]) @ unit(a["embedding"]).T, 6)
-        ids, out = a["vec_id"].to_numpy(), []
-        for i, me in enumerate(b["vec_id"].to_numpy()):
-            order = np.lexsort((ids, -s[i]))
-            order = order[ids[order] != me][:k]
-            out.append(pd.DataFrame({"query_id": me, "vec_id": ids[order], "score": s[i][order]}))
+        rows, asked, ids, mine, out = unit(a["embedding"]), unit(b["embedding"]), a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), []
+        for at in range(0, len(asked), QUERIES_AT_ONCE):
+            s = np.round(asked[at : at + QUERIES_AT_ONCE] @ rows.T, 6)
+            for i, me in enumerate(mine[at : at + QUERIES_AT_ONCE]):
+                some = np.flatnonzero(s[i] >= np.partition(s[i], -k - 1)[-k - 1]) if len(ids) > k + 1 else np.arange(len(ids))
+                order = some[np.lexsort((ids[some], -s[i][some]))]
+                order = order[ids[order] != me][:k]
+                out.append(pd.DataFrame({"query_id": me, "vec_id": ids[order], "score": s[i][order]}))
         return pd.concat(out)
 
     near = rows.groupBy("vb", "qb").cogroup(asks.groupBy("vb", "qb")).applyInPandas(multiply, "query_id long, vec_id long, score double")

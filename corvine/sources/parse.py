@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,7 +83,15 @@ def brace_units(code: str, stem: str, language: str) -> list[dict]:
     to the innermost class around it (in Go to its receiver). A file whose braces don't close gives what is declared."""
     blank = lambda m: re.sub(r"[^\n]", " ", m.group())
     bare = _HIDE.sub(blank, code)
-    line = lambda i: bare.count("\n", 0, i) + 1
+    ends = [m.start() for m in re.finditer("\n", bare)]
+    line = lambda i: bisect_left(ends, i) + 1
+    closes, stack = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif stack:
+            closes[stack.pop()] = m.start()
+    opens = sorted([*closes, *stack])
     found = [g for m in re.finditer(_IMPORTS[language], code) for g in m.groups() if g]
     out = [{"name": stem, "type": "Module", "line_start": 1, "line_end": code.count("\n") + 1, "imports": found}]
     spans, taken = [], set()
@@ -91,22 +100,21 @@ def brace_units(code: str, stem: str, language: str) -> list[dict]:
             if m.group("name") in _WORDS or m.start("name") in taken:
                 continue
             taken.add(m.start("name"))
-            open_at = bare.find("{", m.end() - (1 if bare[m.end() - 1 : m.end()] == "{" else 0))
-            depth, i = 0, open_at
-            while 0 <= i < len(bare):
-                depth += {"{": 1, "}": -1}.get(bare[i], 0)
-                if depth == 0:
-                    break
-                i += 1
-            end = i if open_at >= 0 else m.end()
+            k = bisect_left(opens, m.end() - (1 if bare[m.end() - 1 : m.end()] == "{" else 0))
+            open_at = opens[k] if k < len(opens) else -1
+            end = closes.get(open_at, len(bare)) if open_at >= 0 else m.end()
             g = m.groupdict()
             params = [re.split(r"[\s:=]+", p.strip())[0 if language != "java" else -1] for p in (g.get("params") or "").split(",") if p.strip()]
             calls = sorted({c for c in re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", bare[open_at:end]) if c.split(".")[0] not in _WORDS}) if kind != "Class" and open_at >= 0 else []
             spans.append((m.start("name"), end, {"name": m.group("name"), "type": kind, "line_start": line(m.start("name")), "line_end": line(end), "signature": " ".join(code[m.start() : m.end()].split()), "parameters": params, "calls": calls, "parent": g.get("parent"), "complexity": None if kind == "Class" else 1 + len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])", bare[open_at:end]))}))
+    around: list = []  # classes that are open, the innermost last
     for a, b, unit in sorted(spans, key=lambda s: s[0]):
-        around = [s for s in spans if s[0] < a and s[1] >= b and s[2]["type"] == "Class"]
+        while around and around[-1][0] < b:
+            around.pop()
         if unit["type"] == "Method" and not unit["parent"] and around:
-            unit["parent"] = max(around, key=lambda s: s[0])[2]["name"]
+            unit["parent"] = around[-1][1]
+        if unit["type"] == "Class":
+            around.append((b, unit["name"]))
         out.append(unit)
     return out
 
