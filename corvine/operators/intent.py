@@ -26,15 +26,14 @@ COMMON_WORDS = ("the", "a", "an", "is", "are", "function", "class", "called", "n
 
 def classify(text: Column) -> dict[str, Column]:
     """Intent, confidence and needs of a question; the first pattern that is found wins, null is general."""
-    low = F.lower(text)
-    out = {}
-    for k, name in enumerate(("intent", "confidence", "requires_graph", "requires_vector")):
-        c = None
-        for row in INTENTS:
-            hit = low.rlike("|".join(f"(?:{p})" for p in row[4]))
-            c = F.when(hit, row[k]) if c is None else c.when(hit, row[k])
-        out[name] = c.otherwise(DEFAULT[k])
-    return out
+    names = ("intent", "confidence", "requires_graph", "requires_vector")
+    row = lambda r: F.struct(*[F.lit(v).alias(k) for k, v in zip(names, r, strict=False)])
+    low, found = F.lower(text), None
+    for r in INTENTS:
+        hit = low.rlike("|".join(f"(?:{p})" for p in r[4]))
+        found = F.when(hit, row(r)) if found is None else found.when(hit, row(r))
+    found = found.otherwise(row(DEFAULT))  # one choice, of which each column takes a part
+    return {k: found[k] for k in names}
 
 
 def entity_name(text: Column, intent: Column) -> Column:

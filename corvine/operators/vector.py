@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.model import point_id
+
 #: Rows of one block of the batch search; blocks are made by a hash, so their number follows the table. Rows are sent as often
 #: as there are blocks of queries, and the other way round, so large blocks move less; scores are made for so many queries
 #: at a time.
@@ -102,6 +104,14 @@ def unit_text() -> Column:
     return F.concat_ws("\n", part(F.col("signature")), part(F.col("docstring")), part(F.substring("code", 1, 500)))
 
 
+def chunk_points(chunks: DataFrame, docs: DataFrame, embedder=None) -> DataFrame:
+    """A point for each chunk (doc_id, chunk_index, total_chunks, content): its id, embedding and payload, the chunk's own
+    places and the title, source and namespace of its document."""
+    x = chunks.join(docs.select("doc_id", "title", "source", "namespace"), "doc_id")
+    x = embed(x, "content", embedder).withColumn("point_id", point_id(F.concat_ws("_", "doc_id", "chunk_index")))
+    return x.select("point_id", "embedding", F.struct("doc_id", "chunk_index", "total_chunks", "title", "source", "namespace", "content").alias("payload"))
+
+
 def relevance(score: str = "score") -> Column:
     """V6: high above one half."""
     return F.when(F.col(score) > 0.5, "high").otherwise("medium")

@@ -184,7 +184,7 @@ def _reverse(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 simple("reverse_calls", _reverse, G + f"SELECT dst_name AS name, count(DISTINCT src_id) AS callers, count(DISTINCT src_file_path) AS files FROM X WHERE type = 'CALLS' AND dst_label IN {CODE} GROUP BY 1")
-simple("direct_calls_ordered", lambda n, e: graph.ends(n, e, "CALLS").where(F.col("src_namespace") == NS).select("src_name", "dst_name", "dst_file_path", "src_id", "dst_id"), G + f"SELECT src_name, dst_name, dst_file_path, src_id, dst_id FROM X WHERE type = 'CALLS' AND src_namespace = '{NS}'")
+simple("direct_calls_ordered", lambda n, e: graph.ends(n, e, "CALLS").where(F.col("src_namespace") == NS).select("src_name", "dst_name", "dst_file_path", "src_id", "dst_id").orderBy("src_name", "dst_name", "src_id", "dst_id"), G + f"SELECT src_name, dst_name, dst_file_path, src_id, dst_id FROM X WHERE type = 'CALLS' AND src_namespace = '{NS}'")
 simple("calls_per_file", lambda n, e: graph.ends(n, e, "CALLS").groupBy(F.col("src_file_path").alias("file_path")).agg(F.count("*").alias("calls")), G + "SELECT src_file_path AS file_path, count(*) AS calls FROM X WHERE type = 'CALLS' GROUP BY 1")
 _LAYER = "CASE WHEN {0} LIKE '%/api/%' OR {0} LIKE '%/channel/%' THEN 'api' WHEN {0} LIKE '%/worker/%' OR {0} LIKE '%/job/%' THEN 'worker' WHEN {0} LIKE '%/cart/%' OR {0} LIKE '%/ledger/%' THEN 'store' END"
 simple("layer_counts", lambda n, e: n.groupBy(graph.layer_of("file_path").alias("layer")).agg(F.count("*").alias("nodes")), f"WITH {N} SELECT {_LAYER.format('file_path')} AS layer, count(*) AS nodes FROM N GROUP BY 1")

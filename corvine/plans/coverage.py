@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine import model
 from corvine.common import norm_id, table
 from corvine.functions import text
-from corvine.operators import context, detect, flow, graph, retrieve, vector
+from corvine.operators import context, detect, flow, graph, intent, retrieve, vector
 from corvine.plans.core import _B, _ST, CODE, G, GR, LISTS, NS, E, N, U, _case, _starts
 from corvine.plans.core import SQL as SQL_OF_CORE
 
@@ -181,3 +181,14 @@ SQL["formatted_documents"] = _CHUNKED[: _CHUNKED.rindex("SELECT doc_id, chunk_in
 _NEAR = f"""V AS (SELECT id, {_BYTES} AS v FROM (SELECT id, sha256({_UNIT_TEXT}) AS h FROM U WHERE type IN {CODE})), UH AS (SELECT id, round(list_cosine_similarity(v, (SELECT v FROM V ORDER BY id LIMIT 1)), 6) AS score FROM V ORDER BY score DESC, id LIMIT 10)"""
 SQL["retrieve_unit_hits"] = f"WITH {U}, {_NEAR} SELECT * FROM UH"
 SQL["retrieve_functions"] = G + f", {U}, {_NEAR}, {LISTS} SELECT FC.* FROM FC WHERE id IN (SELECT id FROM UH)"
+
+
+def _choice(k: int) -> str:
+    return "CASE " + " ".join("WHEN regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in r[4]) + f"') THEN {str(r[k]).lower()}" for r in intent.INTENTS) + f" ELSE {str(intent.DEFAULT[k]).lower()} END"
+
+
+q("intent_flags", f"SELECT doc_id, {_choice(1)} AS confidence, {_choice(2)} AS requires_graph, {_choice(3)} AS requires_vector FROM documents WHERE text IS NOT NULL", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", *[c.alias(k) for k, c in intent.classify(F.col("text")).items() if k != "intent"]))
+_POINTS = _CHUNKED.replace("> 1500", "> 1000")
+q("chunk_points", _POINTS[: _POINTS.rindex("SELECT doc_id, chunk_index")] + """, PT AS (SELECT C.doc_id, chunk_index, content, d.source, d.title, md5(C.doc_id || '_' || chunk_index) AS h FROM C JOIN documents d ON d.doc_id = C.doc_id)
+  SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS point_id, doc_id, chunk_index, title, source, md5(content) AS content_md5, 384 AS dims FROM PT""",
+  lambda s, d: vector.chunk_points(text.chunk_rows(table(s, d, "documents"), "doc_id", "text", 1000), table(s, d, "documents")).select("point_id", "payload.doc_id", "payload.chunk_index", "payload.title", "payload.source", F.md5("payload.content").alias("content_md5"), F.size("embedding").alias("dims")))
