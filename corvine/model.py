@@ -26,6 +26,11 @@ NODE_COLUMNS = ["name", "label", "namespace", "file_path", "language", "complexi
 EDGE_COLUMNS = ["call_count", "is_recursive", "import_type", "dependency_type", "order_no"]
 
 
+def loaded(df: DataFrame, *columns: str) -> Column:
+    """When a row was loaded: the first of the columns that the table has and that can be read, else null."""
+    return F.coalesce(*[iso_ts(c) for c in columns if c in df.columns], F.lit(None).cast("timestamp"))
+
+
 def last_load(rows: DataFrame, key: list[str], columns: list[str], at: Column) -> DataFrame:
     """One row per key: the whole row of the last load, as a merge leaves it. A null time comes before all others; rows of
     one time go by their columns, the greatest stays."""
@@ -37,7 +42,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     """One row per code unit id, that of its last load; kept by type and sorted by namespace and file."""
     def build() -> DataFrame:
         u = table(spark, d, "code_unit").where("id is not null").withColumn("id", norm_id("id"))
-        return last_load(u, ["id"], UNIT_COLUMNS, iso_ts("created_at"))
+        return last_load(u, ["id"], UNIT_COLUMNS, loaded(u, "created_at"))
 
     return store.derived(spark, d, "units", ["code_unit"], build, ["type"], ["namespace", "file_path", "id"]).select("id", *UNIT_COLUMNS)
 
@@ -47,8 +52,9 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     last load; kept by label and sorted by namespace. Edges know ids alone, so an id is one node whatever its namespace."""
     def build() -> DataFrame:
         none = lambda kind: F.lit(None).cast(kind)
-        u = table(spark, d, "code_unit").select(norm_id("id").alias("id"), "name", F.col("type").alias("label"), "namespace", "file_path", "language", "complexity", iso_ts("created_at").alias("at"))
-        g = table(spark, d, "graph_node").select(norm_id("id").alias("id"), "name", "label", "namespace", "file_path", none("string").alias("language"), none("int").alias("complexity"), F.coalesce(iso_ts("updated_at"), iso_ts("created_at")).alias("at"))
+        u, g = table(spark, d, "code_unit"), table(spark, d, "graph_node")
+        u = u.select(norm_id("id").alias("id"), "name", F.col("type").alias("label"), "namespace", "file_path", "language", "complexity", loaded(u, "created_at").alias("at"))
+        g = g.select(norm_id("id").alias("id"), "name", "label", "namespace", "file_path", none("string").alias("language"), none("int").alias("complexity"), loaded(g, "updated_at", "created_at").alias("at"))
         s = table(spark, d, "external_symbol").select(norm_id("symbol_id").alias("id"), F.col("symbol").alias("name"), F.lit("Symbol").alias("label"), none("string").alias("namespace"), none("string").alias("file_path"), "language", none("int").alias("complexity"), none("timestamp").alias("at"))
         return last_load(u.unionByName(g).unionByName(s).where("id is not null"), ["id"], NODE_COLUMNS, F.col("at"))
 
@@ -60,7 +66,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     the last load; kept by type and sorted by source. An empty type is none."""
     def build() -> DataFrame:
         kind = F.nullif(F.upper(F.btrim("type", F.lit(" \t\r\n"))), F.lit(""))
-        e = table(spark, d, "graph_edge").select(norm_id("from_id").alias("src"), norm_id("to_id").alias("dst"), kind.alias("type"), *EDGE_COLUMNS, iso_ts("created_at").alias("at"))
+        e = table(spark, d, "graph_edge")
+        e = e.select(norm_id("from_id").alias("src"), norm_id("to_id").alias("dst"), kind.alias("type"), *EDGE_COLUMNS, loaded(e, "created_at").alias("at"))
         return last_load(e.where("src is not null and dst is not null"), ["src", "dst", "type"], EDGE_COLUMNS, F.col("at"))
 
     return store.derived(spark, d, "edges", ["graph_edge"], build, ["type"], ["src", "dst"]).select("src", "dst", "type", *EDGE_COLUMNS)
