@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 4
 #: Keys with fewer rows than this are never worth salting.
 HOT_LEAST = 20_000
-#: Number of pieces a group is cut into before its rows are known to be many.
-SALTS = 16
 #: A list of one node's neighbours holds at most about so many; longer ones come in parts.
 PART_ROWS = 20_000
 #: Lists of keys up to this many rows are broadcast.

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.common import SALTS
-
 #: Score to be exceeded; characters per token; characters that make two contents equal.
 LEAST_SCORE, CHARS_PER_TOKEN, SAME_CHARS = 0.3, 4, 200
 
@@ -33,7 +31,7 @@ def within_budget(items: DataFrame, max_tokens: int) -> DataFrame:
     exceeds it stays, so that it still ends the whole.
     """
     tokens = F.floor(F.char_length("content") / CHARS_PER_TOKEN)
-    x = items.withColumn("tokens", tokens).withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)))
+    x = items.withColumn("tokens", tokens).withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     order = [F.desc("score"), "item_id"]
     cum = lambda *by: F.sum("tokens").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("_c", cum("query_id", "_salt")).where(F.col("_c") - F.col("tokens") <= max_tokens)

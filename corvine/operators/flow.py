@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvine.common import cut, small
+
+#: Flows of more steps than this are solved by joins instead of within a row.
+LARGE_FLOW = 10_000
+
 
 def same_dependency_groups(steps: DataFrame) -> DataFrame:
     """(flow_id, deps, steps, n): steps of a flow with the same dependencies, two or more."""
@@ -68,8 +73,20 @@ def longest(numbers: list[int], minutes: list[float], deps: list[list[int]]) ->
 
 
 def critical_paths(steps: DataFrame) -> DataFrame:
-    """(flow_id, critical_time, critical_path) of every flow. A flow's steps become one row (partial collects on the
-    JVM side), and rows are solved in batches; null time for a flow with a cycle."""
+    """(flow_id, critical_time, critical_path) of every flow; null time for a flow with a cycle.
+
+    The steps of a flow with up to LARGE_FLOW of them become one row (partial collects on the JVM side), and rows are solved
+    in batches; larger flows are solved step by step with joins, so no flow has to fit a task.
+    """
+    kind = steps.schema["flow_id"].dataType.simpleString()
+    large = cut(steps.groupBy("flow_id").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_FLOW).select("flow_id"))
+    if large.isEmpty():
+        return _in_rows(steps, kind)
+    large = small(large)
+    return _in_rows(steps.join(large, "flow_id", "left_anti"), kind).unionByName(_by_joins(steps.join(large, "flow_id", "left_semi")))
+
+
+def _in_rows(steps: DataFrame, kind: str) -> DataFrame:
     rows = steps.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("step", "minutes", "depends_on"))).alias("s"))
     rows = rows.select("flow_id", F.col("s.step").alias("n"), F.col("s.minutes").alias("m"), F.col("s.depends_on").alias("d"))
 
@@ -78,10 +95,35 @@ def critical_paths(steps: DataFrame) -> DataFrame:
             got = [longest(list(n), list(m), [list(x) for x in d]) for n, m, d in zip(b["n"], b["m"], b["d"], strict=True)]
             yield pd.DataFrame({"flow_id": b["flow_id"], "critical_time": [t for t, _ in got], "critical_path": [",".join(map(str, p)) for _, p in got]})
 
-    kind = steps.schema["flow_id"].dataType.simpleString()
     return rows.mapInPandas(solve, f"flow_id {kind}, critical_time double, critical_path string")
 
 
+def _by_joins(steps: DataFrame) -> DataFrame:
+    """As longest, for all flows at once: a round finishes the steps whose dependencies are finished; then the path is walked
+    back. There are as many rounds as steps in the longest chain."""
+    key = ["flow_id", "step"]
+    s = cut(steps.select(*key, F.coalesce(F.nullif("minutes", F.lit(0.0)), F.lit(1.0)).alias("cost"), "depends_on"))
+    need = cut(s.select(*key, F.explode(F.array_distinct("depends_on")).alias("dep")).join(s.select("flow_id", F.col("step").alias("dep")), ["flow_id", "dep"]))
+    front = cut(s.join(need, key, "left_anti").select(*key, F.col("cost").alias("finish"), F.lit(None).cast(s.schema["step"].dataType).alias("prev")))
+    done = front
+    while not front.isEmpty():
+        touched = need.join(front.select("flow_id", F.col("step").alias("dep")), ["flow_id", "dep"]).select(*key).distinct()
+        known = done.select("flow_id", F.col("step").alias("dep"), "finish")
+        state = need.join(touched, key).join(known, ["flow_id", "dep"], "left").groupBy(*key).agg(F.count("*").alias("_n"), F.count("finish").alias("_k"), F.max(F.struct("finish", (-F.col("dep")).alias("_dep"))).alias("_b"))
+        front = cut(state.where("_n = _k").join(s, key).select(*key, (F.col("_b.finish") + F.col("cost")).alias("finish"), (-F.col("_b._dep")).alias("prev")))
+        done = done.unionByName(front)
+    done = cut(done)
+    total = s.groupBy("flow_id").agg(F.count("*").alias("_n")).join(done.groupBy("flow_id").agg(F.count("*").alias("_k"), F.max(F.struct("finish", (-F.col("step")).alias("_step"))).alias("_e")), "flow_id", "left")
+    ends = total.where("_n = _k").select("flow_id", F.col("_e.finish").alias("critical_time"), (-F.col("_e._step")).alias("step"))
+    walk = cut(ends.join(done, key).select(*key, "prev", F.lit(0).alias("back")))
+    path = walk
+    while not walk.isEmpty():
+        walk = cut(walk.where("prev is not null").select("flow_id", F.col("prev").alias("step"), (F.col("back") + 1).alias("back")).join(done.select(*key, "prev"), key).select(*key, "prev", "back"))
+        path = path.unionByName(walk)
+    texts = path.groupBy("flow_id").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("back", "step")))), lambda x: x["step"].cast("string")), ",").alias("critical_path"))
+    return total.select("flow_id").join(ends.select("flow_id", "critical_time"), "flow_id", "left").join(texts, "flow_id", "left").select("flow_id", "critical_time", F.coalesce("critical_path", F.lit("")).alias("critical_path"))
+
+
 #: Lines of advice.
 ADVICE = {
     "found": "Found %d parallelization opportunities that could provide %.2fx speedup", "group": "Parallel Group %d: %s can run concurrently", "path": "Critical path contains %d steps: %s",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine import model
-from corvine.common import norm_id, table
+from corvine.common import PART_ROWS, norm_id, table
 from corvine.functions import text
 from corvine.operators import context, detect, expand, flow, graph, intent, vector
 from corvine.sources.files import language_of
@@ -63,11 +63,17 @@ def simple(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], sql: str |
     q(name, sql)(lambda s, d: f(model.nodes(s, d), model.edges(s, d)))
 
 
+def _part(key: str, member: str) -> str:
+    """The part of a long list that a member stands in, see corvine.common.part_of_hot."""
+    n = f"count(*) OVER (PARTITION BY {key})"
+    return f"CASE WHEN {n} > {PART_ROWS} THEN CAST(('0x' || substring(md5({member}), 1, 8))::BIGINT % CAST(ceil({n} / {PART_ROWS}.0) AS BIGINT) AS INTEGER) ELSE 0 END"
+
+
 CODE = "('Function', 'Method')"
 simple("function_calls", lambda n, e: graph.function_calls(n, e, NS), G + f"SELECT src_name AS caller, dst_name AS callee, src_id AS caller_id, dst_id AS callee_id, coalesce(call_count, 1) AS call_count, coalesce(is_recursive, false) AS is_recursive FROM X WHERE type = 'CALLS' AND src_namespace = '{NS}' AND src_label IN {CODE} AND dst_label IN {CODE}")
 simple("class_hierarchy", graph.class_hierarchy, GR + """, T AS (SELECT src AS class_id, dst AS ancestor_id, 1 AS depth, src || '/' || dst AS path, [src || dst] AS trail FROM E WHERE type = 'INHERITS_FROM'
   UNION ALL SELECT T.class_id, E.dst, T.depth + 1, T.path || '/' || E.dst, list_append(T.trail, E.src || E.dst) FROM T JOIN E ON E.src = T.ancestor_id AND E.type = 'INHERITS_FROM' WHERE NOT list_contains(T.trail, E.src || E.dst)) SELECT class_id, ancestor_id, depth, path FROM T""")
-simple("module_dependencies", graph.module_dependencies, G + "SELECT src_id AS module_id, 0 AS part, max(src_name) AS module, count(*) AS n_imports, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS imports, coalesce(array_to_string(list_sort(list(DISTINCT import_type) FILTER (import_type IS NOT NULL)), ','), '') AS import_types FROM X WHERE type = 'IMPORTS' GROUP BY src_id")
+simple("module_dependencies", graph.module_dependencies, G + f", Z AS (SELECT *, {_part('src_id', 'dst_id')} AS part FROM X WHERE type = 'IMPORTS') " + "SELECT src_id AS module_id, part, max(src_name) AS module, count(*) AS n_imports, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS imports, coalesce(array_to_string(list_sort(list(DISTINCT import_type) FILTER (import_type IS NOT NULL)), ','), '') AS import_types FROM Z GROUP BY src_id, part")
 simple("function_context", graph.function_context, G + f"""SELECT N.id, N.name, coalesce(a.callees, '') AS callees, coalesce(b.n_callers, 0) AS n_callers, coalesce(c.parents, '') AS parents FROM N
   LEFT JOIN (SELECT src_id AS id, array_to_string(list_sort(list(DISTINCT dst_name)), ',') AS callees FROM X WHERE type = 'CALLS' GROUP BY src_id) a ON a.id = N.id
   LEFT JOIN (SELECT dst_id AS id, count(DISTINCT src_id) AS n_callers FROM X WHERE type = 'CALLS' GROUP BY dst_id) b ON b.id = N.id
@@ -82,7 +88,7 @@ simple("function_lists", graph.function_lists, G + f", {LISTS} SELECT * FROM FC"
 
 def _grouped(kind: str, direction: str) -> str:
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    return G + f"SELECT {a}_id AS id, {a}_name AS name, 0 AS part, count(DISTINCT {b}_id) AS n, array_to_string(list_sort(list(DISTINCT {b}_name)), ',') AS others FROM X WHERE type = '{kind}' GROUP BY ALL"
+    return G + f", Z AS (SELECT *, {_part(f'{a}_id', f'{b}_id')} AS part FROM X WHERE type = '{kind}') SELECT {a}_id AS id, {a}_name AS name, part, count(DISTINCT {b}_id) AS n, array_to_string(list_sort(list(DISTINCT {b}_name)), ',') AS others FROM Z GROUP BY ALL"
 
 
 for _name, _kind, _dir in (

@@ -1,6 +1,7 @@
 """Tables derived once, upserts that swap whole partitions, and the operators added beside them."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,16 @@ def test_analysis_of_flows(spark):
     assert flow.analyze(steps.limit(0), pairs.limit(0))[0].count() == 0
 
 
+def test_large_flows_are_solved_by_joins(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = [(f, i, float(rnd.randrange(0, 5)), sorted({rnd.randrange(1, i) for _ in range(rnd.randrange(3))}) if i > 1 else [99]) for f in "ABC" for i in range(1, 9)]
+    rows += [("loop", 1, 1.0, [2]), ("loop", 2, 1.0, [1]), ("loop", 3, 1.0, []), ("one", 1, 2.0, []), ("part", 1, 2.0, []), ("part", 2, 1.0, [1, 3]), ("part", 3, 1.0, [3])]
+    df = spark.createDataFrame(rows, "flow_id string, step int, minutes double, depends_on array<int>")
+    want = {tuple(r) for r in flow.critical_paths(df).collect()}
+    monkeypatch.setattr(flow, "LARGE_FLOW", 2)
+    assert {tuple(r) for r in flow.critical_paths(df).collect()} == want and ("loop", None, "") in want and len(want) == 6
+
+
 def test_formats(spark):
     rows = spark.createDataFrame([("2", "b", "x"), ("1", "a", "y,z")], "id string, name string, others string")
     r = context.format_parallel(rows).first()
