@@ -169,7 +169,8 @@ class Grammar:
                 if not p or not self.derives(element, p, groups):
                     return False
             return True
-        cuts = statements(content, groups)
+        spans = statements(content, groups)
+        cuts = [content[a:b] for a, b in spans]
         for p in set(cuts):
             if not self.derives(element, p, groups):
                 break
@@ -181,11 +182,11 @@ class Grammar:
                 i += 1
                 continue
             for k in range(2, 6):  # a cut inside a statement: pieces that make one together
-                if i + k <= n and self.derives(element, sum(cuts[i : i + k], ()), groups):
+                if i + k <= n and self.derives(element, content[spans[i][0] : spans[i + k - 1][1]], groups):
                     i += k
                     break
             else:
-                return self._gll(name, sum(cuts[max(0, i - 2) :], ()), groups)
+                return self._gll(name, content[spans[max(0, i - 2)][0] :], groups)
         return True
 
     def _gll(self, name: str, toks: tuple, groups: Groups) -> bool:
@@ -248,7 +249,7 @@ class Grammar:
 
 
 _HEADS = {"for", "if", "switch", "while"}
-_GO_ON = set("else catch finally while ; , . ?. ( [ = + - * / % & | ^ < > ? : == === != !== && || ?? ++ -- => -> :: instanceof in of as satisfies".split())
+_GO_ON = set("else catch finally while ; , . ?. ( [ = + - * / % & | ^ < > ? : == === != !== && || ?? ++ -- => -> :: instanceof in of as satisfies from".split())
 
 
 def _block_follows(content: tuple, i: int, blocks: list[int]) -> bool:
@@ -257,8 +258,8 @@ def _block_follows(content: tuple, i: int, blocks: list[int]) -> bool:
     return k < len(blocks) and content[i + 1 : blocks[k]].count(";") <= 1
 
 
-def statements(content: tuple, groups: Groups) -> list[tuple]:
-    """Cut behind semicolons, line ends and blocks that nothing continues; heads with semicolons stay whole."""
+def statements(content: tuple, groups: Groups) -> list[tuple[int, int]]:
+    """Spans of statements: cut behind semicolons, line ends and blocks that nothing continues; heads with semicolons stay whole."""
     out, at, last, n = [], 0, len(content) - 1, len(content)
     blocks = [i for i, t in enumerate(content) if t.__class__ is int and groups.of[t][0] == "{"] if ";" in content else []
     for i, t in enumerate(content):
@@ -267,7 +268,7 @@ def statements(content: tuple, groups: Groups) -> list[tuple]:
                 nxt = content[i + 1]
                 nxt = nxt if nxt.__class__ is str else groups.of[nxt][0]
                 if nxt != "NL" and nxt not in _GO_ON:
-                    out.append(content[at : i + 1])
+                    out.append((at, i + 1))
                     at = i + 1
         elif t == ";" or t == "NL":
             if t == ";" and content[at] in _HEADS and not (content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{") and _block_follows(content, i, blocks) and content[at + 1].__class__ is not int:
@@ -275,8 +276,8 @@ def statements(content: tuple, groups: Groups) -> list[tuple]:
             if t == "NL" and i < last and content[i + 1] in ("else", "catch", "finally"):
                 continue
             block = t == "NL" and i > at and content[i - 1].__class__ is int and groups.of[content[i - 1]][0] == "{"
-            out.append(content[at : i if block else i + 1])  # a line end behind a block ends nothing
+            out.append((at, i if block else i + 1))  # a line end behind a block ends nothing
             at = i + 1
     if at < n:
-        out.append(content[at:])
+        out.append((at, n))
     return out

@@ -84,7 +84,7 @@ WithItem = Expr ('as' StarTarget)?
 WithItems = WithItem (',' WithItem)* ','?
 HDef = 'async'? 'def' Name TypeParams? P:Params ('->' Expr)? ':'
 HClass = 'class' Name TypeParams? P:Args? ':'
-HMatch = 'match' StarExprs ':'
+HMatch = 'match' (StarNamed ',' (StarNamed (',' StarNamed)* ','?)? | Named) ':'
 HCase = 'case' Patterns ('if' Named)? ':'
 Patterns = Pattern (',' Pattern)* ','?
 Pattern = '*' Name | OrPattern ('as' Name)?
@@ -94,7 +94,7 @@ PatternsOpt = Patterns?
 PatternArgs = (PatternArg (',' PatternArg)* ','?)?
 PatternArg = (Name '=')? Pattern
 PatternMap = (PatternPair (',' PatternPair)* ','?)?
-PatternPair = '**' Name | ('-'? NUM | STR+ | BYTES+ | 'True' | 'False' | 'None' | Dotted) ':' Pattern
+PatternPair = '**' Name | ('-'? NUM (('+' | '-') NUM)? | STR+ | BYTES+ | 'True' | 'False' | 'None' | Dotted) ':' Pattern
 Deco = '@' Named
 Field = StarExprs | Yield
 ILine = Head Line
@@ -125,13 +125,13 @@ Item = Import | Export | Stmt
 Semi = ';' | NL | $
 Id = NAME | 'let' | 'static' | 'async' | 'of' | 'get' | 'set' | 'as' | 'from' | 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'public' | 'private' | 'protected' | 'readonly' | 'implements' | 'override' | 'keyof' | 'infer' | 'is' | 'asserts' | 'unique' | 'satisfies'
 Word = Id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'await' | 'yield'
-Import = 'import' STR Attrs? Semi | 'import' ImportClause 'from' STR Attrs? Semi
+Import = 'import' STR Attrs? Semi | 'import' ImportClause NL? 'from' STR Attrs? Semi
 Attrs = 'with' C:Props
 ImportClause = Id (',' (NsImport | C:ImportSpecs))? | NsImport | C:ImportSpecs
 NsImport = '*' 'as' Id
 ImportSpecs = (ImportSpec (',' ImportSpec)* ','?)?
 ImportSpec = (Word | STR) ('as' Id)?
-Export = 'export' ('*' ('as' (Word | STR))? 'from' STR Attrs? Semi | C:ExportSpecs ('from' STR Attrs?)? Semi | Declaration | 'default' (Func | AnonFunc | Class | AnonClass | Assign Semi))
+Export = 'export' ('*' ('as' (Word | STR))? NL? 'from' STR Attrs? Semi | C:ExportSpecs (NL? 'from' STR Attrs?)? Semi | Declaration | 'default' (Func | AnonFunc | Class | AnonClass | Assign Semi))
 ExportSpecs = (ExportSpec (',' ExportSpec)* ','?)?
 ExportSpec = (Word | STR) ('as' (Word | STR))?
 Declaration = VarDecl Semi | Func | Class

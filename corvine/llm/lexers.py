@@ -180,23 +180,33 @@ _JS_VALUE_ENDS = re.compile(r"[\w$)\]\"'`]\Z")
 _JS_NOT_VALUES = frozenset("return typeof instanceof in of new delete void throw case do else yield await extends".split())
 
 
-def _js_tokens(code: str) -> list:
-    """Tokens one by one: a slash begins a regular expression where no value stands before it, and behind the head of an if,
-    while, for or with. Used where the fast pass finds no parse, as it goes by the characters before a slash alone."""
+def _js_tokens(code: str, at: int = 0, inner: bool = False, fields: list | None = None) -> tuple[list, int]:
+    """(tokens one by one, where they end): a slash begins a regular expression where no value stands before it, and behind the
+    head of an if, while, for or with; the tokens of a template's fields are added to ``fields``. With ``inner`` up to the
+    brace that closes a field. Used where the fast pass finds no parse, as it goes by the characters before a slash alone."""
     out: list = []
     heads: list = []
-    prev, before, closes, at, n = "", "", False, 0, len(code)
+    prev, before, closes, depth, n = "", "", False, 0, len(code)
     while (at := _JS_WS.match(code, at).end()) < n:
-        m = None
-        if code[at] == "/" and code[at + 1 : at + 2] not in ("/", "*") and (closes or not _JS_VALUE_ENDS.search(prev) or prev in _JS_NOT_VALUES):
-            m = _JS_REGEX.match(code, at)
-            t = m.group() if m else ""
-        if m is None:
-            m = JS.match(code, at)
+        if code[at] == "`":
+            at = _template_end(code, at, fields if fields is not None else [])
+            if at < 0:
+                break
+            t = "``"
+        else:
+            m = None
+            if code[at] == "/" and code[at + 1 : at + 2] not in ("/", "*") and (closes or not _JS_VALUE_ENDS.search(prev) or prev in _JS_NOT_VALUES):
+                m = _JS_REGEX.match(code, at)
+                t = m.group() if m else ""
             if m is None:
-                return ["\\"]
-            t = m.group(1)
-        at = m.end()
+                m = JS.match(code, at)
+                if m is None:
+                    break
+                t = m.group(1)
+            at = m.end()
+            if inner and t == "}" and not depth:
+                return out, at
+            depth += (t == "{") - (t == "}")
         out.append(t)
         closes = False
         if t == "\n" or t[:2] == "/*":
@@ -206,7 +216,26 @@ def _js_tokens(code: str) -> list:
         elif t == ")" and heads:
             closes = heads.pop()
         prev, before = t, prev
-    return out
+    else:
+        if not inner:
+            return out, n
+    return ["\\"], n
+
+
+_TEMPLATE_SIGN = re.compile(r"\\[\s\S]|`|\$\{")
+
+
+def _template_end(code: str, at: int, fields: list) -> int:
+    """Where the template that begins at an offset ends, -1 for nowhere."""
+    at += 1
+    while (m := _TEMPLATE_SIGN.search(code, at)) is not None:
+        at = m.end()
+        if m.group() == "`":
+            return at
+        if m.group() == "${":
+            toks, at = _js_tokens(code, at, True, fields)
+            fields.append(toks)
+    return -1
 
 
 def js(code: str, groups: Groups, grammar=None, exact: bool = False) -> tuple | None:
@@ -214,27 +243,40 @@ def js(code: str, groups: Groups, grammar=None, exact: bool = False) -> tuple |
     if code[:2] == "#!":
         code = code[code.find("\n") :] if "\n" in code else ""
     code += "\n"
-    toks = _js_tokens(code) if exact else JS.findall(code)
+    if exact:
+        fields: list = []
+        toks, _ = _js_tokens(code, fields=fields)
+        for f in fields:
+            content = _js_lines(f, groups, grammar)
+            if content is None or (grammar is not None and not grammar.derives("Expr", content, groups)):
+                return None
+        return _js_lines(toks, groups, grammar)
+    toks = JS.findall(code)
     if "`" in toks:  # nested templates: take them out one by one
         if code.count("`") % 2 == 0:
             code = _TEMPLATE.sub(lambda m: "``" if _fields_ok(m.group(0), groups, grammar) else "`", code)
-            toks = _js_tokens(code) if exact else JS.findall(code)
+            toks = JS.findall(code)
         if "`" in toks:
             return None
-    kinds = _kinds_of("js", toks)
-    if kinds is None:
-        return None
     for t in toks:
         if t[0] == "`" and "${" in t and not _fields_ok(t, groups, grammar):
             return None
+    return _js_lines(toks, groups, grammar)
+
+
+def _js_lines(toks: list, groups: Groups, grammar) -> tuple | None:
+    kinds = _kinds_of("js", toks)
+    if kinds is None:
+        return None
     out: list = []
     at, prev = 0, ";"
+    script = grammar is not None and "TypeArgs" not in grammar.rules  # without types, > at a line's end wants more
     ends = [i for i, k in enumerate(kinds) if k == "\n"]
     ends.append(len(kinds))
     for i in ends:
         if i > at:
             k = kinds[at]
-            if at and prev not in _JS_OPEN and k not in _JS_CONT and not (k == "{" and prev != "}"):
+            if at and prev not in _JS_OPEN and not (script and prev == ">") and k not in _JS_CONT and not (k == "{" and prev != "}"):
                 out.append("NL")
             out += kinds[at:i]
             prev = out[-1]

@@ -92,7 +92,7 @@ def _brackets(ext: str, code: str, g) -> bool:
     toks = lexers.js(code, _GROUPS, g) if ext in ("js", "ts") else _LEX[ext](code, _GROUPS)
     if toks is not None and g.derives("File", toks, _GROUPS):
         return True
-    if ext in ("js", "ts") and "/" in code:
+    if ext in ("js", "ts") and ("/" in code or "`" in code):
         toks = lexers.js(code, _GROUPS, g, exact=True)
         return toks is not None and g.derives("File", toks, _GROUPS)
     return False

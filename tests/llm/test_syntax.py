@@ -45,8 +45,8 @@ def reference(code):
 
 
 GOOD_TOO = {
-    "py": ["x = f'{a}' f\"{b!r:>{w}.{p}}\" 'c'", "x = f'{a[\"b\"]}'", 'x = f"{a["b"]} {f"{c}"}"', "x = f'{{}} {x = } {y:%Y-%m-%d}'", 'x = f"""{\n  a  # c\n}"""', "x = rf'\\d{n}'", "x = f'{lambda_}' if a else f'{(lambda x: 1)}'", "x = f'{a!s}{b != c}{d:{e}}'", "f(*a, b, *c, d=1, *e, **g, h=2)", "(a) += 1", "(a): int = 1", "def f(a, b=1, /, c=2, *, d, e=3, **k): pass", "def f(*, a): pass", "f = lambda a, /, b=1, *c, d, **e: 0", "x = b'a' rb'\\x' b\"\\x00\"", "x = '\\N{EM DASH}' '\\u00e9' r'\\x0'", "x = not a and not b or -c ** -d", "*a, = b", "del (a, b), c[0]", "x = " + "(" * 200 + "1" + ")" * 200, "f(x for x in y)", "print(None is True)", "def f(): x = yield; return (yield x)"],
-    "js": ["if (a) /re/.test(b)", "while (f(x)) /['\"]/g.exec(y)", "x = (a) / b / c", "x =   /re/.test(y)", "[a, b] = [b, a]; ({ a, b: c.d, e = 1, ...f } = g)", "for ({ a = 1 } of b) c", "for (x.y of z) ;", "a.b.c += 1; a[0]++; --a.b; (a) = 1", "a ** -b; a ** b ** c; (-a) ** b; ++a ** b", "(a ?? b) || c; a ?? b ?? c", "const { a, b = 1 } = c, [d] = e", "for (const a of b) ; for (var i in x) ; for (let i = 0, n; i < 3; i++) ;", "({ a, b } = c)", "f(({ a = 1 }) => a)", "async () => { await a; return await b }", "x = a\n  ? /re/ : 1"],
+    "py": ["x = f'{a}' f\"{b!r:>{w}.{p}}\" 'c'", "x = f'{a[\"b\"]}'", 'x = f"{a["b"]} {f"{c}"}"', "x = f'{{}} {x = } {y:%Y-%m-%d}'", 'x = f"""{\n  a  # c\n}"""', "x = rf'\\d{n}'", "x = f'{lambda_}' if a else f'{(lambda x: 1)}'", "x = f'{a!s}{b != c}{d:{e}}'", "f(*a, b, *c, d=1, *e, **g, h=2)", "(a) += 1", "(a): int = 1", "def f(a, b=1, /, c=2, *, d, e=3, **k): pass", "def f(*, a): pass", "f = lambda a, /, b=1, *c, d, **e: 0", "x = b'a' rb'\\x' b\"\\x00\"", "x = '\\N{EM DASH}' '\\u00e9' r'\\x0'", "x = not a and not b or -c ** -d", "*a, = b", "del (a, b), c[0]", "x = " + "(" * 200 + "1" + ")" * 200, "f(x for x in y)", "print(None is True)", "match w := x,:\n    case {-0-0j: 1, **k}:\n        pass\n", "match *a, b:\n    case _: pass\n", "def f(): x = yield; return (yield x)"],
+    "js": ["if (a) /re/.test(b)", "while (f(x)) /['\"]/g.exec(y)", "x = (a) / b / c", "x =   /re/.test(y)", "[a, b] = [b, a]; ({ a, b: c.d, e = 1, ...f } = g)", "for ({ a = 1 } of b) c", "for (x.y of z) ;", "a.b.c += 1; a[0]++; --a.b; (a) = 1", "a ** -b; a ** b ** c; (-a) ** b; ++a ** b", "(a ?? b) || c; a ?? b ?? c", "const { a, b = 1 } = c, [d] = e", "for (const a of b) ; for (var i in x) ; for (let i = 0, n; i < 3; i++) ;", "({ a, b } = c)", "f(({ a = 1 }) => a)", "async () => { await a; return await b }", "x = a\n  ? /re/ : 1", "x = a >\n  1", "x = `${'(^|[^\\\\d])' + '(\\\\d{1,'}${m}}`", "x = `${a ? `b${ {c: '}'} }` : `c`} '`", "s = x.replace(/`/g, '').replace(/[`'\"]/, `q${y}`)", "export { a } from 'b'\nexport { c }\nfrom 'd'", "if (a)\n  b()\nelse if (c)\n  d = function () {\n  }\nif (e) {\n}\nconst f = g ? h : {\n  i: 1,\n}\nconst j = 2"],
     "ts": ["let a: number; declare const b: string;", "declare namespace N { const x: number; export let y: string; function f(): void }", "(a as B).c = 1; (<any>a).b = 2; a!.b = 1", "const x: A = b", "let { a }: B = c", "if (a) /re/.test(b)"],
     "go": ["package a; import \"b\"\nimport c \"d\"\nvar x = 1\nfunc f(a, b int, c ...string) {}\nfunc g(int, string) (a, b int, err error) { return }\ntype F func(a int, b ...string) (int, error)\n", "// c\npackage a\n\nfunc f(ctx context.Context, _ *http.Request, g func(int) error, m map[string]int, ch <-chan int) {}\n"],
     "java": ["package a; import b.C; import static d.E.*; class A { int[] x; { x[0] = 1; x[0]++; --this.y; (z) = 1; f().g = 2; } }", "class A { void f() { try { } finally { } try { } catch (E e) { } try (x) { } if (a) { int y = 1; } for (int i = 0; i < 3; i++) ; a: while (true) break a; } public static final int X = 1; public public_ x; }", "class A { int f() { return -x++ + ++y - (int) -z; } }"],
